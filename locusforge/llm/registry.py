@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from locusforge.llm import toxicity
+from locusforge.llm.byte_bpe import ByteBpe
 from locusforge.llm.common import table
 from locusforge.llm.exact_dedup import exact_duplicates
 from locusforge.llm.simhash import near_duplicates
@@ -14,13 +17,30 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"), keep="max")
 
 
+def _remainder(modulus: int = 5):
+    """crc32 of the identifier as text, modulo 5; the contract's split into training and held-out rows."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = toxicity.fit(documents, table(spark, sf_dir, "labels").where(_remainder() != 0))
+    scored = toxicity.score(documents, machine, score_col="score")
+    return scored.select("doc_id", (F.coalesce(_remainder(), F.lit(1)) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bpe = ByteBpe(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.digest(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"), words=4, seed=42, distance=4)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def queries() -> dict:
-    return {"op1_exact_dedup": op1_exact_dedup, "op10_simhash": op10_simhash}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op4_byte_bpe, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
