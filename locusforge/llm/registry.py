@@ -10,6 +10,7 @@ from locusforge.llm import toxicity
 from locusforge.llm.byte_bpe import ByteBpe
 from locusforge.llm.common import table
 from locusforge.llm.exact_dedup import exact_duplicates
+from locusforge.llm.license_scan import scan_licenses
 from locusforge.llm.mixing import mixture
 from locusforge.llm.simhash import near_duplicates
 
@@ -40,13 +41,17 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents")).drop("detections")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"), words=4, seed=42, distance=4)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op4_byte_bpe, op6_mixing, op10_simhash)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op4_byte_bpe, op6_mixing, op9_license_scan, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
