@@ -10,6 +10,7 @@ from locusforge.llm import toxicity
 from locusforge.llm.byte_bpe import ByteBpe
 from locusforge.llm.common import table
 from locusforge.llm.exact_dedup import exact_duplicates
+from locusforge.llm.html_text import extract_text
 from locusforge.llm.license_scan import scan_licenses
 from locusforge.llm.mixing import mixture
 from locusforge.llm.simhash import near_duplicates
@@ -36,6 +37,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixture(table(spark, sf_dir, "documents"), weights=(1, 2, 3), most=3.0)
     return found.select("doc_id", "size", "source_size", "target", "taken")
@@ -51,7 +56,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op4_byte_bpe, op6_mixing, op9_license_scan, op10_simhash)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op4_byte_bpe, op5_html_text, op6_mixing, op9_license_scan, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
