@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusforge.llm import toxicity
+from locusforge.llm import lm_score, toxicity
 from locusforge.llm.byte_bpe import ByteBpe
 from locusforge.llm.common import table
 from locusforge.llm.exact_dedup import exact_duplicates
@@ -46,6 +46,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = _remainder() == 1
+    return lm_score.score(table(spark, sf_dir, "documents"), held_out, tokenizer_path=public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), pattern=public_tokenizers.PATTERN)
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents")).drop("detections")
 
@@ -56,7 +61,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op4_byte_bpe, op5_html_text, op6_mixing, op9_license_scan, op10_simhash)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op4_byte_bpe, op5_html_text, op6_mixing, op7_lm_score, op9_license_scan, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
