@@ -6,13 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusforge.llm import lm_score, toxicity
+from locusforge.llm import chroma, lm_score, toxicity
 from locusforge.llm.byte_bpe import ByteBpe
-from locusforge.llm.common import table
+from locusforge.llm.common import fresh_path, table
 from locusforge.llm.exact_dedup import exact_duplicates
 from locusforge.llm.html_text import extract_text
 from locusforge.llm.license_scan import scan_licenses
 from locusforge.llm.mixing import mixture
+from locusforge.llm.sharding import ShardStore, arrive
 from locusforge.llm.simhash import near_duplicates
 
 
@@ -32,6 +33,17 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (F.coalesce(_remainder(), F.lit(1)) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+#: Telephone-like settings for recordings made of short tones.
+TONES = chroma.Settings(rate=4000, frame=1024, hop=256, low=100.0, high=1900.0)
+
+
+def op3_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector of ``embeddings`` sounded as a tone series; those with an id divisible by 100 are searched among all."""
+    prints = chroma.fingerprints(table(spark, sf_dir, "embeddings"), media_col="embedding", id_col="vec_id", settings=TONES, reader=chroma.tone_series)
+    found = chroma.align(prints, F.col("media_id") % 100 == 0, most_error=0.25, least_overlap=48)
+    return found.withColumnRenamed("media_id", "vec_id")
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     bpe = ByteBpe(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     return bpe.digest(table(spark, sf_dir, "documents"))
@@ -51,6 +63,12 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(table(spark, sf_dir, "documents"), held_out, tokenizer_path=public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), pattern=public_tokenizers.PATTERN)
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four arrivals of ``documents``, compacted after each; where each document lies in the last version."""
+    store = ShardStore(spark, fresh_path(spark, "shards"), target_bytes=64 << 20, fan_in=4, least_bytes=1 << 20)
+    return arrive(store, table(spark, sf_dir, "documents"), arrivals=4).placement()
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents")).drop("detections")
 
@@ -61,7 +79,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op4_byte_bpe, op5_html_text, op6_mixing, op7_lm_score, op9_license_scan, op10_simhash)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op3_chroma, op4_byte_bpe, op5_html_text, op6_mixing, op7_lm_score, op8_sharding, op9_license_scan, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
