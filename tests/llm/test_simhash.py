@@ -121,3 +121,41 @@ def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([*zip(ids, ids[1:]), (100, 101), (101, 100), (7, 7)], "u long, v long")
     got = {r.node: r.component for r in components(links).collect()}
     assert got == {**dict.fromkeys(range(60), 0), 100: 100, 101: 100}
+
+
+def jaccard(a, b, n=5):
+    x, y = ({tuple(t.split()[i : i + n]) for i in range(len(t.split()) - n + 1)} for t in (a, b))
+    return len(x & y) / max(1, len(x | y))
+
+
+def test_similarity_confirms_links(spark):
+    rng = random.Random(8)
+    rows = []
+    for base in range(12):
+        words = [f"w{rng.randrange(9000)}" for _ in range(300)]
+        rows.append((base * 10, " ".join(words)))
+        for k, changes in enumerate((1, 3, 6, 14, 30)):
+            edited = list(words)
+            for at in rng.sample(range(300), changes):
+                edited[at] = f"z{rng.randrange(9000)}"
+            rows.append((base * 10 + 1 + k, " ".join(edited)))
+    text = dict(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for limit in (1 << 16, 8):
+        found = {r.doc_id: r.component_id for r in near_duplicates(df, words=5, distance=10, similarity=0.8, bucket_rows=limit).collect()}
+        close = [i for i in text if i % 10 in (1, 2, 3) and jaccard(text[i], text[i - i % 10]) >= 0.8]
+        assert sum(found[i] == i - i % 10 for i in close) >= 0.85 * len(close)
+        assert all(found[i] == i for i in text if i % 10 == 5)
+
+
+def test_tiles_link_as_brute_force_does(spark):
+    values = near_values(21, 60)
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    rows = fingerprint_links(spark.createDataFrame([(s,) for s in signed], "fp long"), distance=10, bucket_rows=3).collect()
+    known = {s: i for i, s in enumerate(signed)}
+    label = list(range(len(values)))
+    for _ in values:
+        for a, b in rows:
+            i, j = known[a], known[b]
+            label[i] = label[j] = min(label[i], label[j])
+    assert label == classes(values, 10)
