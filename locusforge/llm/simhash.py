@@ -26,6 +26,8 @@ BITS = 64
 BUCKET_ROWS = 1 << 16
 #: Distinct fingerprints up to which three segments are used; beyond, six with longer signatures.
 THREE_SEGMENTS_UP_TO = 300_000_000
+#: Distance up to which the members of crowded buckets are linked by radius keys (2081 a fingerprint for four bits).
+RADIUS_UP_TO = 4
 _CHUNK_SHINGLES = 1 << 18
 
 
@@ -226,10 +228,23 @@ def _radius_links(crowd: DataFrame, distance: int) -> DataFrame:
     return points.join(least.where("a <> z"), "point").select("a", F.col("fp").alias("b")).where("a <> b").distinct()
 
 
+def _tiled_links(crowd: DataFrame, distance: int, rows: int) -> DataFrame:
+    """Links among the members of crowded buckets, block against block, where the distance is too far for radius keys."""
+    members = cut(crowd.distinct())
+    blocks = max(1, -(-members.count() // max(1, rows // 2)))
+    own = F.pmod(F.xxhash64("fp"), F.lit(blocks)).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    tiles = members.select(own.alias("i"), other.alias("j"), "fp").select(F.least("i", "j").alias("k"), F.greatest("i", "j").cast("long").alias("v"), "fp")
+    met = tiles.repartition("k", "v").sortWithinPartitions("k", "v", "fp")
+    return met.mapInArrow(_bucket_batches(distance, 1 << 62), "a long, b long").distinct()
+
+
 def fingerprint_links(distinct: DataFrame, *, distance: int = 4, segments: int | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Links ``a, b`` between the distinct fingerprints of ``distinct(fp)`` that keep every component."""
-    if segments is None:
-        segments = 3 if distance <= 5 and distinct.count() <= THREE_SEGMENTS_UP_TO else distance + 2
+    if segments is None:  # the fewest; for many fingerprints more, and with them longer signatures
+        segments = distance // 2 + 1
+        if distance <= 5 and distinct.count() > THREE_SEGMENTS_UP_TO:
+            segments = distance + 2
     index = distinct.select("fp").mapInArrow(_signature_batches(variant_masks(distance, segments)), "k int, v long, fp long")
     met = index.repartition("k", "v").sortWithinPartitions("k", "v", "fp")
     found = cut(met.mapInArrow(_bucket_batches(distance, bucket_rows), "a long, b long").distinct())
@@ -237,19 +252,45 @@ def fingerprint_links(distinct: DataFrame, *, distance: int = 4, segments: int |
     links = found.where("b is not null")
     if crowd.isEmpty():
         return links
-    return links.union(_radius_links(crowd, distance))
+    return links.union(_radius_links(crowd, distance) if distance <= RADIUS_UP_TO else _tiled_links(crowd, distance, bucket_rows))
+
 
+def _shingle_sets(words: int, seed: int):
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [np.unique(np.array(shingle_hashes(t.as_py() or "", words, seed), np.uint64)).view(np.int64) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["fp", "shingles"])
 
-def near_duplicates(df: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", words: int = 4, seed: int = 42, distance: int = 4, segments: int | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    return over
+
+
+def _similar(links: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: float, words: int, seed: int) -> DataFrame:
+    """The links whose representatives' shingle sets have at least the Jaccard similarity asked for."""
+    ends = links.select(F.col("a").alias("fp")).union(links.select("b")).distinct()
+    chosen = ends.join(nodes, "fp").select("fp", F.col("least").alias("doc_id"))
+    sets = texts.join(chosen, "doc_id").select("fp", "text").mapInArrow(_shingle_sets(words, seed), "fp long, shingles array<long>")
+    sets = cut(sets.groupBy("fp").agg(F.min("shingles").alias("shingles")))
+    both = links.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return cut(both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b"))
+
+
+def near_duplicates(df: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", words: int = 4, seed: int = 42, distance: int = 4, segments: int | None = None, bucket_rows: int = BUCKET_ROWS, similarity: float | None = None) -> DataFrame:
     """``doc_id, fp, component_id`` for each row of ``df``: the smallest identifier that links lead to.
 
+    With ``similarity`` a link between different fingerprints also needs shingle sets of that Jaccard similarity, taken
+    from one document of each fingerprint.
+
     Null texts count as empty; texts without words share fingerprint zero. Rows that repeat an identifier each get a row.
     A null identifier never names a component unless all identifiers of the component are null. An empty table gives an
     empty result. Columns beside the two named are ignored.
     """
     rows = cut(fingerprints(df, text_col=text_col, id_col=id_col, words=words, seed=seed))
-    nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
     links = fingerprint_links(nodes, distance=distance, segments=segments, bucket_rows=bucket_rows)
+    if similarity is not None:
+        texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+        links = _similar(links, nodes, texts, similarity, words, seed)
     if links.isEmpty():
         merged = nodes
     else:
@@ -257,9 +298,14 @@ def near_duplicates(df: DataFrame, *, text_col: str = "text", id_col: str = "doc
         named = found.join(nodes, found.node == nodes.fp).select("fp", "least", "component")
         least = named.groupBy("component").agg(F.min("least").alias("reached"))
         renamed = named.join(least, "component").select("fp", "reached")
-        merged = nodes.join(renamed, "fp", "left").select("fp", F.coalesce("reached", "least").alias("least"))
-    # Many rows can share a fingerprint; adaptive execution splits such partitions of the left side.
-    return rows.join(merged, "fp", "left").select("doc_id", "fp", F.col("least").alias("component_id"))
+        merged = cut(nodes.join(renamed, "fp", "left").select("fp", "n", F.coalesce("reached", "least").alias("least")))
+    # A fingerprint with a thousandth of all rows would fill a task; at most a thousand can have that many.
+    common = max(2, (nodes.agg(F.sum("n")).first()[0] or 0) // 1000)
+    frequent = merged.where(F.col("n") > common).select("fp", F.col("least").alias("component_id"))
+    others = merged.where(F.col("n") <= common).select("fp", F.col("least").alias("component_id"))
+    met = rows.join(F.broadcast(frequent), "fp")
+    rare = rows.join(F.broadcast(frequent.select("fp")), "fp", "left_anti").join(others, "fp")
+    return met.union(rare).select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(df: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
@@ -272,4 +318,4 @@ def drop_near_duplicates(df: DataFrame, *, text_col: str = "text", id_col: str =
     stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("x_stay")).distinct()
     key = F.col(id_col).cast("long")
     kept = df.join(stay, key == F.col("x_stay"), "left_semi")
-    return kept.unionByName(df.where(key.isNull())) if dict(df.dtypes) else kept
+    return kept.union(df.where(key.isNull()))
