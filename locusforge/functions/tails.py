@@ -20,13 +20,21 @@ ERFC_FIT = (0.17087277, -0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.186
 CHI2_MEDIAN = 0.454936423119572
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def erfc_column(x: Column) -> Column:
     """erfc of a Column that is not negative."""
-    t = F.lit(1.0) / (F.lit(1.0) + F.lit(0.5) * x)
-    poly = F.lit(ERFC_FIT[0])
-    for c in ERFC_FIT[1:]:
-        poly = F.lit(c) + t * poly
-    return t * F.exp(poly - x * x)
+
+    def fit(v: Column, t: Column) -> Column:
+        poly = F.lit(ERFC_FIT[0])
+        for c in ERFC_FIT[1:]:
+            poly = F.lit(c) + t * poly
+        return t * F.exp(poly - v * v)
+
+    return let(x, lambda v: let(F.lit(1.0) / (F.lit(1.0) + F.lit(0.5) * v), lambda t: fit(v, t)))
 
 
 def erfc_sql(x: str) -> str:

@@ -103,7 +103,7 @@ def linkage_blocks(geno: Genotypes, rules: BlockRules = BlockRules(), source: Ca
     n = geno.n
     placed = geno.calls.select("marker_idx", "g").join(geno.markers.select("marker_idx", "chrom", "pos"), "marker_idx")
 
-    def over(key, table: pa.Table) -> pa.Table:
+    def over(key, table):
         order = np.lexsort((table.column("marker_idx").to_numpy(), table.column("pos").to_numpy()))
         pos, ids = table.column("pos").to_numpy()[order], table.column("marker_idx").to_numpy()[order]
         g = np.frombuffer(b"".join(table.column("g").to_pylist()), np.int8).reshape(-1, n)[order]
