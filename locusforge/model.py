@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 MISSING = -9
 CALLS = "marker_idx long, chrom string, g binary"
 MARKERS = "marker_idx long, marker string, chrom string, pos long, ref string, alt string"
-#: Marker rows in an Arrow batch; with some thousand samples a batch is a few MB.
-BATCH = 4096
+#: Marker rows that a kernel takes at once, and cells (32 MB of them as doubles).
+BATCH, CELLS = 4096, 4 << 20
 
 
 @dataclass
@@ -105,9 +105,10 @@ class Genotypes:
 
 def decoded(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(marker_idx, chrom, markers by samples) of Arrow batches of calls."""
+    step = max(1, min(BATCH, CELLS // max(1, n)))
     for batch in batches:
-        for start in range(0, batch.num_rows, BATCH):
-            part = batch.slice(start, BATCH)
+        for start in range(0, batch.num_rows, step):
+            part = batch.slice(start, step)
             if part.num_rows:
                 g = np.frombuffer(b"".join(part.column("g").to_pylist()), np.int8).reshape(part.num_rows, n)
                 yield part.column("marker_idx").to_numpy(), np.asarray(part.column("chrom").to_pylist(), object), g
