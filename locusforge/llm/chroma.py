@@ -173,6 +173,31 @@ def bit_error(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[float, int]:
     return (float(np.bitwise_count(x[:n] ^ y[:n]).sum()) / (32 * n), n) if n > 0 else (1.0, 0)
 
 
+def bit_errors(a: list[np.ndarray], b: list[np.ndarray], a_at: np.ndarray, b_at: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``bit_error`` of many pairs of places in two lists of prints."""
+    (flat_a, first_a, size_a), (flat_b, first_b, size_b) = _flat(a), _flat(b)
+    skip_a, skip_b = np.maximum(0, offset), np.maximum(0, -offset)
+    n = np.maximum(0, np.minimum(size_a[a_at] - skip_a, size_b[b_at] - skip_b))
+    errors = np.ones(len(n))
+    step = max(1, (1 << 20) // max(1, int(n.max(initial=1))))
+    for low in range(0, len(n), step):
+        part = slice(low, low + step)
+        m = n[part]
+        run = np.repeat(np.cumsum(m) - m, m)
+        within = np.arange(m.sum()) - run
+        x = flat_a[np.repeat(first_a[a_at[part]] + skip_a[part], m) + within]
+        y = flat_b[np.repeat(first_b[b_at[part]] + skip_b[part], m) + within]
+        total = np.concatenate([[0], np.cumsum(np.bitwise_count(x ^ y), dtype=np.int64)])
+        ends = np.cumsum(m)
+        errors[part] = np.where(m > 0, (total[ends] - total[ends - m]) / np.maximum(32 * m, 1), 1.0)
+    return errors, n
+
+
+def _flat(prints: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    size = np.array([len(p) for p in prints], np.int64)
+    return np.concatenate(prints or [np.zeros(0, np.uint32)]), np.cumsum(size) - size, size
+
+
 def _search(shared, offsets: int, least_votes: int, most_error: float, least_overlap: int):
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _Index(*shared.value)
@@ -189,13 +214,12 @@ def _search(shared, offsets: int, least_votes: int, most_error: float, least_ove
             order = np.lexsort((np.abs(d), -votes, pair))
             pair, d = pair[order], d[order]
             rank = np.arange(len(pair)) - np.maximum.accumulate(np.where(np.concatenate([[True], pair[1:] != pair[:-1]]), np.arange(len(pair)), 0)) if len(pair) else pair
-            best: dict[tuple[int, int], tuple] = {}
-            for p, offset in zip(pair[rank < offsets].tolist(), d[rank < offsets].tolist()):
-                r_at, q_at = divmod(p, count)
-                if ids[r_at] == index.ids[q_at]:
-                    continue
-                error, n = bit_error(prints[r_at], index.prints[q_at], offset)
-                if n >= least_overlap and error <= most_error:
+            best: dict[int, tuple] = {}
+            pair, d = pair[rank < offsets], d[rank < offsets]
+            errors, overlaps = bit_errors(prints, index.prints, pair // count, pair % count, d)
+            near = (errors <= most_error) & (overlaps >= least_overlap)
+            for p, offset, error, n in zip(pair[near].tolist(), d[near].tolist(), errors[near].tolist(), overlaps[near].tolist()):
+                if ids[p // count] != index.ids[p % count]:
                     best[p] = min(best.get(p, (2.0, 0, 0)), (error, -n, offset))
             out = [(index.ids[p % count], ids[p // count], m[2], -m[1], round(m[0], 6)) for p, m in best.items()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 5, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64()))], names=["q", "class_id", "offset", "overlap", "error"])

@@ -4,7 +4,7 @@ import wave
 import numpy as np
 from pyspark.sql import functions as F
 
-from locusforge.llm.chroma import Settings, align, chroma, filter_bank, fingerprint, fingerprints, read_wav, tone_series
+from locusforge.llm.chroma import Settings, align, bit_error, bit_errors, chroma, filter_bank, fingerprint, fingerprints, read_wav, tone_series
 from locusforge.llm.registry import TONES
 
 S = Settings(rate=4000, frame=1024, hop=256, low=100, high=1900)
@@ -92,6 +92,16 @@ def test_search_against_all_pairs(spark):
     assert len(want) >= 4 and len(got & want) >= 0.9 * len(want) and got <= want
 
 
+def test_many_bit_errors_are_the_single_ones():
+    rng = np.random.default_rng(3)
+    prints = [rng.integers(0, 2**32, n, dtype=np.uint32) for n in (5, 0, 40, 17)]
+    at = [(i, j, d) for i in range(4) for j in range(4) for d in (-50, -3, 0, 2, 16, 60)]
+    errors, n = bit_errors(prints, prints, *(np.array(c) for c in zip(*at)))
+    for (i, j, d), e, k in zip(at, errors, n):
+        want, m = bit_error(prints[i], prints[j], d)
+        assert k == m and np.isclose(e, want)
+
+
 def test_wav_reading():
     assert len(read_wav(None, S)) == 0 and len(read_wav(wav(np.zeros(0)), S)) == 0
     x = tune(7)
