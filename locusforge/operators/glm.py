@@ -104,6 +104,27 @@ def scan(geno: Genotypes, y: np.ndarray, covariates: np.ndarray | None = None, *
     return geno.calls.select("marker_idx", "chrom", "g").mapInArrow(over, RESULT)
 
 
+def scan_terms(geno: Genotypes, y: np.ndarray, covariates: np.ndarray | None = None, *, fill: float | str = 1.0) -> DataFrame:
+    """``marker_idx, terms``: effect, standard error, |t| and p of the intercept, each covariate and the marker itself."""
+    d = design(y, covariates)
+    n = geno.n
+    shared = geno.spark.sparkContext.broadcast(d)
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        d = shared.value
+        for ids, _, g in decoded(batches, n):
+            f = fit_markers(filled(g, fill), d)
+            beta, se, t = covariate_terms(f, d)
+            effect, error, stat = np.column_stack([beta, f["effect"][:, 0]]), np.column_stack([se, f["se"][:, 0]]), np.column_stack([t, f["t"][:, 0]])
+            p = linear_tail(stat, d.df)
+            flat = [pa.array(c.ravel(), from_pandas=True) for c in (effect, error, stat, p)]
+            cells = pa.StructArray.from_arrays(flat, names=["effect", "se", "t", "p"])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(cells) + 1, effect.shape[1]), pa.int32()), cells)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), lists], names=["marker_idx", "terms"])
+
+    return geno.calls.select("marker_idx", "chrom", "g").mapInArrow(over, "marker_idx long, terms array<struct<effect:double,se:double,t:double,p:double>>")
+
+
 _TERMS = "term int, n long, effect double, square double, least double, most double, total double"
 
 

@@ -72,7 +72,12 @@ def qq_points(results: DataFrame, p: str = "p", tie: str = "marker_idx") -> Data
     """``rank, expected, observed``: sorted usable p against rank / (n + 1)."""
     ok = results.where(usable(F.col(p)))
     total = ok.count()
-    ranked = ok.select(F.row_number().over(Window.orderBy(p, tie)).cast("long").alias("rank"), F.col(p).alias("observed"))
+    if total > WINDOW_ROWS:
+        from locusforge.functions.labels import positional_index
+
+        ranked = positional_index(ok, [p, tie], "_at").select((F.col("_at") + 1).alias("rank"), F.col(p).alias("observed"))
+    else:
+        ranked = ok.select(F.row_number().over(Window.orderBy(p, tie)).cast("long").alias("rank"), F.col(p).alias("observed"))
     return ranked.select("rank", (F.col("rank") / (total + 1)).alias("expected"), "observed")
 
 

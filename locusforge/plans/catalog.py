@@ -18,7 +18,7 @@ from locusforge.functions.calls import gt_dosage
 from locusforge.functions.labels import length_rank, natural_key_column
 from locusforge.functions.tails import CHI2_MEDIAN, erfc_sql, normal_p
 from locusforge.model import Genotypes
-from locusforge.operators import glm, mlm, multilocus, plotdata, quality, statistics, structure
+from locusforge.operators import bayes, glm, mlm, multilocus, plotdata, quality, statistics, structure
 from locusforge.operators.effective import linkage_blocks
 from locusforge.sources.longform import from_long
 
@@ -449,6 +449,23 @@ def blink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multilocus.blink(geno, y).results
 
 
+@query()
+def bayes_loco(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """On the small panel of nations, whose trait is their customers' mean balance."""
+    geno = nation_genotypes(spark, sf_dir)
+    mean = {x.c_nationkey: x.y for x in table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.avg("c_acctbal").alias("y")).collect()}
+    y = np.array([mean.get(int(s), 0.0) for s in geno.samples])
+    return bayes.bayes_loco(geno, y, config={"max_epochs": 20})[0]
+
+
+@query("""WITH h AS (SELECT l_partkey AS marker_idx, l_linenumber AS iteration, l_discount + l_orderkey / 1e9 AS p, l_tax AS effect, l_quantity AS se FROM lineitem)
+  SELECT marker_idx, round(min(p), 6) AS p, round(arg_min(effect, p), 6) AS effect, round(arg_min(se, p), 6) AS se FROM h GROUP BY 1""")
+def substitution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    h = li.select(F.col("l_partkey").alias("marker_idx"), F.col("l_linenumber").alias("iteration"), (F.col("l_discount") + F.col("l_orderkey") / 1e9).alias("p"), F.col("l_tax").alias("effect"), F.col("l_quantity").alias("se"))
+    return multilocus.substitute_history(h).select("marker_idx", *[r(F.col(c)).alias(c) for c in ("p", "effect", "se")])
+
+
 @query()
 def farmcpu_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     geno, y = supplier_panel(spark, sf_dir)

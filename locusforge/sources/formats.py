@@ -57,8 +57,10 @@ def detect_format(path: str) -> str:
 
 
 def detect_separator(path: str) -> str:
-    """The more frequent of tab and comma in the first ten lines; comma on a draw."""
+    """The more frequent of tab and comma in the first ten lines; comma on a draw, a space where there is neither."""
     text = "\n".join(first_lines(path, 10))
+    if "\t" not in text and "," not in text and " " in text:
+        return " "
     return "\t" if text.count("\t") > text.count(",") else ","
 
 

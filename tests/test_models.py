@@ -88,6 +88,25 @@ def test_covariate_terms(spark):
         assert np.allclose([r.effect, r.se, r.least_t, r.most_t, r.mean_t], [b.mean(), np.sqrt((s**2).mean()), t.min(), t.max(), t.mean()])
 
 
+def test_terms_of_each_marker(spark):
+    geno, g, rng = panel(spark, 70, 4, 19)
+    x, y = rng.normal(size=(70, 1)), rng.normal(size=70)
+    got = {r.marker_idx: r.terms for r in glm.scan_terms(geno, y, x).collect()}
+    for i in range(4):
+        e, s, p = ols(y, x, g[:, i])
+        assert len(got[i]) == 3 and np.allclose([got[i][2].effect, got[i][2].se, got[i][2].p], [e, s, p], rtol=1e-5)
+        e, s, p = ols(y, g[:, [i]], x[:, 0])
+        assert np.allclose([got[i][1].effect, got[i][1].se, got[i][1].p], [e, s, p], rtol=1e-5)
+
+
+def test_history_substitution(spark):
+    h = [(0, 1, 0.2, 1.0, 0.1), (0, 2, 0.1, 2.0, 0.2), (0, 3, 0.6, 3.0, 0.3), (1, 1, 0.5, 5.0, 0.5)]
+    df = spark.createDataFrame(h, "marker_idx long, iteration int, p double, effect double, se double")
+    for method in ("reward", "penalty", "mean", "median", "onsite"):
+        got = {r.marker_idx: (r.p, r.effect, r.se) for r in multilocus.substitute_history(df, method).collect()}
+        assert np.allclose(got[0], multilocus.substitute([x[2:] for x in h[:3]], method)) and np.allclose(got[1], h[3][2:])
+
+
 def test_relationships(spark):
     geno, g, _ = panel(spark, 25, 120, 1, chroms=4)
     z = g - g.mean(0)

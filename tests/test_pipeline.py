@@ -8,6 +8,7 @@ import __spark_entry__
 from locusforge import cli
 from locusforge.model import Genotypes
 from locusforge.operators.align import align_samples, require_finite
+from locusforge.sources.results import read_association, summary_text, write_association, write_summary
 from locusforge.pipeline import Pipeline, analyze, method_names, mlm_mode, with_map
 
 
@@ -69,6 +70,17 @@ def test_one_call(spark, files, tmp_path):
         analyze(spark, pd.DataFrame({"ID": ["S000", "S001"], "t": [np.nan, np.nan]}), str(files / "genotypes.csv"))
 
 
+def test_result_files(spark, tmp_path):
+    d = spark.createDataFrame([(0, 0.5, 1.0), (1, float("nan"), None)], "marker_idx long, p double, effect double")
+    write_association(d, str(tmp_path / "r"), compression="gzip")
+    back = read_association(spark, str(tmp_path / "r")).orderBy("marker_idx").collect()
+    assert [(r.marker_idx, r.p, r.effect) for r in back] == [(0, 0.5, 1.0), (1, None, None)]
+    rows = [{"Trait": "t", "Method": "GLM", "Significant_Hits": 2, "Threshold": 1e-5, "Lambda_GC": 1.01, "N_Samples": 9, "N_Markers": 99}, {"Trait": "t", "Method": "MLM", "Info": "failed: x"}]
+    assert summary_text(rows).splitlines() == ["t GLM: 2 hits at 1e-05 among 99 markers and 9 samples, lambda 1.010", "t MLM: failed: x"]
+    write_summary(spark, rows, str(tmp_path / "s"))
+    assert spark.read.text(str(tmp_path / "s")).count() == 2
+
+
 def test_thresholds(spark, files):
     p = Pipeline(spark).load_data(str(files / "phenotypes.csv"), str(files / "genotypes.csv"), trait_columns=["Height"])
     assert np.isclose(p.run_analysis(methods=["GLM"], outputs=[])["Height"].thresholds["GLM"], 0.05 / 120)
