@@ -48,9 +48,22 @@ def new_attention(inputs: int, outputs: int, *, width: int = 24, window: int = 3
     return Attention(small(inputs, width) * 0.5, small(window, width) * 0.1, *[small(width, width) for _ in range(4)], small(width, outputs) * 0.1, bias)
 
 
+#: Attention scores count within these bounds, so that no row of exponentials needs its own maximum.
+SCORE_BOUND = 50.0
+
+
 @lru_cache(maxsize=8)
-def _future(t: int, dtype) -> np.ndarray:
-    return np.triu(np.full((t, t), -1e9, dtype), 1)
+def _past(t: int, dtype) -> np.ndarray:
+    return np.tril(np.ones((t, t), dtype))
+
+
+def _weights(s: np.ndarray) -> np.ndarray:
+    """Causal softmax of scores (windows, places, places), in place."""
+    np.clip(s, -SCORE_BOUND, SCORE_BOUND, out=s)
+    np.exp(s, out=s)
+    s *= _past(s.shape[-1], s.dtype)
+    s /= (s @ np.ones(s.shape[-1], s.dtype))[..., None]
+    return s
 
 
 def _attend(m: Attention, x: np.ndarray):
@@ -59,10 +72,7 @@ def _attend(m: Attention, x: np.ndarray):
     q, k, v = ((flat @ w).reshape(n, t, d) for w in (m.q, m.k, m.v))
     s = q @ k.transpose(0, 2, 1)
     s *= x.dtype.type(1 / np.sqrt(d))
-    s += _future(t, x.dtype)
-    s -= s.max(-1, keepdims=True)
-    np.exp(s, out=s)
-    s /= s.sum(-1, keepdims=True)
+    s = _weights(s)
     mixed = s @ v
     return q, k, v, s, mixed, x + (mixed.reshape(n * t, d) @ m.o).reshape(n, t, d)
 
@@ -71,18 +81,25 @@ def log_probabilities(m: Attention, inputs: np.ndarray, targets: np.ndarray, wan
     """Natural logs of the probabilities of ``targets`` at the places where ``wanted`` is true, in row order.
 
     ``inputs``, ``targets`` and ``wanted`` have a row for each window; places behind a short window's end do no harm,
-    since no earlier place looks at them.
+    since no earlier place looks at them. Query with key and value with output are one matrix each here.
     """
-    x = m.e[inputs] + m.p[: inputs.shape[1]]
+    n, t = inputs.shape
+    x = m.e[inputs] + m.p[:t]
+    d = x.shape[2]
     at = np.flatnonzero(wanted)
-    h = _attend(m, x)[-1].reshape(-1, x.shape[2]).take(at, 0)
+    flat = x.reshape(n * t, d)
+    asked = (flat @ ((m.q @ m.k.T) * x.dtype.type(1 / np.sqrt(d)))).reshape(n, t, d)
+    mixed = _weights(asked @ x.transpose(0, 2, 1)) @ x
+    h = flat.take(at, 0) + mixed.reshape(n * t, d).take(at, 0) @ (m.v @ m.o)
     z = h @ m.u
     z += m.b
-    own = z[np.arange(len(z)), targets.ravel().take(at)]
-    top = z.max(-1, keepdims=True) if z.max() > 60 else z.dtype.type(0)  # else no exponential overflows
-    z -= top
+    own = z.ravel().take(np.arange(len(z)) * z.shape[1] + targets.ravel().take(at))
+    top = 0.0
+    if len(z) and z.max() > 60:  # else no exponential overflows
+        top = z.max(-1)
+        z -= top[:, None]
     np.exp(z, out=z)
-    return own - np.ravel(top) - np.log(z.sum(-1))
+    return own - top - np.log(z @ np.ones(z.shape[1], z.dtype))
 
 
 def loss_and_gradient(m: Attention, inputs: np.ndarray, targets: np.ndarray, wanted: np.ndarray) -> tuple[float, Attention]:

@@ -12,9 +12,13 @@ share of all training windows, where the partitions' models are averaged by the
 
 from __future__ import annotations
 
+import random
+import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locusforge.llm.attention import Adam, Attention, copy_of, log_probabilities, new_attention, windows_of
-from locusforge.llm.byte_bpe import _loaded, read_ranks, tokenizer_json
+from locusforge.llm.byte_bpe import _bytes_of, _loaded, read_ranks, tokenizer_json
 from locusforge.llm.common import cut, slices, stash
 
 #: Words sent to all executors at most, and their greatest length in bytes.
@@ -34,10 +38,12 @@ WIDTH, WINDOW, STRIDE = 16, 24, 20
 #: Weight of an id's frequency in its class against its frequency behind the class before it.
 PAIR_PRIOR = 4.0
 #: One window in so many of the training rows' windows takes part in fitting; of these the driver's first model sees at most so many.
-WINDOW_SHARE = 16
+WINDOW_SHARE = 32
 FIRST_WINDOWS = 12_000
+#: Subword ids to expect of a byte of text; only the number of windows follows it.
+IDS_PER_BYTE = 0.39
 BATCH_WINDOWS = 64
-_CACHE_WORDS = 120_000
+_PASSING_WORDS = 120_000
 _COUNTED_WORDS = 300_000
 END = b""
 
@@ -92,20 +98,42 @@ def frequent_words(counts: DataFrame, most: int = FREQUENT_WORDS) -> pa.Table:
 # ---------------------------------------------------------------- subword classes
 
 
-def _spelled(words: list[bytes], tokenizer) -> list[list[int]]:
-    return [e.ids for e in tokenizer.encode_batch_fast([" " + w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
+@lru_cache(maxsize=2)
+def _begins_word(description: str) -> np.ndarray:
+    return np.array([token[:1] == b" " for token in _bytes_of(description)])
+
+
+def _spelled(words: list[bytes], description: str, together: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all words, one after the other, and how many each has. A word is spelled with a space before it.
+
+    Words are encoded many to a text, in which each begins at an id that begins with a space; where that does not add up
+    (white space beyond ASCII inside words) they are encoded one by one.
+    """
+    tokenizer, begins = _loaded(description), _begins_word(description)
+    shown = [" " + w.decode("utf-8", "replace") for w in words]
+    groups = [shown[i : i + together] for i in range(0, len(shown), together)]
+    flat, lengths = [], []
+    for group, e in zip(groups, tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)):
+        ids = np.array(e.ids, np.int64)
+        starts = np.flatnonzero(begins[ids])
+        if len(starts) == len(group) and len(ids) and starts[0] == 0 and not any(w.isspace() or not w[1:].isprintable() for w in group):
+            flat.append(ids)
+            lengths.append(np.diff(np.append(starts, len(ids))))
+        else:
+            each = [x.ids for x in tokenizer.encode_batch_fast(group, add_special_tokens=False)]
+            flat.append(np.array([i for x in each for i in x], np.int64))
+            lengths.append(np.array([len(x) for x in each], np.int64))
+    none = np.zeros(0, np.int64)
+    return np.concatenate(flat or [none]), np.concatenate(lengths or [none])
 
 
 def _pair_counts(description):
     """Counts of each id behind the id before it in its word (-1 at a word's beginning), summed over the words' counts."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _loaded(description.value)
-        size = tokenizer.get_vocab_size() + 1
+        size = _loaded(description.value).get_vocab_size() + 1
         for batch in slices(batches, max_rows=50_000):
-            spelled = _spelled([w.encode() for w in batch.column(0).to_pylist()], tokenizer)
-            lengths = np.array([len(s) for s in spelled])
-            ids = np.fromiter((i for s in spelled for i in s), np.int64, lengths.sum())
+            ids, lengths = _spelled([w.encode() for w in batch.column(0).to_pylist()], description.value)
             before = np.concatenate([[-1], ids[:-1]])
             before[np.cumsum(lengths[lengths > 0])[:-1]] = -1
             keys, where = np.unique((before + 1) * size + ids, return_inverse=True)
@@ -177,36 +205,70 @@ class LanguageModel:
     frequent: dict[bytes, int]
     tokens: int
     distinct: int
+    name: str
 
     def base(self, count) -> float:
         return np.log10((count + 0.5) / (self.tokens + 0.5 * (self.distinct + 1)))
 
 
 class Speller:
-    """Class sequences of words, frequent ones for good and others in a cache of bounded size."""
-
-    def __init__(self, description: str, classes: Classes):
-        self.tokenizer, self.classes = _loaded(description), classes
-        self.cache: dict[bytes, tuple[bytes, float]] = {}
+    """What words add to a text: their classes, the log probability of their ids within them, and the base score of frequent
+    words (others: NaN). Words have numbers, and what is known of them lies in arrays by number. Frequent words are held for
+    good, of the others a bounded number."""
+
+    def __init__(self, description: str, classes: Classes, base: dict[bytes, float] | None = None):
+        self.description, self.classes, self.base = description, classes, base or {}
+        self.number: dict[bytes, int] = {}
+        self.first, self.size, self.inside, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+        self.text = np.zeros(0, np.uint8)
+        self.learn(set(self.base))
+        self.held = (len(self.number), len(self.text))
+
+    _last: tuple | None = None
+
+    @classmethod
+    def shared(cls, name: str, make: Callable[[], Speller]) -> Speller:
+        """The one of that name if this process made it last: tasks of a worker share what it has learned."""
+        if cls._last is None or cls._last[0] != name:
+            cls._last = None
+            cls._last = (name, make())
+        return cls._last[1]
 
     def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.cache]
-        if len(self.cache) + len(new) > _CACHE_WORDS:
-            self.cache.clear()
-            new = list(words)
-        of_id, inside, last = self.classes.of_id, self.classes.inside, self.classes.end
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for word, ids in zip(part, _spelled(part, self.tokenizer)):
-                own = of_id[ids]
-                before = np.concatenate([[last], own[:-1]]) if len(inside) > 1 else 0
-                self.cache[word] = (own.astype(np.uint8).tobytes(), float(inside[before, ids].sum()))
-
-    def sequence(self, words: list[bytes]) -> tuple[np.ndarray, float]:
-        """Classes of the words, and the sum of the log probabilities of their ids within the classes."""
-        self.learn(set(words))
-        found = [self.cache[w] for w in words]
-        return np.frombuffer(b"".join([c for c, _ in found]), np.uint8), sum([x for _, x in found])
+        new = [w for w in words if w not in self.number]
+        held, text = getattr(self, "held", (0, 0))
+        if held < len(self.number) and len(self.number) - held + len(new) > _PASSING_WORDS:
+            for w in list(islice(reversed(self.number), len(self.number) - held)):
+                del self.number[w]
+            self.first, self.size, self.inside, self.score, self.text = self.first[:held], self.size[:held], self.inside[:held], self.score[:held], self.text[:text]
+            new = [w for w in words if w not in self.number]
+        if not new:
+            return
+        of_id, within, last = self.classes.of_id, self.classes.inside, self.classes.end
+        ids, lengths = _spelled(new, self.description)
+        ends = np.cumsum(lengths)
+        starts = ends - lengths
+        own = of_id[ids]
+        before = np.zeros(len(ids), np.int64)
+        if len(within) > 1:
+            before[1:] = own[:-1]
+            before[starts[lengths > 0]] = last
+        total = np.concatenate([[0.0], np.cumsum(within[before, ids].astype(np.float64))])
+        self.number.update(zip(new, range(len(self.first), len(self.first) + len(new))))
+        self.first = np.concatenate([self.first, starts + len(self.text)])
+        self.size = np.concatenate([self.size, lengths])
+        self.inside = np.concatenate([self.inside, total[ends] - total[starts]])
+        self.score = np.concatenate([self.score, [self.base.get(w, np.nan) for w in new]])
+        self.text = np.concatenate([self.text, own.astype(np.uint8)])
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """Of words that have been learned."""
+        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+
+    def sequence(self, numbers: np.ndarray) -> np.ndarray:
+        """Classes of the words one after the other."""
+        size = self.size[numbers]
+        return self.text[np.repeat(self.first[numbers] - np.cumsum(size) + size, size) + np.arange(size.sum())]
 
 
 def _fill(pieces: list[tuple], window: int):
@@ -219,43 +281,54 @@ def _fill(pieces: list[tuple], window: int):
     return x, y, wanted
 
 
-def score_sequences(model: Attention, classes: Classes, sequences: list[np.ndarray], stride: int = STRIDE) -> np.ndarray:
-    """Natural log probability of each class sequence with its end; every target scored once."""
-    out = np.zeros(len(sequences))
-    pieces, owners = [], []
-
-    def run() -> None:
-        x, y, wanted = _fill(pieces, model.window)
-        logs = log_probabilities(model, x, y, wanted)
-        np.add.at(out, np.repeat(owners, wanted.sum(1)), logs)
-        pieces.clear()
-        owners.clear()
-
-    for i, sequence in enumerate(sequences):
-        inputs = np.concatenate([[classes.begin], sequence]).astype(np.uint8)
-        targets = np.concatenate([sequence, [classes.end]]).astype(np.uint8)
-        for first, scored, end in windows_of(targets, model.window, stride):
-            pieces.append((inputs[first:end], targets[first:end], scored - first))
-            owners.append(i)
-            if len(pieces) == BATCH_WINDOWS:
-                run()
-    if pieces:
-        run()
+def score_sequences(model: Attention, classes: Classes, flat: np.ndarray, lengths: np.ndarray, stride: int = STRIDE) -> np.ndarray:
+    """Natural log probability of each class sequence with its end; every target scored once. The sequences lie one after
+    the other in ``flat``.
+
+    The windows of all sequences are laid out at once (those of ``windows_of``) and run in batches that stay in cache.
+    """
+    out, window = np.zeros(len(lengths)), model.window
+    if not len(lengths):
+        return out
+    sizes = lengths + 1
+    first = np.cumsum(sizes) - sizes
+    targets = np.full(sizes.sum(), classes.end, np.uint8)
+    targets[np.arange(len(flat)) + np.repeat(np.arange(len(lengths)), lengths)] = flat
+    inputs = np.empty_like(targets)
+    inputs[1:] = targets[:-1]
+    inputs[first] = classes.begin
+    count = np.where(sizes <= window, 1, 1 + -(-(sizes - window) // stride))
+    owner = np.repeat(np.arange(len(sizes)), count)
+    turn = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    end = np.minimum(sizes[owner], window + stride * turn)
+    start = np.maximum(0, end - window)
+    done = np.where(turn == 0, 0, window + stride * (turn - 1))
+    steps = np.arange(window)
+    for low in range(0, len(owner), BATCH_WINDOWS):
+        part = slice(low, low + BATCH_WINDOWS)
+        place = start[part, None] + steps
+        wanted = (place >= done[part, None]) & (place < end[part, None])
+        at = np.minimum(place, end[part, None] - 1) + first[owner[part], None]
+        logs = log_probabilities(model, inputs[at], targets[at], wanted)
+        out += np.bincount(np.repeat(owner[part], wanted.sum(1)), logs, len(sizes))
     return out
 
 
-def _training_pieces(words: list[bytes], speller: Speller, window: int, share: float) -> list[tuple]:
-    """Windows of a text at places drawn by its content; on average one in ``1 / share`` of them."""
-    seed = zlib.crc32(b" ".join(words[:64])) ^ len(words)
-    rng = np.random.default_rng(seed)
-    want = int(len(words) * 2.5 / window * share + rng.random())
+def _training_pieces(texts: Iterable[str | None], speller: Speller, window: int, share: float) -> list[tuple]:
+    """Windows of texts at places drawn by their content; on average one in ``1 / share`` of them."""
+    drawn: list[tuple[list[bytes], bool, bool]] = []
+    for text in texts:
+        raw = (text or "").encode("utf-8", "surrogatepass")
+        rng = random.Random(zlib.crc32(raw))
+        want = int(len(raw) * IDS_PER_BYTE / window * share + rng.random())
+        words = raw.lower().split() if want else []
+        for _ in range(want):
+            start = rng.randrange(max(1, len(words)))
+            drawn.append((words[start : start + window], start == 0, start + window >= len(words)))
+    speller.learn(set().union(*(part for part, _, _ in drawn)))
     pieces = []
-    for start in rng.integers(0, max(1, len(words)), want):
-        part = words[start : start + window]
-        sequence, _ = speller.sequence(part)
-        head = [speller.classes.begin] if start == 0 else []
-        tail = [speller.classes.end] if start + window >= len(words) else []
-        whole = np.concatenate([head, sequence, tail]).astype(np.uint8)[: window + 1]
+    for part, head, tail in drawn:
+        whole = np.concatenate([[speller.classes.begin] if head else [], speller.sequence(speller.numbers(part)), [speller.classes.end] if tail else []]).astype(np.uint8)[: window + 1]
         if len(whole) > 1:
             pieces.append((whole[:-1], whole[1:], 0))
     return pieces
@@ -265,16 +338,17 @@ def _partition_fit(shared, rate: float, share: float):
     """One pass over a partition: its windows train a copy of the shared model, whose weights come back with their number."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        description, classes, start = shared.value
-        speller = Speller(description, classes)
+        name, description, classes, start = shared.value
+        speller = Speller.shared(name, lambda: Speller(description, classes))
         adam = Adam(copy_of(start), rate)
         held, seen = [], 0
         for batch in slices(batches):
-            for text in batch.column(0):
-                held += _training_pieces(split_words(text.as_py() or ""), speller, start.window, share)
-                while len(held) >= BATCH_WINDOWS:
-                    adam.step(*_fill(held[:BATCH_WINDOWS], start.window))
-                    seen, held = seen + BATCH_WINDOWS, held[BATCH_WINDOWS:]
+            held += _training_pieces(batch.column(0).to_pylist(), speller, start.window, share)
+            at = 0
+            while len(held) - at >= BATCH_WINDOWS:
+                adam.step(*_fill(held[at : at + BATCH_WINDOWS], start.window))
+                seen, at = seen + BATCH_WINDOWS, at + BATCH_WINDOWS
+            held = held[at:]
         if held:
             adam.step(*_fill(held, start.window))
             seen += len(held)
@@ -288,10 +362,10 @@ def _partition_fit(shared, rate: float, share: float):
 
 def _sampled_pieces(shared, share: float):
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        description, classes, start = shared.value
-        speller = Speller(description, classes)
+        name, description, classes, start = shared.value
+        speller = Speller.shared(name, lambda: Speller(description, classes))
         for batch in slices(batches):
-            found = [p for t in batch.column(0) for p in _training_pieces(split_words(t.as_py() or ""), speller, start.window, share)]
+            found = _training_pieces(batch.column(0).to_pylist(), speller, start.window, share)
             yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([p[0][:1], p[1]]).tobytes() for p in found], pa.binary())], names=["w"])
 
     return over
@@ -318,7 +392,8 @@ def fit(texts: DataFrame, *, tokenizer_path: str, pattern: str, frequent: int =
         classes = with_pairs(classes, *(behind.column(c).to_numpy() for c in ("row", "id", "n")))
     model = new_attention(len(classes.prior) + 1, len(classes.prior), width=WIDTH, window=WINDOW, prior=classes.prior, seed=1)
     if tokens:
-        start = spark.sparkContext.broadcast((description, classes, model))
+        name = uuid.uuid4().hex
+        start = spark.sparkContext.broadcast((name, description, classes, model))
         # The bounded sample of the first step: a share of windows that gives about first_windows, cut there.
         rate = min(1.0, 1.5 * first_windows * WINDOW / max(1.0, 2.5 * tokens))
         some = texts.mapInArrow(_sampled_pieces(start, rate), "w binary").orderBy(F.xxhash64("w"), "w").limit(first_windows).collect()
@@ -330,7 +405,7 @@ def fit(texts: DataFrame, *, tokenizer_path: str, pattern: str, frequent: int =
             adam.rate = 1e-2 / (1 + turn)
             for at in range(0, len(order), BATCH_WINDOWS):
                 adam.step(*_fill([pieces[i] for i in order[at : at + BATCH_WINDOWS]], WINDOW))
-        start = spark.sparkContext.broadcast((description, classes, model))
+        start = spark.sparkContext.broadcast((name, description, classes, model))
         parts = texts.mapInArrow(_partition_fit(start, 1e-3, share), "at int, w double, n double").groupBy("at").agg((F.sum("w") / F.sum("n")).alias("w")).toArrow()
         if parts.num_rows:
             flat = np.zeros(parts.num_rows)
@@ -338,7 +413,7 @@ def fit(texts: DataFrame, *, tokenizer_path: str, pattern: str, frequent: int =
             model = model.like(flat)
     table = frequent_words(counts, frequent)
     known = dict(zip((w.encode() for w in table.column("word").to_pylist()), table.column("c").to_pylist()))
-    return LanguageModel(description, classes, model, known, tokens, distinct), counts
+    return LanguageModel(description, classes, model, known, tokens, distinct, uuid.uuid4().hex), counts
 
 
 def _score_rows(shared):
@@ -348,29 +423,35 @@ def _score_rows(shared):
         from pyspark import TaskContext
 
         lm: LanguageModel = shared.value
-        speller = Speller(lm.description, lm.classes)
+        speller = Speller.shared(lm.name, lambda: Speller(lm.description, lm.classes, dict(zip(lm.frequent, lm.base(np.array(list(lm.frequent.values()), float)).tolist()))))
         row = TaskContext.get().partitionId() << 40
-        base_of = {w: float(lm.base(c)) for w, c in lm.frequent.items()}
-        of_end = base_of.get(END)
+        of_end = speller.base.get(END)
         for batch in slices(batches, max_bytes=4 << 20, max_rows=1024):
-            n, known, base, rare, sequences, inside = [], [], [], [], [], []
-            for text in batch.column(2):
-                words = split_words(text.as_py() or "")
-                logs = list(map(base_of.get, words))
-                missing = [w for w, x in zip(words, logs) if x is None] if None in logs else []
-                n.append(len(words) + 1)
-                # The end is counted like a word: here if it is frequent, else with the others.
-                known.append(len(words) - len(missing) + (of_end is not None))
-                base.append(sum(x for x in logs if x is not None) + (of_end or 0.0))
-                rare.append(missing if of_end is not None else [*missing, END])
-                sequence, within = speller.sequence(words)
-                sequences.append(sequence)
-                inside.append(within)
-            score = (score_sequences(lm.attention, lm.classes, sequences) + np.array(inside)) / np.log(10)
+            split = [split_words(text or "") for text in batch.column(2).to_pylist()]
+            sizes = np.array([len(words) for words in split], np.int64)
+            words = list(chain.from_iterable(split))
+            speller.learn(set(words))
+            numbers = speller.numbers(words)
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            logs = speller.score[numbers]
+            missing = np.flatnonzero(np.isnan(logs))
+            gaps = np.bincount(owner[missing], minlength=len(sizes))
+            # The end is counted like a word: here if it is frequent, else with the others.
+            known = sizes - gaps + (of_end is not None)
+            base = np.bincount(owner, np.nan_to_num(logs), len(sizes)) + (of_end or 0.0)
+            rare = [words[i] for i in missing.tolist()]
+            if of_end is None:
+                for at in np.cumsum(gaps)[::-1].tolist():
+                    rare.insert(at, END)
+                gaps = gaps + 1
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(gaps)]), pa.int32()), pa.array(rare, pa.binary()).cast(pa.string()))
+            lengths = np.bincount(owner, speller.size[numbers], len(sizes)).astype(np.int64)
+            score = score_sequences(lm.attention, lm.classes, speller.sequence(numbers), lengths) + np.bincount(owner, speller.inside[numbers], len(sizes))
+            n = sizes + 1
             rows = pa.array(np.arange(row, row + len(n)))
             row += len(n)
             yield pa.RecordBatch.from_arrays(
-                [rows, batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score), pa.array(rare, pa.list_(pa.binary())).cast(pa.list_(pa.string()))],
+                [rows, batch.column(0), batch.column(1), pa.array(n), pa.array(known), pa.array(base), pa.array(score / np.log(10)), lists],
                 names=["row", "id", "held_out", "n_tokens", "known", "base", "score", "rare"],
             )
 
@@ -389,10 +470,10 @@ def score(df: DataFrame, held_out: Column, *, tokenizer_path: str, pattern: str,
     kind = "row long, id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<string>"
     scored = stash(rows.mapInArrow(_score_rows(shared), kind), "lm-rows")
     # What is rare is looked up by a join; words frequent enough to crowd a partition are not among it.
-    words = scored.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count(F.lit(1)).alias("n"))
+    words = scored.select("row", F.explode("rare").alias("word"))
     total = F.lit(lm.tokens + 0.5 * (lm.distinct + 1))
     c = F.coalesce(F.col("c"), F.lit(0))
-    looked = words.join(counts, "word", "left").groupBy("row").agg(F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("more"), F.sum(F.col("n") * F.log10((c + 0.5) / total)).alias("add"))
+    looked = words.join(counts, "word", "left").groupBy("row").agg(F.count(F.when(c > 0, 1)).alias("more"), F.sum(F.log10((c + 0.5) / total)).alias("add"))
     return scored.drop("rare").join(looked, "row", "left").select(
         F.col("id").alias("doc_id"), "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(lm.tokens).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("add", F.lit(0.0))).alias("base_score"), "score",

@@ -36,7 +36,7 @@ def test_windows_score_every_token_once_and_match_a_plain_loop():
     m = new_attention(7, 6, width=4, window=8, seed=2)
     rng = np.random.default_rng(1)
     sequences = [rng.integers(0, 5, n).astype(np.uint8) for n in (0, 1, 6, 7, 8, 40)]
-    got = score_sequences(m, classes, sequences, 5)
+    got = score_sequences(m, classes, np.concatenate(sequences), np.array([len(s) for s in sequences]), 5)
     for sequence, value in zip(sequences, got):
         inputs, targets = [classes.begin, *sequence], [*sequence, classes.end]
         total = 0.0
