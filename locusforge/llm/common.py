@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -80,8 +83,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@lru_cache(maxsize=1)
+def _trim():
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return lambda _: 0
+
+
+def give_back() -> None:
+    """Hand memory that was freed back to the system: workers live on after their task."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def slices(batches: Iterator, max_bytes: int = 8 << 20, max_rows: int = 4096) -> Iterator:
     """Arrow batches cut into pieces of bounded size, so that a worker's memory does not follow the batch size."""
+    try:
+        yield from _pieces(batches, max_bytes, max_rows)
+    finally:
+        give_back()
+
+
+def _pieces(batches: Iterator, max_bytes: int, max_rows: int) -> Iterator:
     for batch in batches:
         rows = batch.num_rows
         if not rows:
