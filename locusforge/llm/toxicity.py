@@ -30,6 +30,8 @@ MIN_SPREAD = 12.0
 #: Lengths, in characters, of word beginnings that count as terms.
 BEGINNINGS = (3, 4, 5, 6, 7, 8)
 FACTORS = 8
+#: Terms of documents that a step of fitting handles at once.
+CHUNK_TERMS = 1 << 17
 _CACHE_WORDS = 200_000
 _SEPARATORS = bytes(i for i in range(128) if not chr(i).isalpha())
 _SPACES = bytes.maketrans(_SEPARATORS, b" " * len(_SEPARATORS))
@@ -77,24 +79,27 @@ def fit_machine(buckets: np.ndarray, documents: list[np.ndarray], labels: np.nda
     bias, weights, table = float(np.log(share / (1 - share))), np.zeros(m), rng.normal(0, 0.02, (m, factors))
     if not n or not m:
         return Machine(buckets, bias if n else -1.0, weights.astype(np.float32), (table * 0).astype(np.float32))
-    owner = np.repeat(np.arange(n), [len(d) for d in documents])
-    flat = np.concatenate(documents).astype(np.int64) if len(owner) else np.zeros(0, np.int64)
-
-    def by(index: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
-        return np.stack([np.bincount(index, values[:, f], size) for f in range(values.shape[1])], 1)
+    sizes = np.array([len(d) for d in documents], np.int64)
+    ends = np.cumsum(sizes)
+    flat = np.concatenate(documents).astype(np.int64) if ends[-1] else np.zeros(0, np.int64)
+    # Parts of the documents with about CHUNK_TERMS terms each bound what a step holds.
+    cuts = sorted({0, n, *np.searchsorted(ends, np.arange(CHUNK_TERMS, int(ends[-1]), CHUNK_TERMS)).tolist()})
+    parts = [(low, high, int(ends[low] - sizes[low]), int(ends[high - 1])) for low, high in zip(cuts, cuts[1:])]
 
     state = [np.zeros(1), np.zeros(1), np.zeros(m), np.zeros(m), np.zeros((m, factors)), np.zeros((m, factors))]
     for step in range(1, steps + 1):
-        v = table[flat]
-        total = by(owner, v, n)
-        square = np.bincount(owner, (v * v).sum(1), n)
-        logit = bias + np.bincount(owner, weights[flat], n) + 0.5 * ((total * total).sum(1) - square)
-        error = (sigmoid(logit) - labels) / n
-        slopes = [
-            np.array([error.sum()]),
-            np.bincount(flat, error[owner], m) + decay * weights / n,
-            by(flat, error[owner][:, None] * (total[owner] - v), m) + pair_decay * table / n,
-        ]
+        slopes = [np.zeros(1), decay * weights / n, pair_decay * table / n]
+        for low, high, first, last in parts:
+            own, k = flat[first:last], high - low
+            owner = np.repeat(np.arange(k), sizes[low:high])
+            v = table[own]
+            total = np.stack([np.bincount(owner, v[:, f], k) for f in range(factors)], 1)
+            logit = bias + np.bincount(owner, weights[own] - 0.5 * (v * v).sum(1), k) + 0.5 * (total * total).sum(1)
+            error = (sigmoid(logit) - labels[low:high]) / n
+            slopes[0] += error.sum()
+            slopes[1] += np.bincount(own, error[owner], m)
+            for f in range(factors):
+                slopes[2][:, f] += np.bincount(own, error[owner] * (total[owner, f] - v[:, f]), m)
         moved = []
         for i, slope in enumerate(slopes):
             state[2 * i] = 0.9 * state[2 * i] + 0.1 * slope
@@ -140,10 +145,13 @@ def fit(texts: DataFrame, labels: DataFrame, *, text_col: str = "text", id_col:
     spread = (F.col("t") - want) * (F.col("t") - want) / (want * F.lit(max(1e-9, 1 - positive / n)) + F.lit(0.5))
     best = each.where("c >= 3").select("bucket", spread.alias("s")).where(F.col("s") >= MIN_SPREAD).orderBy(F.desc("s"), "bucket").limit(model_terms).collect()
     buckets = np.sort(np.array([r.bucket for r in best], np.int64))
-    local = terms.mapInArrow(_positions(buckets), "y int, positions array<int>").collect()
-    local.sort(key=lambda r: (r.y, r.positions))
-    documents = [np.array(r.positions, np.int64) for r in local]
-    return fit_machine(buckets, documents, np.array([r.y for r in local], float))
+    local = terms.mapInArrow(_positions(buckets), "y int, positions array<int>").toArrow().combine_chunks()
+    lists = local.column("positions").combine_chunks()
+    flat, offsets = lists.values.to_numpy().astype(np.int32), lists.offsets.to_numpy()
+    documents = [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
+    y = local.column("y").to_numpy().astype(float)
+    order = sorted(range(len(documents)), key=lambda i: (y[i], documents[i].tobytes()))  # sums then agree between runs
+    return fit_machine(buckets, [documents[i] for i in order], y[order])
 
 
 def _positions(buckets: np.ndarray):
