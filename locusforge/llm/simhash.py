@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from locusforge.llm.common import cut, slices
 from locusforge.llm.components import components
+from locusforge.llm.set_join import bag_of, similar_links
 
 BITS = 64
 #: A bucket of up to this many fingerprints is searched in one task (512 KB of them); a larger one by radius keys.
@@ -255,57 +256,53 @@ def fingerprint_links(distinct: DataFrame, *, distance: int = 4, segments: int |
     return links.union(_radius_links(crowd, distance) if distance <= RADIUS_UP_TO else _tiled_links(crowd, distance, bucket_rows))
 
 
-def _shingle_sets(words: int, seed: int):
+def _signed_batches(words: int, seed: int):
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            sets = [np.unique(np.array(shingle_hashes(t.as_py() or "", words, seed), np.uint64)).view(np.int64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["fp", "shingles"])
+        for batch in slices(batches, max_bytes=1 << 20):
+            held = [np.array(shingle_hashes(t.as_py() or "", words, seed), np.uint64) for t in batch.column(2)]
+            bags = np.array([bag_of(np.unique(h)) for h in held], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(majority_bits(held).view(np.int64)), pa.array(bags.view(np.int64))], names=["doc_id", "text_key", "fp", "bag"])
 
     return over
 
 
-def _similar(links: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: float, words: int, seed: int) -> DataFrame:
-    """The links whose representatives' shingle sets have at least the Jaccard similarity asked for."""
-    ends = links.select(F.col("a").alias("fp")).union(links.select("b")).distinct()
-    chosen = ends.join(nodes, "fp").select("fp", F.col("least").alias("doc_id"))
-    sets = texts.join(chosen, "doc_id").select("fp", "text").mapInArrow(_shingle_sets(words, seed), "fp long, shingles array<long>")
-    sets = cut(sets.groupBy("fp").agg(F.min("shingles").alias("shingles")))
-    both = links.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return cut(both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b"))
-
-
 def near_duplicates(df: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", words: int = 4, seed: int = 42, distance: int = 4, segments: int | None = None, bucket_rows: int = BUCKET_ROWS, similarity: float | None = None) -> DataFrame:
     """``doc_id, fp, component_id`` for each row of ``df``: the smallest identifier that links lead to.
 
-    With ``similarity`` a link between different fingerprints also needs shingle sets of that Jaccard similarity, taken
-    from one document of each fingerprint.
+    With ``similarity`` rows are linked exactly if their shingle sets have that Jaccard similarity, whatever their
+    fingerprints: neither a far fingerprint parts similar rows nor an equal one joins others. ``distance``, ``segments`` and
+    ``bucket_rows`` have no part in that.
 
     Null texts count as empty; texts without words share fingerprint zero. Rows that repeat an identifier each get a row.
     A null identifier never names a component unless all identifiers of the component are null. An empty table gives an
     empty result. Columns beside the two named are ignored.
     """
-    rows = cut(fingerprints(df, text_col=text_col, id_col=id_col, words=words, seed=seed))
-    nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
-    links = fingerprint_links(nodes, distance=distance, segments=segments, bucket_rows=bucket_rows)
-    if similarity is not None:
-        texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-        links = _similar(links, nodes, texts, similarity, words, seed)
+    by = "fp" if similarity is None else "bag"
+    if similarity is None:
+        rows = cut(fingerprints(df, text_col=text_col, id_col=id_col, words=words, seed=seed))
+    else:
+        texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+        rows = cut(texts.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(_signed_batches(words, seed), "doc_id long, text_key long, fp long, bag long"))
+    nodes = cut(rows.groupBy(by).agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
+    if similarity is None:
+        links = fingerprint_links(nodes, distance=distance, segments=segments, bucket_rows=bucket_rows)
+    else:
+        links = similar_links(texts, rows, rows.count(), similarity, lambda text: shingle_hashes(text, words, seed))
     if links.isEmpty():
         merged = nodes
     else:
         found = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        named = found.join(nodes, found.node == nodes.fp).select("fp", "least", "component")
+        named = found.join(nodes, found.node == nodes[by]).select(by, "least", "component")
         least = named.groupBy("component").agg(F.min("least").alias("reached"))
-        renamed = named.join(least, "component").select("fp", "reached")
-        merged = cut(nodes.join(renamed, "fp", "left").select("fp", "n", F.coalesce("reached", "least").alias("least")))
+        renamed = named.join(least, "component").select(by, "reached")
+        merged = cut(nodes.join(renamed, by, "left").select(by, "n", F.coalesce("reached", "least").alias("least")))
     # A fingerprint with a thousandth of all rows would fill a task; at most a thousand can have that many.
     common = max(2, (nodes.agg(F.sum("n")).first()[0] or 0) // 1000)
-    frequent = merged.where(F.col("n") > common).select("fp", F.col("least").alias("component_id"))
-    others = merged.where(F.col("n") <= common).select("fp", F.col("least").alias("component_id"))
-    met = rows.join(F.broadcast(frequent), "fp")
-    rare = rows.join(F.broadcast(frequent.select("fp")), "fp", "left_anti").join(others, "fp")
-    return met.union(rare).select("doc_id", "fp", "component_id")
+    frequent = merged.where(F.col("n") > common).select(by, F.col("least").alias("component_id"))
+    others = merged.where(F.col("n") <= common).select(by, F.col("least").alias("component_id"))
+    met = rows.join(F.broadcast(frequent), by)
+    rare = rows.join(F.broadcast(frequent.select(by)), by, "left_anti").join(others, by)
+    return met.unionByName(rare).select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(df: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
