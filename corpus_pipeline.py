@@ -32,10 +32,9 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents whose five-word shingles are similar to 0.8 or more the one with the smallest identifier.
 
-    Fingerprints of such documents differ by up to some ten bits (eight or nine on average at 0.8), so links are sought
-    within ten and confirmed on the shingles.
+    Links are sought through shared shingles and confirmed on whole shingle sets, so no such pair is left out.
     """
-    return drop_near_duplicates(docs, words=5, distance=10, similarity=0.8)
+    return drop_near_duplicates(docs, words=5, similarity=0.8)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
