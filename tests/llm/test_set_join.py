@@ -73,6 +73,15 @@ def test_every_similar_pair_is_linked_whatever_the_bounds(spark, mixed, monkeypa
     assert found_of(spark, mixed) == want_of([(i, t or "") for i, t in mixed])
 
 
+def test_equal_fingerprints_alone_do_not_link(spark):
+    rows = [(1, "w " * 3000), (2, "w " * 200 + " ".join(f"other{k}" for k in range(15))), (3, "W\n" * 200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = near_duplicates(df, words=5, similarity=0.8).collect()
+    assert len({r.fp for r in found}) == 1
+    assert {r.doc_id: r.component_id for r in found} == {1: 1, 2: 2, 3: 1}
+    assert sorted(r.doc_id for r in drop_near_duplicates(df, words=5, similarity=0.8).collect()) == [1, 2]
+
+
 def test_rows_without_or_with_repeated_identifiers_count_with_their_own_texts(spark):
     a, b = copies(random.Random(9), 1, (3,))
     c, d = copies(random.Random(10), 1, (3,))
