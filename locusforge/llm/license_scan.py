@@ -27,9 +27,12 @@ _PARTS = bytes(b for b in range(128) if not (0x30 <= b <= 0x39 or 0x61 <= b <= 0
 _TO_SPACE = bytes.maketrans(_PARTS, b" " * len(_PARTS))
 
 
+_VERSION_ENDS = frozenset(bytes([b]) for b in b"0123456789v")
+
+
 @dataclass(frozen=True)
 class Rule:
-    """``keywords``: words of which a text must hold one. ``confidence``: how sure a lone detection is, 0 to 1."""
+    """``keywords``: words of which a text must hold one, or one with a version joined to it. ``confidence``: how sure a lone detection is, 0 to 1."""
 
     label: str
     pattern: str
@@ -170,6 +173,7 @@ class Scanner:
             for word in rule.keywords:
                 self._by_word.setdefault(word.encode(), []).append(i)
         self._keys = frozenset(self._by_word)
+        self._longest = max(map(len, self._keys), default=0)
         self._phrases = [(re.compile(rf"(?<![^ ]){re.escape(p)}(?![^ ])".encode()), frozenset(p.encode().split()), label) for p, label in self.base.items()]
 
     @staticmethod
@@ -180,6 +184,8 @@ class Scanner:
         """Detections that are left after suppression, by place in the joined words."""
         held = frozenset(words) if held is None else held
         keys = self._keys & held
+        # Names stand with versions joined to them too: gplv3, mpl2, cc01; words end so seldom.
+        keys |= {w[:n] for w in held if w[-1:] in _VERSION_ENDS for n in range(1, min(len(w), self._longest + 1)) if w[:n] in self._keys}
         if not keys:
             return []
         joined = b" ".join(words) if joined is None else joined

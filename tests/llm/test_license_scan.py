@@ -59,6 +59,48 @@ def test_keyword_gate_loses_nothing():
         assert gated and {d.label for d in suppress(every)} == {d.label for d in gated}
 
 
+def sample(parsed, rng):
+    """A text that a parsed pattern matches, look-arounds aside."""
+    out = ""
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(arg)
+        elif name == "SUBPATTERN":
+            out += sample(arg[3], rng)
+        elif name == "BRANCH":
+            out += sample(rng.choice(arg[1]), rng)
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            out += "".join(sample(arg[2], rng) for _ in range(rng.randint(arg[0], min(arg[1], 4))))
+        elif name == "IN":
+            kind, value = rng.choice(arg)
+            out += chr(value) if str(kind) == "LITERAL" else "7"
+        elif name == "ANY":
+            out += "q"
+        else:
+            assert name == "ASSERT_NOT", name
+    return out
+
+
+def test_keyword_gate_loses_no_rule_and_no_version():
+    """Texts generated from every rule, joined forms among them, give what a scan without a gate gives."""
+    scanner, rng = Scanner(), random.Random(7)
+    for rule, pattern in zip(scanner.rules, scanner._compiled):
+        parsed = re._parser.parse(rule.pattern)
+        for _ in range(12):
+            words = scanner.words(sample(parsed, rng))
+            joined = b" ".join(words)
+            if not pattern.search(joined):
+                continue
+            every = [Detection(r.label, m.start(), m.end(), r.priority, r.confidence) for r, p in zip(scanner.rules, scanner._compiled) for m in p.finditer(joined)]
+            assert scanner.detections(words) == suppress(every), joined
+
+
+def test_joined_names_and_versions():
+    for text, label in {"GPLv3": "gpl-3", "GPLv2": "gpl-2", "LGPLv3": "lgpl-3", "AGPLv3": "agpl-3", "MPL2": "mpl-2", "WTFPLv2": "wtfpl-2", "under GNU GPLv3.": "gpl-3", "CC01": "cc0-1", "gplv": "gpl"}.items():
+        assert Scanner().scan(text)["labels"] == label
+
+
 def test_suppression_against_brute_force():
     rng = random.Random(4)
     for _ in range(200):
