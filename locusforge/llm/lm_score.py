@@ -6,8 +6,8 @@ all words stay distributed, and only the most frequent words (a fixed number) tr
 The model spells each word in subword ids of a given vocabulary. Ids fall into classes: each of the most frequent is its
 own, the others share classes of like frequency. A one-layer attention model predicts the next class from the classes
 before it; the id within a class has its smoothed frequency in the training rows behind the class of the id before it in
-the word. So every id sequence has a probability. The model is fitted in two steps: on the driver on a bounded sample, and then on every partition on a fixed
-share of all training windows, where the partitions' models are averaged by the words they saw.
+the word. So every id sequence has a probability. The model is fitted in two steps: on the driver on a bounded sample, and then on every partition on all
+its training windows, where the partitions' models are averaged by the words they saw.
 """
 
 from __future__ import annotations
@@ -37,8 +37,8 @@ OWN_CLASSES = 103
 WIDTH, WINDOW, STRIDE = 16, 24, 20
 #: Weight of an id's frequency in its class against its frequency behind the class before it.
 PAIR_PRIOR = 4.0
-#: One window in so many of the training rows' windows takes part in fitting; of these the driver's first model sees at most so many.
-WINDOW_SHARE = 32
+#: All windows of the training rows take part in fitting; the driver's first model, where it starts from, sees at most so many.
+WINDOW_SHARE = 1
 FIRST_WINDOWS = 12_000
 #: Subword ids to expect of a byte of text; only the number of windows follows it.
 IDS_PER_BYTE = 0.39
@@ -315,7 +315,15 @@ def score_sequences(model: Attention, classes: Classes, flat: np.ndarray, length
 
 
 def _training_pieces(texts: Iterable[str | None], speller: Speller, window: int, share: float) -> list[tuple]:
-    """Windows of texts at places drawn by their content; on average one in ``1 / share`` of them."""
+    """Windows of texts: all, side by side, or for a lesser share at places drawn by their content, one in ``1 / share``."""
+    if share >= 1:
+        held = [(text or "").encode("utf-8", "surrogatepass").lower().split() for text in texts]
+        speller.learn(set().union(*held))
+        pieces = []
+        for words in held:
+            whole = np.concatenate([[speller.classes.begin], speller.sequence(speller.numbers(words)), [speller.classes.end]]).astype(np.uint8)
+            pieces += [(whole[at : at + window], whole[at + 1 : at + 1 + window], 0) for at in range(0, len(whole) - 1, window)]
+        return [(x[: len(y)], y, n) for x, y, n in pieces]
     drawn: list[tuple[list[bytes], bool, bool]] = []
     for text in texts:
         raw = (text or "").encode("utf-8", "surrogatepass")
@@ -342,7 +350,7 @@ def _partition_fit(shared, rate: float, share: float):
         speller = Speller.shared(name, lambda: Speller(description, classes))
         adam = Adam(copy_of(start), rate)
         held, seen = [], 0
-        for batch in slices(batches):
+        for batch in slices(batches, max_bytes=1 << 20):
             held += _training_pieces(batch.column(0).to_pylist(), speller, start.window, share)
             at = 0
             while len(held) - at >= BATCH_WINDOWS:

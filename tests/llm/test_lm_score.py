@@ -109,3 +109,18 @@ def test_no_training_rows_and_no_rows(spark):
     got = sorted((r.doc_id, r.n_known, r.train_tokens, r.base_score) for r in score(df, F.lit(True), **OPTIONS).collect())
     assert got == [(1, 0, 0, 0.0), (2, 0, 0, 0.0)]
     assert score(df.limit(0), F.lit(False), **OPTIONS).count() == 0
+
+
+def test_all_windows_are_trained_on():
+    import inspect
+
+    from locusforge.llm import lm_score as L
+
+    description = L.tokenizer_json(L.read_ranks(OPTIONS["tokenizer_path"]), P.PATTERN)
+    speller = L.Speller(description, make_classes(np.ones(L._loaded(description).get_vocab_size(), np.int64), 1))
+    texts = ["some words that go on " * 40, "one", "", None]
+    share = inspect.signature(L.fit).parameters["share"].default
+    pieces = L._training_pieces(texts, speller, 24, share)
+    wanted = np.concatenate([np.append(speller.sequence(speller.numbers(L.split_words(t or ""))), speller.classes.end) for t in texts])
+    assert np.array_equal(np.concatenate([p[1] for p in pieces]), wanted)
+    assert all(len(p[0]) == len(p[1]) <= 24 for p in pieces)
