@@ -455,7 +455,7 @@ def bayes_loco(spark: SparkSession, sf_dir: str) -> DataFrame:
     geno = nation_genotypes(spark, sf_dir)
     mean = {x.c_nationkey: x.y for x in table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.avg("c_acctbal").alias("y")).collect()}
     y = np.array([mean.get(int(s), 0.0) for s in geno.samples])
-    return bayes.bayes_loco(geno, y, config={"max_epochs": 20})[0]
+    return bayes.bayes_loco(geno, y)[0]
 
 
 @query("""WITH h AS (SELECT l_partkey AS marker_idx, l_linenumber AS iteration, l_discount + l_orderkey / 1e9 AS p, l_tax AS effect, l_quantity AS se FROM lineitem)
@@ -469,7 +469,7 @@ def substitution(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def farmcpu_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     geno, y = supplier_panel(spark, sf_dir)
-    return multilocus.resample(geno, y, runs=3, seed=1, threshold=1e-4)
+    return multilocus.resample(geno, y, seed=1)
 
 
 @query()

@@ -37,3 +37,11 @@ def test_sql_agrees(spark, db, name):
 @pytest.mark.parametrize("name", ["principal_components", "mlm_global", "farmcpu", "blink", "effective_tests", "qq_histogram", "manhattan_points"])
 def test_others_return_rows(spark, name):
     assert catalog.queries()[name](spark, DIR).count() > 0
+
+
+def test_long_models_run_with_the_operators_own_defaults(monkeypatch):
+    told = {}
+    monkeypatch.setattr(catalog, "supplier_panel", lambda *_: (None, None))
+    monkeypatch.setattr(catalog.multilocus, "resample", lambda geno, y, **options: told.update(options))
+    catalog.queries()["farmcpu_resampling"](None, DIR)
+    assert set(told) <= {"seed"}
