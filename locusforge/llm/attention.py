@@ -1,26 +1,74 @@
-"""A small causal self-attention model in numpy: one layer over classes of subword ids, with its gradient and Adam."""
+"""A small causal self-attention model in numpy over ranks of subword ids, with its gradient and Adam.
+
+A rank is an id's place by falling frequency. The output layer is a tree of two levels: the model predicts the class of the
+next rank, and then the rank within the class; both from the state that attention made. What is never seen in training shares
+one input vector and, in the last class, one probability.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass, fields, replace
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 
 
+@dataclass
+class Tree:
+    """Classes of neighbouring ranks: class ``c`` has the ranks ``first[c]`` to ``first[c + 1]``; ranks from ``seen`` on are
+    the last class, and equal in it."""
+
+    first: np.ndarray
+    seen: int
+    total: int
+
+    @property
+    def classes(self) -> int:
+        return len(self.first) - 1
+
+    @cached_property
+    def of(self) -> np.ndarray:
+        """Class of each rank."""
+        return np.repeat(np.arange(self.classes, dtype=np.uint16), np.diff(self.first))
+
+
+def make_tree(counts: np.ndarray) -> Tree:
+    """For counts in falling order. A class ends at its share of the mass or at its greatest size, so that both levels together
+    have no more than a few times the root of the number of ranks seen."""
+    seen = int((counts > 0).sum())
+    root = max(1.0, np.sqrt(seen))
+    share, most = 2 * counts.sum() / root, int(2 * root)
+    first, mass = [0], 0.0
+    for rank in range(seen):
+        mass += counts[rank]
+        if mass >= share or rank + 1 - first[-1] >= most:
+            first.append(rank + 1)
+            mass = 0.0
+    if first[-1] < seen:
+        first.append(seen)
+    if seen < len(counts):
+        first.append(len(counts))
+    return Tree(np.array(first, np.int64), seen, len(counts))
+
+
 @dataclass
 class Attention:
-    """Embeddings of classes and places, query, key, value and mixing matrices, and the output layer."""
+    """``e`` and ``s``: vectors of the input and of the one before it; ``p`` of places; ``a`` and ``r``: what is asked by content
+    and by distance; ``m``: mixing; ``w1 c1 w2``: the layer after it; ``u1 b1`` and ``u2 b2``: classes, and ranks within them."""
 
     e: np.ndarray
+    s: np.ndarray
     p: np.ndarray
-    q: np.ndarray
-    k: np.ndarray
-    v: np.ndarray
-    o: np.ndarray
-    u: np.ndarray
-    b: np.ndarray
+    a: np.ndarray
+    r: np.ndarray
+    m: np.ndarray
+    w1: np.ndarray
+    c1: np.ndarray
+    w2: np.ndarray
+    u1: np.ndarray
+    b1: np.ndarray
+    u2: np.ndarray
+    b2: np.ndarray
 
     @property
     def window(self) -> int:
@@ -40,15 +88,22 @@ class Attention:
         return Attention(*out)
 
 
-def new_attention(inputs: int, outputs: int, *, width: int = 24, window: int = 32, prior: np.ndarray | None = None, seed: int = 0, dtype=np.float32) -> Attention:
-    """Random small weights; the output bias begins at the log of ``prior``."""
+def new_attention(tree: Tree, counts: np.ndarray, *, width: int = 16, inner: int = 32, window: int = 32, seed: int = 0, dtype=np.float32) -> Attention:
+    """Random small weights; the output biases begin at the log of ``counts`` (by rank). Inputs beside the ranks seen: an
+    unseen one, the begin of a text, and none."""
     rng = np.random.default_rng(seed)
-    small = lambda *shape: (rng.normal(0, 1, shape) / np.sqrt(width)).astype(dtype)
-    bias = np.zeros(outputs, dtype) if prior is None else np.log(np.maximum(prior, 1e-9)).astype(dtype)
-    return Attention(small(inputs, width) * 0.5, small(window, width) * 0.1, *[small(width, width) for _ in range(4)], small(width, outputs) * 0.1, bias)
-
-
-#: Attention scores count within these bounds, so that no row of exponentials needs its own maximum.
+    small = lambda size, *shape: (rng.normal(0, size, shape)).astype(dtype)
+    by_class = np.add.reduceat(counts + 0.5, tree.first[:-1]) if tree.classes else np.zeros(0)
+    return Attention(
+        small(0.1, tree.seen + 3, width), small(0.1, tree.seen + 3, width), small(0.05, window, width),
+        small(0.1, width, width), np.zeros((window, window), dtype), small(0.1, width, width),
+        small(0.15, width, inner), np.zeros(inner, dtype), small(0.1, inner, width),
+        small(0.05, tree.classes, width), np.log(by_class / by_class.sum()).astype(dtype),
+        small(0.05, tree.seen, width), np.log(counts[: tree.seen] + 0.5).astype(dtype) - np.log(by_class)[tree.of[: tree.seen]].astype(dtype),
+    )
+
+
+#: Attention scores and outputs count within these bounds, so that no row of exponentials needs its own maximum.
 SCORE_BOUND = 50.0
 
 
@@ -57,96 +112,158 @@ def _past(t: int, dtype) -> np.ndarray:
     return np.tril(np.ones((t, t), dtype))
 
 
-def _weights(s: np.ndarray) -> np.ndarray:
-    """Causal softmax of scores (windows, places, places), in place."""
-    np.clip(s, -SCORE_BOUND, SCORE_BOUND, out=s)
-    np.exp(s, out=s)
-    s *= _past(s.shape[-1], s.dtype)
-    s /= (s @ np.ones(s.shape[-1], s.dtype))[..., None]
-    return s
+@lru_cache(maxsize=8)
+def _ones(n: int, dtype) -> np.ndarray:
+    return np.ones(n, dtype)
 
 
-def _attend(m: Attention, x: np.ndarray):
-    n, t, d = x.shape
-    flat = x.reshape(n * t, d)
-    q, k, v = ((flat @ w).reshape(n, t, d) for w in (m.q, m.k, m.v))
-    s = q @ k.transpose(0, 2, 1)
-    s *= x.dtype.type(1 / np.sqrt(d))
-    s = _weights(s)
-    mixed = s @ v
-    return q, k, v, s, mixed, x + (mixed.reshape(n * t, d) @ m.o).reshape(n, t, d)
+def _softmax(z: np.ndarray) -> np.ndarray:
+    """Of the last axis, in place; returns the sums of the exponentials."""
+    np.clip(z, -SCORE_BOUND, SCORE_BOUND, out=z)
+    np.exp(z, out=z)
+    return z @ _ones(z.shape[-1], z.dtype)
 
 
-def log_probabilities(m: Attention, inputs: np.ndarray, targets: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+def _state(m: Attention, inputs: np.ndarray, before: np.ndarray):
+    n, t = inputs.shape
+    d = m.e.shape[1]
+    x = m.e.take(inputs.ravel(), 0)
+    x += m.s.take(before.ravel(), 0)
+    x = x.reshape(n, t, d)
+    x += m.p[:t]
+    flat = x.reshape(n * t, d)
+    asked = (flat @ m.a).reshape(n, t, d)
+    w = asked @ x.transpose(0, 2, 1)
+    w += m.r[:t, :t]
+    np.clip(w, -SCORE_BOUND, SCORE_BOUND, out=w)
+    np.exp(w, out=w)
+    w *= _past(t, w.dtype)
+    w /= (w @ _ones(t, w.dtype))[..., None]
+    mixed = (w @ x).reshape(n * t, d)
+    h = mixed @ m.m
+    h += flat
+    f = h @ m.w1
+    f += m.c1
+    np.maximum(f, 0, out=f)
+    g = f @ m.w2
+    g += h
+    return x, asked, w, mixed, h, f, g
+
+
+def log_probabilities(m: Attention, tree: Tree, inputs: np.ndarray, before: np.ndarray, targets: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Natural logs of the probabilities of ``targets`` at the places where ``wanted`` is true, in row order.
 
-    ``inputs``, ``targets`` and ``wanted`` have a row for each window; places behind a short window's end do no harm,
-    since no earlier place looks at them. Query with key and value with output are one matrix each here.
+    The arrays have a row for each window; places behind a short window's end do no harm, since no earlier place looks at
+    them.
     """
-    n, t = inputs.shape
-    x = m.e[inputs] + m.p[:t]
-    d = x.shape[2]
     at = np.flatnonzero(wanted)
-    flat = x.reshape(n * t, d)
-    asked = (flat @ ((m.q @ m.k.T) * x.dtype.type(1 / np.sqrt(d)))).reshape(n, t, d)
-    mixed = _weights(asked @ x.transpose(0, 2, 1)) @ x
-    h = flat.take(at, 0) + mixed.reshape(n * t, d).take(at, 0) @ (m.v @ m.o)
-    z = h @ m.u
-    z += m.b
-    own = z.ravel().take(np.arange(len(z)) * z.shape[1] + targets.ravel().take(at))
-    top = 0.0
-    if len(z) and z.max() > 60:  # else no exponential overflows
-        top = z.max(-1)
-        z -= top[:, None]
-    np.exp(z, out=z)
-    return own - top - np.log(z @ np.ones(z.shape[1], z.dtype))
-
-
-def loss_and_gradient(m: Attention, inputs: np.ndarray, targets: np.ndarray, wanted: np.ndarray) -> tuple[float, Attention]:
+    y = targets.ravel().take(at)
+    own = tree.of.take(y)
+    order = np.argsort(own, kind="stable")
+    g = _state(m, inputs, before)[-1].take(at.take(order), 0)
+    y, own = y.take(order), own.take(order)
+    z = g @ m.u1.T
+    z += m.b1
+    logs = np.clip(z[np.arange(len(y)), own], -SCORE_BOUND, SCORE_BOUND)
+    logs -= np.log(_softmax(z))
+    bounds = np.searchsorted(own, np.arange(tree.classes + 1))
+    for c in np.flatnonzero(np.diff(bounds)).tolist():
+        rows, a, b = slice(bounds[c], bounds[c + 1]), tree.first[c], tree.first[c + 1]
+        if a >= tree.seen:
+            logs[rows] -= np.log(b - a)
+        elif b - a > 1:
+            z = g[rows] @ m.u2[a:b].T
+            z += m.b2[a:b]
+            logs[rows] += np.clip(z[np.arange(len(z)), y[rows] - a], -SCORE_BOUND, SCORE_BOUND)
+            logs[rows] -= np.log(_softmax(z))
+    out = np.empty_like(logs)
+    out[order] = logs
+    return out
+
+
+def _sum_rows(rows: np.ndarray, keys: np.ndarray, n: int) -> np.ndarray:
+    """Sums of ``rows`` by key."""
+    if n <= 1 << 16:
+        keys = keys.astype(np.uint16)  # which numpy sorts by radix
+    order = np.argsort(keys, kind="stable")
+    own = keys.take(order)
+    starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    out = np.zeros((n, rows.shape[1]), rows.dtype)
+    out[own[starts]] = np.add.reduceat(rows.take(order, 0), starts, 0)
+    return out
+
+
+def loss_and_gradient(m: Attention, tree: Tree, inputs: np.ndarray, before: np.ndarray, targets: np.ndarray, wanted: np.ndarray) -> tuple[float, Attention]:
     """Mean negative log probability over ``wanted``, and its gradient."""
     n, t = inputs.shape
-    d = m.e.shape[1]
-    x = m.e[inputs] + m.p[:t]
-    q, k, v, a, mixed, h = _attend(m, x)
-    z = h[wanted] @ m.u + m.b
-    z -= z.max(-1, keepdims=True)
-    prob = np.exp(z)
-    prob /= prob.sum(-1, keepdims=True)
-    y = targets[wanted]
+    x, asked, w, mixed, h, f, g = _state(m, inputs, before)
+    d = x.shape[2]
+    flat = x.reshape(n * t, d)
+    at = np.flatnonzero(wanted)
+    y = targets.ravel().take(at)
+    own = tree.of.take(y)
+    order = np.argsort(own, kind="stable")
+    at, y, own = at.take(order), y.take(order), own.take(order)
+    gs = g.take(at, 0)
+    scale = x.dtype.type(1 / max(1, len(y)))
     rows = np.arange(len(y))
-    loss = -float(np.mean(np.log(prob[rows, y] + 1e-30)))
-    prob[rows, y] -= 1
-    prob /= max(1, len(y))
-    du, db = h[wanted].T @ prob, prob.sum(0)
-    dh = np.zeros_like(h)
-    dh[wanted] = prob @ m.u.T
-    flat = dh.reshape(n * t, d)
-    do = mixed.reshape(n * t, d).T @ flat
-    dmixed = (flat @ m.o.T).reshape(n, t, d)
-    dv = a.transpose(0, 2, 1) @ dmixed
-    da = dmixed @ v.transpose(0, 2, 1)
-    ds = a * (da - (da * a).sum(-1, keepdims=True)) / np.sqrt(d).astype(x.dtype)
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    xf = x.reshape(n * t, d)
-    dqf, dkf, dvf = (g.reshape(n * t, d) for g in (dq, dk, dv))
-    dx = dh + (dqf @ m.q.T + dkf @ m.k.T + dvf @ m.v.T).reshape(n, t, d)
-    de = np.zeros_like(m.e)
-    np.add.at(de, inputs.ravel(), dx.reshape(n * t, d))
-    dp = np.zeros_like(m.p)
-    dp[:t] = dx.sum(0)
-    return loss, Attention(de, dp, xf.T @ dqf, xf.T @ dkf, xf.T @ dvf, do, du, db)
+    z = gs @ m.u1.T
+    z += m.b1
+    sums = _softmax(z)
+    loss = -float(np.log(z[rows, own] / sums).sum())
+    z *= (scale / sums)[:, None]
+    z[rows, own] -= scale
+    du1, db1 = z.T @ gs, _ones(len(z), z.dtype) @ z
+    dgs = z @ m.u1
+    du2, db2 = np.zeros_like(m.u2), np.zeros_like(m.b2)
+    bounds = np.searchsorted(own, np.arange(tree.classes + 1))
+    for c in np.flatnonzero(np.diff(bounds)).tolist():
+        part, a, b = slice(bounds[c], bounds[c + 1]), tree.first[c], tree.first[c + 1]
+        if a < tree.seen and b - a > 1:
+            z = gs[part] @ m.u2[a:b].T
+            z += m.b2[a:b]
+            sums = _softmax(z)
+            target = (rows[: len(z)], y[part] - a)
+            loss -= float(np.log(z[target] / sums).sum())
+            z *= (scale / sums)[:, None]
+            z[target] -= scale
+            du2[a:b] = z.T @ gs[part]
+            db2[a:b] = _ones(len(z), z.dtype) @ z
+            dgs[part] += z @ m.u2[a:b]
+    dg = np.zeros_like(g)
+    dg[at] = dgs
+    df = dg @ m.w2.T
+    df *= f > 0
+    dh = df @ m.w1.T
+    dh += dg
+    dmixed = (dh @ m.m.T).reshape(n, t, d)
+    dw = dmixed @ x.transpose(0, 2, 1)
+    dx = w.transpose(0, 2, 1) @ dmixed
+    dw -= np.einsum("nij,nij->ni", dw, w)[..., None]
+    dw *= w
+    dasked = (dw @ x).reshape(n * t, d)
+    dx += dw.transpose(0, 2, 1) @ asked
+    dxf = dx.reshape(n * t, d)
+    dxf += dh
+    dxf += dasked @ m.a.T
+    dr, dp = np.zeros_like(m.r), np.zeros_like(m.p)
+    dr[:t, :t], dp[:t] = dw.sum(0), dx.sum(0)
+    return loss * float(scale), Attention(
+        _sum_rows(dxf, inputs.ravel(), len(m.e)), _sum_rows(dxf, before.ravel(), len(m.s)), dp, flat.T @ dasked, dr, mixed.T @ dh,
+        h.T @ df, _ones(len(df), df.dtype) @ df, f.T @ dg, du1, db1, du2, db2,
+    )
 
 
 class Adam:
     """Adam over all arrays of a model, which it changes in place."""
 
-    def __init__(self, model: Attention, rate: float = 3e-3):
-        self.model, self.rate, self.steps = model, rate, 0
+    def __init__(self, model: Attention, tree: Tree, rate: float = 3e-3):
+        self.model, self.tree, self.rate, self.steps = model, tree, rate, 0
         self.first = [np.zeros_like(a) for a in model.arrays()]
         self.second = [np.zeros_like(a) for a in model.arrays()]
 
-    def step(self, inputs: np.ndarray, targets: np.ndarray, wanted: np.ndarray) -> float:
-        loss, slope = loss_and_gradient(self.model, inputs, targets, wanted)
+    def step(self, *windows: np.ndarray) -> float:
+        loss, slope = loss_and_gradient(self.model, self.tree, *windows)
         self.steps += 1
         fix1, fix2 = 1 - 0.9**self.steps, 1 - 0.99**self.steps
         for a, g, f, s in zip(self.model.arrays(), slope.arrays(), self.first, self.second):
@@ -158,18 +275,3 @@ class Adam:
 
 def copy_of(model: Attention) -> Attention:
     return replace(model, **{f.name: getattr(model, f.name).copy() for f in fields(model)})
-
-
-def windows_of(sequence: np.ndarray, window: int, stride: int) -> Iterator:
-    """(first input, first scored, end) of overlapping windows that score each target once.
-
-    Input ``i`` predicts target ``i``. The first window scores all it holds; each later one ``stride`` more, so that every
-    target but the text's first ones has at least ``window - stride`` inputs before it.
-    """
-    n, done = len(sequence), 0
-    while done < n:
-        end = min(n, window if not done else done + stride)
-        yield max(0, end - window), done, end
-        done = end
-
-

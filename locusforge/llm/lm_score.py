@@ -3,19 +3,20 @@
 A text is its words in lower case and one end. The base is the smoothed frequency of each in the training rows; counts of
 all words stay distributed, and only the most frequent words (a fixed number) travel to every executor.
 
-The model spells each word in subword ids of a given vocabulary. Ids fall into classes: each of the most frequent is its
-own, the others share classes of like frequency. A one-layer attention model predicts the next class from the classes
-before it; the id within a class has its smoothed frequency in the training rows behind the class of the id before it in
-the word. So every id sequence has a probability. The model is fitted in two steps: on the driver on a bounded sample, and then on every partition on all
-its training windows, where the partitions' models are averaged by the words they saw.
+The model spells each word in subword ids of a given vocabulary and predicts each id from those before it: first a class of
+ids of like frequency and then the id in the class, both from what attention made of the window. So every id sequence has a
+probability. Texts are split and spelled once, into shared storage. The model is fitted in two steps: on the driver on a
+bounded sample of windows, and from there on every partition on all its training windows, where the partitions' models are
+averaged by the windows they saw.
 """
 
 from __future__ import annotations
 
-import random
+import hashlib
 import uuid
 import zlib
-from collections.abc import Callable, Iterable, Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain, islice
@@ -25,26 +26,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locusforge.llm.attention import Adam, Attention, copy_of, log_probabilities, new_attention, windows_of
+from locusforge.llm.attention import Adam, Attention, Tree, copy_of, log_probabilities, make_tree, new_attention
 from locusforge.llm.byte_bpe import _bytes_of, _loaded, read_ranks, tokenizer_json
-from locusforge.llm.common import cut, slices, stash
+from locusforge.llm.common import quoted, slices, stash
 
-#: Words sent to all executors at most, and their greatest length in bytes.
+#: Words sent to all executors at most; none has more than ``KEY_BYTES`` and a digest's few.
 FREQUENT_WORDS = 1 << 18
-FREQUENT_BYTES = 64
-CLASSES = 127
-OWN_CLASSES = 103
-WIDTH, WINDOW, STRIDE = 16, 24, 20
-#: Weight of an id's frequency in its class against its frequency behind the class before it.
-PAIR_PRIOR = 4.0
+#: A longer word goes by a space, which no word has, and its SHA-256.
+KEY_BYTES = 64
+WIDTH, INNER, WINDOW, STRIDE = 16, 32, 32, 28
 #: All windows of the training rows take part in fitting; the driver's first model, where it starts from, sees at most so many.
-WINDOW_SHARE = 1
 FIRST_WINDOWS = 12_000
-#: Subword ids to expect of a byte of text; only the number of windows follows it.
-IDS_PER_BYTE = 0.39
-BATCH_WINDOWS = 64
+FIRST_BATCH, BATCH_WINDOWS = 64, 512
+#: Step length of the partitions' fits.
+RATE = 3e-3
 _PASSING_WORDS = 120_000
 _COUNTED_WORDS = 300_000
+_BLOCK = 4096
 END = b""
 
 
@@ -55,9 +53,11 @@ def split_words(text: str) -> list[bytes]:
 # ---------------------------------------------------------------- counts
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from collections import Counter
+def key_of(word: bytes) -> bytes:
+    return word if len(word) <= KEY_BYTES else b" " + hashlib.sha256(word).hexdigest().encode()
+
 
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter = Counter()
 
     def flush() -> pa.RecordBatch:
@@ -70,6 +70,8 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in batch.column(0):
             counts.update(split_words(text.as_py() or ""))
         counts[END] += batch.num_rows
+        for word in [w for w in counts if len(w) > KEY_BYTES and w[:1] != b" "]:
+            counts[key_of(word)] += counts.pop(word)
         if len(counts) > _COUNTED_WORDS:
             yield flush()
     if counts:
@@ -82,9 +84,8 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 def frequent_words(counts: DataFrame, most: int = FREQUENT_WORDS) -> pa.Table:
-    """All words with at least a count chosen so that they are no more than ``most``; long words left out."""
-    short = counts.where(F.octet_length("word") <= FREQUENT_BYTES)
-    steps = sorted(short.groupBy(F.floor(F.log2("c") * 4).alias("step")).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("least")).collect(), key=lambda r: -r.step)
+    """All words with at least a count chosen so that they are no more than ``most``."""
+    steps = sorted(counts.groupBy(F.floor(F.log2("c") * 4).alias("step")).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("least")).collect(), key=lambda r: -r.step)
     held, least = 0, None
     for r in steps:
         if held + r.n > most:
@@ -92,10 +93,10 @@ def frequent_words(counts: DataFrame, most: int = FREQUENT_WORDS) -> pa.Table:
         held, least = held + r.n, r.least
     if least is None:
         return pa.table({"word": pa.array([], pa.string()), "c": pa.array([], pa.int64())})
-    return short.where(F.col("c") >= least).select("word", "c").toArrow()
+    return counts.where(F.col("c") >= least).select("word", "c").toArrow()
 
 
-# ---------------------------------------------------------------- subword classes
+# ---------------------------------------------------------------- spelling
 
 
 @lru_cache(maxsize=2)
@@ -127,101 +128,23 @@ def _spelled(words: list[bytes], description: str, together: int = 256) -> tuple
     return np.concatenate(flat or [none]), np.concatenate(lengths or [none])
 
 
-def _pair_counts(description):
-    """Counts of each id behind the id before it in its word (-1 at a word's beginning), summed over the words' counts."""
-
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = _loaded(description.value).get_vocab_size() + 1
-        for batch in slices(batches, max_rows=50_000):
-            ids, lengths = _spelled([w.encode() for w in batch.column(0).to_pylist()], description.value)
-            before = np.concatenate([[-1], ids[:-1]])
-            before[np.cumsum(lengths[lengths > 0])[:-1]] = -1
-            keys, where = np.unique((before + 1) * size + ids, return_inverse=True)
-            n = np.zeros(len(keys), np.int64)
-            np.add.at(n, where, np.repeat(batch.column(1).to_numpy(), lengths))
-            yield pa.RecordBatch.from_arrays([pa.array(keys // size - 1), pa.array(keys % size), pa.array(n)], names=["before", "id", "n"])
-
-    return over
-
-
-@dataclass
-class Classes:
-    """Class of each subword id and log probability of the id in its class; ``end`` and ``begin`` are classes of their own.
-
-    ``inside`` has a row for each class of the id before, and the last row for a word's beginning.
-    """
-
-    of_id: np.ndarray
-    inside: np.ndarray
-    prior: np.ndarray
-
-    @property
-    def end(self) -> int:
-        return len(self.prior) - 1
-
-    @property
-    def begin(self) -> int:
-        return len(self.prior)
-
-
-def make_classes(counts: np.ndarray, ends: int, *, classes: int = CLASSES, own: int = OWN_CLASSES) -> Classes:
-    """Most frequent ids alone, the others by falling frequency in classes of about equal mass; half a count is added to each."""
-    order = np.argsort(-counts, kind="stable")
-    smooth = counts + 0.5
-    of_id = np.zeros(len(counts), np.int64)
-    alone = min(own, len(counts) - 1)
-    of_id[order[:alone]] = np.arange(alone)
-    rest = order[alone:]
-    mass = np.cumsum(smooth[rest])
-    shared = classes - 1 - alone
-    of_id[rest] = alone + np.minimum(shared - 1, (mass - smooth[rest]) / mass[-1] * shared).astype(np.int64)
-    by_class = np.bincount(of_id, smooth, classes - 1)
-    prior = np.append(by_class, ends + 0.5)
-    return Classes(of_id, np.log(smooth / by_class[of_id])[None, :].astype(np.float32), prior / prior.sum())
-
-
-def with_pairs(classes: Classes, rows: np.ndarray, ids: np.ndarray, n: np.ndarray) -> Classes:
-    """``classes`` whose ``inside`` follows the class before; ``rows``: that class, or ``end`` for a word's beginning."""
-    shared = np.exp(classes.inside[0].astype(float))
-    seen = np.zeros((classes.end + 1, len(shared)), np.float32)
-    np.add.at(seen, (rows, ids), n)
-    inside = np.empty_like(seen)
-    for r in range(len(seen)):
-        total = np.bincount(classes.of_id, seen[r], classes.end)
-        inside[r] = np.log((seen[r] + PAIR_PRIOR * shared) / (total[classes.of_id] + PAIR_PRIOR))
-    return Classes(classes.of_id, inside, classes.prior)
-
-
-# ---------------------------------------------------------------- model
-
-
-@dataclass
-class LanguageModel:
-    """All that scoring needs. Its size is bounded: vocabulary, frequent words and a few thousand weights."""
-
-    description: str
-    classes: Classes
-    attention: Attention
-    frequent: dict[bytes, int]
-    tokens: int
-    distinct: int
-    name: str
-
-    def base(self, count) -> float:
-        return np.log10((count + 0.5) / (self.tokens + 0.5 * (self.distinct + 1)))
+def _number_type(size: int):
+    """Of ids, ranks and their few extra values."""
+    return np.uint16 if size + 4 < 1 << 16 else np.uint32
 
 
 class Speller:
-    """What words add to a text: their classes, the log probability of their ids within them, and the base score of frequent
-    words (others: NaN). Words have numbers, and what is known of them lies in arrays by number. Frequent words are held for
-    good, of the others a bounded number."""
+    """What words add to a text: their ids, and the base score of frequent words (others: NaN). Words have numbers, and what is
+    known of them lies in arrays by number. Frequent words are held for good, of the others a bounded number."""
 
-    def __init__(self, description: str, classes: Classes, base: dict[bytes, float] | None = None):
-        self.description, self.classes, self.base = description, classes, base or {}
+    def __init__(self, description: str, base: dict[bytes, float] | None = None):
+        self.description, self.base = description, base or {}
+        self.kind = _number_type(_loaded(description).get_vocab_size())
         self.number: dict[bytes, int] = {}
-        self.first, self.size, self.inside, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
-        self.text = np.zeros(0, np.uint8)
-        self.learn(set(self.base))
+        self.first, self.size, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.text = np.zeros(0, self.kind)
+        self.held = (0, 0)
+        self.learn({w for w in self.base if w and w[:1] != b" "})
         self.held = (len(self.number), len(self.text))
 
     _last: tuple | None = None
@@ -234,234 +157,314 @@ class Speller:
             cls._last = (name, make())
         return cls._last[1]
 
+    @classmethod
+    def forget(cls) -> None:
+        cls._last = None
+        _loaded.cache_clear()
+
     def learn(self, words: set[bytes]) -> None:
         new = [w for w in words if w not in self.number]
-        held, text = getattr(self, "held", (0, 0))
+        held, text = self.held
         if held < len(self.number) and len(self.number) - held + len(new) > _PASSING_WORDS:
             for w in list(islice(reversed(self.number), len(self.number) - held)):
                 del self.number[w]
-            self.first, self.size, self.inside, self.score, self.text = self.first[:held], self.size[:held], self.inside[:held], self.score[:held], self.text[:text]
+            self.first, self.size, self.score, self.text = self.first[:held], self.size[:held], self.score[:held], self.text[:text]
             new = [w for w in words if w not in self.number]
         if not new:
             return
-        of_id, within, last = self.classes.of_id, self.classes.inside, self.classes.end
         ids, lengths = _spelled(new, self.description)
-        ends = np.cumsum(lengths)
-        starts = ends - lengths
-        own = of_id[ids]
-        before = np.zeros(len(ids), np.int64)
-        if len(within) > 1:
-            before[1:] = own[:-1]
-            before[starts[lengths > 0]] = last
-        total = np.concatenate([[0.0], np.cumsum(within[before, ids].astype(np.float64))])
         self.number.update(zip(new, range(len(self.first), len(self.first) + len(new))))
-        self.first = np.concatenate([self.first, starts + len(self.text)])
+        self.first = np.concatenate([self.first, np.cumsum(lengths) - lengths + len(self.text)])
         self.size = np.concatenate([self.size, lengths])
-        self.inside = np.concatenate([self.inside, total[ends] - total[starts]])
-        self.score = np.concatenate([self.score, [self.base.get(w, np.nan) for w in new]])
-        self.text = np.concatenate([self.text, own.astype(np.uint8)])
+        self.score = np.concatenate([self.score, [self.base.get(key_of(w), np.nan) for w in new]])
+        self.text = np.concatenate([self.text, ids.astype(self.kind)])
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         """Of words that have been learned."""
         return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
 
     def sequence(self, numbers: np.ndarray) -> np.ndarray:
-        """Classes of the words one after the other."""
+        """Ids of the words one after the other."""
         size = self.size[numbers]
         return self.text[np.repeat(self.first[numbers] - np.cumsum(size) + size, size) + np.arange(size.sum())]
 
 
-def _fill(pieces: list[tuple], window: int):
-    """Arrays of windows: each piece is (inputs, targets, places scored before)."""
-    x, y = np.zeros((len(pieces), window), np.uint8), np.zeros((len(pieces), window), np.int64)
-    wanted = np.zeros((len(pieces), window), bool)
-    for i, (inputs, targets, skip) in enumerate(pieces):
-        n = len(inputs)
-        x[i, :n], y[i, :n], wanted[i, skip:n] = inputs, targets, True
-    return x, y, wanted
+@dataclass
+class Base:
+    """Counts of the frequent words, joined by line ends, and what all counts add up to."""
+
+    words: bytes
+    counts: np.ndarray
+    tokens: int
+    distinct: int
+
+    def scores(self) -> dict[bytes, float]:
+        if not len(self.counts):
+            return {}
+        logs = np.log10((self.counts + 0.5) / (self.tokens + 0.5 * (self.distinct + 1)))
+        return dict(zip(self.words.split(b"\n"), logs.tolist()))
+
+
+def _spell_rows(shared):
+    """Per row: word count, known words and base over frequent words, the ids, and the words still to be looked up."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        name, description, base = shared.value
+        speller = Speller.shared(name, lambda: Speller(description, base.scores()))
+        row = TaskContext.get().partitionId() << 40
+        of_end = speller.base.get(END)
+        for batch in slices(batches, max_bytes=4 << 20, max_rows=1024):
+            split = [split_words(text or "") for text in batch.column(2).to_pylist()]
+            sizes = np.array([len(words) for words in split], np.int64)
+            words = list(chain.from_iterable(split))
+            speller.learn(set(words))
+            numbers = speller.numbers(words)
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            logs = speller.score[numbers]
+            missing = np.flatnonzero(np.isnan(logs))
+            gaps = np.bincount(owner[missing], minlength=len(sizes))
+            # The end is counted like a word: here if it is frequent, else with the others.
+            known = sizes - gaps + (of_end is not None)
+            sums = np.bincount(owner, np.nan_to_num(logs), len(sizes)) + (of_end or 0.0)
+            rare = [key_of(words[i]) for i in missing.tolist()]
+            if of_end is None:
+                for at in np.cumsum(gaps)[::-1].tolist():
+                    rare.insert(at, END)
+                gaps = gaps + 1
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(gaps)]), pa.int32()), pa.array(rare, pa.binary()).cast(pa.string()))
+            lengths = np.bincount(owner, speller.size[numbers], len(sizes)).astype(np.int64)
+            flat = speller.sequence(numbers)
+            ends = np.cumsum(lengths)
+            ids = [flat[end - n : end].tobytes() for end, n in zip(ends.tolist(), lengths.tolist())]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(row, row + len(sizes))), batch.column(0), batch.column(1), pa.array(sizes + 1), pa.array(known), pa.array(sums), pa.array(ids, pa.binary()), lists],
+                names=["row", "id", "held_out", "n_tokens", "known", "base", "ids", "rare"],
+            )
+            row += len(sizes)
+
+    return over
+
+
+# ---------------------------------------------------------------- windows
+
+
+def _sequences(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all rows one after the other, and how many each has."""
+    parts = [np.frombuffer(x.as_buffer(), kind) for x in column]
+    return np.concatenate(parts or [np.zeros(0, kind)]), np.array([len(p) for p in parts], np.int64)
+
+
+@dataclass
+class Ranks:
+    """Rank of each id and of the end, by falling count."""
+
+    of_id: np.ndarray
+    tree: Tree
+
+    @property
+    def end(self) -> int:
+        return int(self.of_id[-1])
+
+    @property
+    def unseen(self) -> int:
+        """As an input; the next two are the begin of a text and none."""
+        return self.tree.seen
+
+
+def make_ranks(counts: np.ndarray) -> tuple[Ranks, np.ndarray]:
+    """For counts of the ids and, last, the end; also the counts by rank."""
+    order = np.argsort(-counts, kind="stable")
+    of_id = np.empty(len(counts), _number_type(len(counts)))
+    of_id[order] = np.arange(len(counts))
+    return Ranks(of_id, make_tree(counts[order])), counts[order]
 
 
-def score_sequences(model: Attention, classes: Classes, flat: np.ndarray, lengths: np.ndarray, stride: int = STRIDE) -> np.ndarray:
-    """Natural log probability of each class sequence with its end; every target scored once. The sequences lie one after
-    the other in ``flat``.
+def windows(ranks: Ranks, flat: np.ndarray, lengths: np.ndarray, window: int, stride: int, together: int) -> Iterator[tuple]:
+    """Batches of windows over sequences of ids that lie one after the other in ``flat``, each with its end.
 
-    The windows of all sequences are laid out at once (those of ``windows_of``) and run in batches that stay in cache.
+    Yields the sequence of each window, inputs, the inputs before them, targets and which targets count. The first window of
+    a sequence counts all its targets; each later one ``stride`` more, so that every target but a text's first ones has at
+    least ``window - stride`` inputs in its window before it, and each counts once.
     """
-    out, window = np.zeros(len(lengths)), model.window
     if not len(lengths):
-        return out
+        return
     sizes = lengths + 1
     first = np.cumsum(sizes) - sizes
-    targets = np.full(sizes.sum(), classes.end, np.uint8)
-    targets[np.arange(len(flat)) + np.repeat(np.arange(len(lengths)), lengths)] = flat
+    targets = np.full(sizes.sum(), ranks.end, ranks.of_id.dtype)
+    targets[np.arange(len(flat)) + np.repeat(np.arange(len(lengths)), lengths)] = ranks.of_id[flat]
     inputs = np.empty_like(targets)
-    inputs[1:] = targets[:-1]
-    inputs[first] = classes.begin
+    np.minimum(targets[:-1], ranks.unseen, out=inputs[1:])
+    inputs[first] = ranks.unseen + 1
+    before = np.empty_like(targets)
+    before[1:] = inputs[:-1]
+    before[first] = ranks.unseen + 2
     count = np.where(sizes <= window, 1, 1 + -(-(sizes - window) // stride))
     owner = np.repeat(np.arange(len(sizes)), count)
     turn = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
     end = np.minimum(sizes[owner], window + stride * turn)
-    start = np.maximum(0, end - window)
+    start = np.maximum(0, end - window) if stride < window else window * turn
     done = np.where(turn == 0, 0, window + stride * (turn - 1))
     steps = np.arange(window)
-    for low in range(0, len(owner), BATCH_WINDOWS):
-        part = slice(low, low + BATCH_WINDOWS)
+    for part in np.array_split(np.arange(len(owner)), -(-len(owner) // together)):
         place = start[part, None] + steps
         wanted = (place >= done[part, None]) & (place < end[part, None])
         at = np.minimum(place, end[part, None] - 1) + first[owner[part], None]
-        logs = log_probabilities(model, inputs[at], targets[at], wanted)
-        out += np.bincount(np.repeat(owner[part], wanted.sum(1)), logs, len(sizes))
+        yield owner[part], inputs[at], before[at], targets[at], wanted
+
+
+def score_sequences(model: Attention, ranks: Ranks, flat: np.ndarray, lengths: np.ndarray, stride: int = STRIDE) -> np.ndarray:
+    """Natural log probability of each id sequence with its end; every target scored once."""
+    out = np.zeros(len(lengths))
+    for owner, *arrays in windows(ranks, flat, lengths, model.window, stride, BATCH_WINDOWS):
+        logs = log_probabilities(model, ranks.tree, *arrays)
+        out += np.bincount(np.repeat(owner, arrays[-1].sum(1)), logs, len(lengths))
     return out
 
 
-def _training_pieces(texts: Iterable[str | None], speller: Speller, window: int, share: float) -> list[tuple]:
-    """Windows of texts: all, side by side, or for a lesser share at places drawn by their content, one in ``1 / share``."""
-    if share >= 1:
-        held = [(text or "").encode("utf-8", "surrogatepass").lower().split() for text in texts]
-        speller.learn(set().union(*held))
-        pieces = []
-        for words in held:
-            whole = np.concatenate([[speller.classes.begin], speller.sequence(speller.numbers(words)), [speller.classes.end]]).astype(np.uint8)
-            pieces += [(whole[at : at + window], whole[at + 1 : at + 1 + window], 0) for at in range(0, len(whole) - 1, window)]
-        return [(x[: len(y)], y, n) for x, y, n in pieces]
-    drawn: list[tuple[list[bytes], bool, bool]] = []
-    for text in texts:
-        raw = (text or "").encode("utf-8", "surrogatepass")
-        rng = random.Random(zlib.crc32(raw))
-        want = int(len(raw) * IDS_PER_BYTE / window * share + rng.random())
-        words = raw.lower().split() if want else []
-        for _ in range(want):
-            start = rng.randrange(max(1, len(words)))
-            drawn.append((words[start : start + window], start == 0, start + window >= len(words)))
-    speller.learn(set().union(*(part for part, _, _ in drawn)))
-    pieces = []
-    for part, head, tail in drawn:
-        whole = np.concatenate([[speller.classes.begin] if head else [], speller.sequence(speller.numbers(part)), [speller.classes.end] if tail else []]).astype(np.uint8)[: window + 1]
-        if len(whole) > 1:
-            pieces.append((whole[:-1], whole[1:], 0))
-    return pieces
-
-
-def _partition_fit(shared, rate: float, share: float):
-    """One pass over a partition: its windows train a copy of the shared model, whose weights come back with their number."""
+# ---------------------------------------------------------------- model
+
 
+def _id_counts(size: int, kind):
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, description, classes, start = shared.value
-        speller = Speller.shared(name, lambda: Speller(description, classes))
-        adam = Adam(copy_of(start), rate)
-        held, seen = [], 0
-        for batch in slices(batches, max_bytes=1 << 20):
-            held += _training_pieces(batch.column(0).to_pylist(), speller, start.window, share)
-            at = 0
-            while len(held) - at >= BATCH_WINDOWS:
-                adam.step(*_fill(held[at : at + BATCH_WINDOWS], start.window))
-                seen, at = seen + BATCH_WINDOWS, at + BATCH_WINDOWS
-            held = held[at:]
-        if held:
-            adam.step(*_fill(held, start.window))
-            seen += len(held)
-        if seen:
-            flat = adam.model.flat().astype(np.float64)
-            n = len(flat)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32)), pa.array(flat * seen), pa.array(np.full(n, float(seen)))], names=["at", "w", "n"])
+        counts = np.zeros(size + 1, np.int64)
+        for batch in slices(batches):
+            flat, lengths = _sequences(batch.column(0), kind)
+            counts[:size] += np.bincount(flat, minlength=size)
+            counts[size] += len(lengths)
+        found = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts[found])], names=["id", "n"])
 
     return over
 
 
-def _sampled_pieces(shared, share: float):
+def _sampled_windows(kind, window: int, rate: float):
+    """Windows side by side of ``window`` ids at places drawn by the text's content: (begins the text, ends it, ids)."""
+
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, description, classes, start = shared.value
-        speller = Speller.shared(name, lambda: Speller(description, classes))
         for batch in slices(batches):
-            found = _training_pieces(batch.column(0).to_pylist(), speller, start.window, share)
-            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([p[0][:1], p[1]]).tobytes() for p in found], pa.binary())], names=["w"])
+            out = []
+            for x in batch.column(0):
+                raw = x.as_py()
+                ids = np.frombuffer(raw, kind)
+                starts = np.arange(0, len(ids) + 1, window)
+                drawn = np.random.default_rng(zlib.crc32(raw)).random(len(starts)) < rate
+                out += [(at == 0, at + window > len(ids), ids[at : at + window].tobytes()) for at in starts[drawn].tolist()]
+            columns = list(zip(*out)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.bool_()), pa.array(columns[1], pa.bool_()), pa.array(columns[2], pa.binary())], names=["head", "tail", "w"])
 
     return over
 
 
-def fit(texts: DataFrame, *, tokenizer_path: str, pattern: str, frequent: int = FREQUENT_WORDS, share: float = 1 / WINDOW_SHARE, first_windows: int = FIRST_WINDOWS, passes: int = 8) -> tuple[LanguageModel, DataFrame]:
-    """Fit on the texts of a one-column DataFrame; also returns the table of all word counts. No rows are allowed."""
-    spark = texts.sparkSession
-    counts = word_counts(texts)
-    totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("word") == "", F.col("c"))), F.lit(0))).first()
-    tokens, distinct, ends = (int(x) for x in totals)
-    description = tokenizer_json(read_ranks(tokenizer_path), pattern)
-    shared = spark.sparkContext.broadcast(description)
-    size = _loaded(description).get_vocab_size()
-    pairs = cut(counts.where("word <> ''").select("word", "c").mapInArrow(_pair_counts(shared), "before long, id long, n long").groupBy("before", "id").agg(F.sum("n").alias("n")))
-    ids = pairs.groupBy("id").agg(F.sum("n").alias("n")).toArrow()  # at most the vocabulary
-    id_counts = np.zeros(size, np.int64)
-    id_counts[ids.column("id").to_numpy()] = ids.column("n").to_numpy()
-    classes = make_classes(id_counts, ends)
-    # At most classes times vocabulary.
-    place = spark.createDataFrame([(-1, classes.end), *enumerate(classes.of_id.tolist())], "before long, row int")
-    behind = pairs.join(F.broadcast(place), "before").groupBy("row", "id").agg(F.sum("n").alias("n")).toArrow()
-    if behind.num_rows:
-        classes = with_pairs(classes, *(behind.column(c).to_numpy() for c in ("row", "id", "n")))
-    model = new_attention(len(classes.prior) + 1, len(classes.prior), width=WIDTH, window=WINDOW, prior=classes.prior, seed=1)
-    if tokens:
-        name = uuid.uuid4().hex
-        start = spark.sparkContext.broadcast((name, description, classes, model))
+def _first_fit(model: Attention, ranks: Ranks, rows: list, kind, passes: int) -> None:
+    """Fit ``model`` in place on sampled windows."""
+    window = model.window
+    shape = (len(rows), window)
+    inputs, before, targets = (np.zeros(shape, ranks.of_id.dtype) for _ in range(3))
+    wanted = np.zeros(shape, bool)
+    for i, r in enumerate(rows):
+        y = ranks.of_id[np.frombuffer(bytes(r.w), kind)]
+        y = np.append(y, ranks.of_id[-1:])[:window] if r.tail else y
+        x = np.minimum(y, ranks.unseen)
+        n = len(y)
+        targets[i, :n], wanted[i, : n] = y, True
+        inputs[i, 0], inputs[i, 1:n] = ranks.unseen + 1, x[: n - 1]
+        before[i, :2], before[i, 2:n] = ranks.unseen + 2, x[: max(0, n - 2)]
+        if n > 1:
+            before[i, 1] = ranks.unseen + 1
+        if not r.head:  # what comes before is not known here: nothing is asked of the first place
+            wanted[i, 0], inputs[i, 0] = False, ranks.unseen + 2
+            before[i, 1:2] = ranks.unseen + 2
+    adam, rng = Adam(model, ranks.tree, 1e-2), np.random.default_rng(2)
+    for turn in range(passes if len(rows) else 0):
+        order = rng.permutation(len(rows))
+        adam.rate = 1e-2 / (1 + turn)
+        for at in range(0, len(order), FIRST_BATCH):
+            part = order[at : at + FIRST_BATCH]
+            adam.step(inputs[part], before[part], targets[part], wanted[part])
+
+
+def _partition_fit(shared, kind, rate: float):
+    """One pass over a partition: its windows train a copy of the shared model, whose weights come back in blocks."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        Speller.forget()
+        ranks, start = shared.value
+        adam, seen = Adam(copy_of(start), ranks.tree, rate), 0
+        for batch in slices(batches, max_bytes=2 << 20):
+            for owner, *arrays in windows(ranks, *_sequences(batch.column(0), kind), start.window, start.window, BATCH_WINDOWS):
+                adam.step(*arrays)
+                seen += len(owner)
+        if seen:
+            flat = adam.model.flat().astype(np.float64) * seen
+            blocks = [flat[at : at + _BLOCK].tobytes() for at in range(0, len(flat), _BLOCK)]
+            salt = TaskContext.get().partitionId() % 64
+            n = len(blocks)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32)), pa.array(np.full(n, salt, np.int32)), pa.array(blocks, pa.binary()), pa.array(np.full(n, float(seen)))], names=["block", "salt", "w", "n"])
+
+    return over
+
+
+def _add_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the weights of each block, over rows dealt out by block."""
+    sums: dict[int, list] = {}
+    for batch in batches:
+        for block, w, n in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
+            own = np.frombuffer(w.as_buffer(), np.float64)
+            if block in sums:
+                sums[block][0] += own
+                sums[block][1] += n
+            else:
+                sums[block] = [own.copy(), n]
+    names = list(sums)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(names, pa.int32()), pa.array(np.zeros(len(names), np.int32)), pa.array([sums[b][0].tobytes() for b in names], pa.binary()), pa.array([sums[b][1] for b in names], pa.float64())],
+        names=["block", "salt", "w", "n"],
+    )
+
+
+_BLOCKS = "block int, salt int, w binary, n double"
+
+
+def averaged(parts: DataFrame) -> np.ndarray | None:
+    """Mean of the partitions' weights; first over a share of the partitions, then over all. None without rows."""
+    sums = parts.repartition("block", "salt").mapInArrow(_add_blocks, _BLOCKS).repartition("block").mapInArrow(_add_blocks, _BLOCKS)
+    rows = sorted(sums.collect(), key=lambda r: r.block)  # as large as the model
+    return np.concatenate([np.frombuffer(bytes(r.w), np.float64) / r.n for r in rows]) if rows else None
+
+
+def fit(spelled: DataFrame, size: int, *, first_windows: int = FIRST_WINDOWS, passes: int = 6) -> tuple[Ranks, Attention]:
+    """Fit on the ``ids`` of all rows of ``spelled``, of a vocabulary of ``size``; no rows are allowed."""
+    spark, kind = spelled.sparkSession, _number_type(size)
+    texts = spelled.select("ids")
+    found = texts.mapInArrow(_id_counts(size, kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()  # at most the vocabulary
+    counts = np.zeros(size + 1, np.int64)
+    counts[found.column("id").to_numpy()] = found.column("n").to_numpy()
+    ranks, by_rank = make_ranks(counts)
+    model = new_attention(ranks.tree, by_rank.astype(float), width=WIDTH, inner=INNER, window=WINDOW, seed=1)
+    if counts.any():
         # The bounded sample of the first step: a share of windows that gives about first_windows, cut there.
-        rate = min(1.0, 1.5 * first_windows * WINDOW / max(1.0, 2.5 * tokens))
-        some = texts.mapInArrow(_sampled_pieces(start, rate), "w binary").orderBy(F.xxhash64("w"), "w").limit(first_windows).collect()
-        rows = [np.frombuffer(bytes(r.w), np.uint8) for r in some]
-        pieces = [(r[:-1], r[1:], 0) for r in rows if len(r) > 1]
-        adam, rng = Adam(model, 1e-2), np.random.default_rng(2)
-        for turn in range(passes if pieces else 0):
-            order = rng.permutation(len(pieces))
-            adam.rate = 1e-2 / (1 + turn)
-            for at in range(0, len(order), BATCH_WINDOWS):
-                adam.step(*_fill([pieces[i] for i in order[at : at + BATCH_WINDOWS]], WINDOW))
-        start = spark.sparkContext.broadcast((name, description, classes, model))
-        parts = texts.mapInArrow(_partition_fit(start, 1e-3, share), "at int, w double, n double").groupBy("at").agg((F.sum("w") / F.sum("n")).alias("w")).toArrow()
-        if parts.num_rows:
-            flat = np.zeros(parts.num_rows)
-            flat[parts.column("at").to_numpy()] = parts.column("w").to_numpy()
+        rate = min(1.0, 1.5 * first_windows / (counts.sum() / WINDOW + counts[-1]))
+        some = texts.mapInArrow(_sampled_windows(kind, WINDOW, rate), "head boolean, tail boolean, w binary").orderBy(F.xxhash64("w"), "w", "head", "tail").limit(first_windows).collect()
+        _first_fit(model, ranks, some, kind, passes)
+        start = spark.sparkContext.broadcast((ranks, model))
+        flat = averaged(texts.mapInArrow(_partition_fit(start, kind, RATE), _BLOCKS))
+        start.destroy()
+        if flat is not None:
             model = model.like(flat)
-    table = frequent_words(counts, frequent)
-    known = dict(zip((w.encode() for w in table.column("word").to_pylist()), table.column("c").to_pylist()))
-    return LanguageModel(description, classes, model, known, tokens, distinct, uuid.uuid4().hex), counts
+    return ranks, model
 
 
-def _score_rows(shared):
-    """Per row: word count, known words and base over frequent words, model score, and the words still to be looked up."""
-
+def _score_rows(shared, kind):
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        lm: LanguageModel = shared.value
-        speller = Speller.shared(lm.name, lambda: Speller(lm.description, lm.classes, dict(zip(lm.frequent, lm.base(np.array(list(lm.frequent.values()), float)).tolist()))))
-        row = TaskContext.get().partitionId() << 40
-        of_end = speller.base.get(END)
-        for batch in slices(batches, max_bytes=4 << 20, max_rows=1024):
-            split = [split_words(text or "") for text in batch.column(2).to_pylist()]
-            sizes = np.array([len(words) for words in split], np.int64)
-            words = list(chain.from_iterable(split))
-            speller.learn(set(words))
-            numbers = speller.numbers(words)
-            owner = np.repeat(np.arange(len(sizes)), sizes)
-            logs = speller.score[numbers]
-            missing = np.flatnonzero(np.isnan(logs))
-            gaps = np.bincount(owner[missing], minlength=len(sizes))
-            # The end is counted like a word: here if it is frequent, else with the others.
-            known = sizes - gaps + (of_end is not None)
-            base = np.bincount(owner, np.nan_to_num(logs), len(sizes)) + (of_end or 0.0)
-            rare = [words[i] for i in missing.tolist()]
-            if of_end is None:
-                for at in np.cumsum(gaps)[::-1].tolist():
-                    rare.insert(at, END)
-                gaps = gaps + 1
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(gaps)]), pa.int32()), pa.array(rare, pa.binary()).cast(pa.string()))
-            lengths = np.bincount(owner, speller.size[numbers], len(sizes)).astype(np.int64)
-            score = score_sequences(lm.attention, lm.classes, speller.sequence(numbers), lengths) + np.bincount(owner, speller.inside[numbers], len(sizes))
-            n = sizes + 1
-            rows = pa.array(np.arange(row, row + len(n)))
-            row += len(n)
-            yield pa.RecordBatch.from_arrays(
-                [rows, batch.column(0), batch.column(1), pa.array(n), pa.array(known), pa.array(base), pa.array(score / np.log(10)), lists],
-                names=["row", "id", "held_out", "n_tokens", "known", "base", "score", "rare"],
-            )
+        Speller.forget()
+        ranks, model = shared.value
+        for batch in slices(batches, max_bytes=2 << 20):
+            scores = score_sequences(model, ranks, *_sequences(batch.column(batch.num_columns - 1), kind))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores / np.log(10))], names=[*batch.schema.names[:-1], "score"])
 
     return over
 
@@ -472,17 +475,28 @@ def score(df: DataFrame, held_out: Column, *, tokenizer_path: str, pattern: str,
     Rows where ``held_out`` is not true train. Null texts count as empty: one token, the end. Without training rows every
     count is zero. Rows that repeat are scored each for itself; further columns are ignored; no rows give none.
     """
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    lm, counts = fit(rows.where(~F.col("held_out")).select("text"), tokenizer_path=tokenizer_path, pattern=pattern, frequent=frequent, **options)
-    shared = df.sparkSession.sparkContext.broadcast(lm)
-    kind = "row long, id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<string>"
-    scored = stash(rows.mapInArrow(_score_rows(shared), kind), "lm-rows")
+    spark = df.sparkSession
+    rows = df.select(F.col(quoted(id_col)).cast("long").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(quoted(text_col)).cast("string").alias("text"))
+    counts = word_counts(rows.where(~F.col("held_out")).select("text"))
+    tokens, distinct = (int(x) for x in counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first())
+    table = frequent_words(counts, frequent)
+    base = Base(b"\n".join(w.encode() for w in table.column("word").to_pylist()), table.column("c").to_numpy(), tokens, distinct)
+    description = tokenizer_json(read_ranks(tokenizer_path), pattern)
+    size = _loaded(description).get_vocab_size()
+    spelling = spark.sparkContext.broadcast((uuid.uuid4().hex, description, base))
+    kind = "row long, id long, held_out boolean, n_tokens long, known long, base double, ids binary, rare array<string>"
+    spelled = stash(rows.mapInArrow(_spell_rows(spelling), kind), "lm-rows")
+    spelling.destroy()
+    model = spark.sparkContext.broadcast(fit(spelled.where(~F.col("held_out")), size, **options))
+    own = ["row", "id", "held_out", "n_tokens", "known", "base"]
+    kind = "row long, id long, held_out boolean, n_tokens long, known long, base double, score double"
+    scored = spelled.select(*own, "ids").mapInArrow(_score_rows(model, _number_type(size)), kind)
     # What is rare is looked up by a join; words frequent enough to crowd a partition are not among it.
-    words = scored.select("row", F.explode("rare").alias("word"))
-    total = F.lit(lm.tokens + 0.5 * (lm.distinct + 1))
+    words = spelled.select("row", F.explode("rare").alias("word"))
+    total = F.lit(tokens + 0.5 * (distinct + 1))
     c = F.coalesce(F.col("c"), F.lit(0))
     looked = words.join(counts, "word", "left").groupBy("row").agg(F.count(F.when(c > 0, 1)).alias("more"), F.sum(F.log10((c + 0.5) / total)).alias("add"))
-    return scored.drop("rare").join(looked, "row", "left").select(
+    return scored.join(looked, "row", "left").select(
         F.col("id").alias("doc_id"), "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
-        F.lit(lm.tokens).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("add", F.lit(0.0))).alias("base_score"), "score",
+        F.lit(tokens).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("add", F.lit(0.0))).alias("base_score"), "score",
     )

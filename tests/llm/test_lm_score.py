@@ -8,69 +8,91 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from locusforge.llm.attention import Adam, log_probabilities, loss_and_gradient, new_attention, windows_of
-from locusforge.llm.lm_score import make_classes, score, score_sequences, with_pairs
+from locusforge.llm import lm_score as L
+from locusforge.llm.attention import Adam, log_probabilities, loss_and_gradient, make_tree, new_attention
+from locusforge.llm.lm_score import averaged, make_ranks, score, score_sequences, windows
 
 OPTIONS = {"tokenizer_path": P.path("byte_bpe_multi_50k.tiktoken"), "pattern": P.PATTERN}
+COUNTS = np.array([50, 30, 10, 0, 3, 8, 1, 0, 2])  # of eight ids and, last, the end
+
+
 def held_out():
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
 
 
-
 def test_gradient_against_differences():
     rng = np.random.default_rng(0)
-    m = new_attention(6, 5, width=4, window=5, dtype=np.float64, seed=3)
-    x, y, w = rng.integers(0, 6, (3, 5)), rng.integers(0, 5, (3, 5)), rng.random((3, 5)) < 0.7
-    loss, slope = loss_and_gradient(m, x, y, w)
+    counts = np.array([9, 5, 4, 2, 1, 1, 0, 0])
+    tree = make_tree(counts)
+    m = new_attention(tree, counts.astype(float), width=4, inner=3, window=5, dtype=np.float64, seed=3)
+    x, b, y, w = rng.integers(0, 9, (3, 5)), rng.integers(0, 9, (3, 5)), rng.integers(0, 8, (3, 5)), rng.random((3, 5)) < 0.7
+    loss, slope = loss_and_gradient(m, tree, x, b, y, w)
     flat = m.flat()
-    near = [(loss_and_gradient(m.like(flat + 1e-6 * (np.arange(len(flat)) == i)), x, y, w)[0] - loss) / 1e-6 for i in range(len(flat))]
+    near = [(loss_and_gradient(m.like(flat + 1e-6 * (np.arange(len(flat)) == i)), tree, x, b, y, w)[0] - loss) / 1e-6 for i in range(len(flat))]
     assert np.allclose(near, slope.flat(), atol=1e-5)
 
 
-def test_windows_score_every_token_once_and_match_a_plain_loop():
-    for n in (1, 2, 7, 8, 9, 23, 50):
-        scored = [i for first, done, end in windows_of(np.zeros(n), 8, 5) for i in range(done, end)]
-        assert scored == list(range(n))
-    counts = np.array([50, 30, 10, 5, 3, 1, 0, 0])
-    classes = make_classes(counts, 4, classes=6, own=3)
-    m = new_attention(7, 6, width=4, window=8, seed=2)
+def test_trees_hold_every_rank_once_in_few_classes():
+    rng = np.random.default_rng(5)
+    for counts in ([], [0], [4], [4, 0, 0], sorted(rng.zipf(1.2, 900) % 10_000, reverse=True), [1] * 500 + [0] * 40):
+        tree = make_tree(np.array(counts, np.int64))
+        assert len(tree.of) == len(counts) and tree.seen == sum(c > 0 for c in counts)
+        sizes = np.diff(tree.first)[: None if tree.seen == len(counts) else -1]
+        assert sizes.sum() == tree.seen and (not len(sizes) or max(len(sizes), sizes.max()) <= 2 * math.sqrt(tree.seen) + 1)
+
+
+def test_windows_count_every_token_once_and_match_a_plain_loop():
+    ranks, by_rank = make_ranks(COUNTS)
+    m = new_attention(ranks.tree, by_rank.astype(float), width=4, inner=4, window=8, seed=2)
     rng = np.random.default_rng(1)
-    sequences = [rng.integers(0, 5, n).astype(np.uint8) for n in (0, 1, 6, 7, 8, 40)]
-    got = score_sequences(m, classes, np.concatenate(sequences), np.array([len(s) for s in sequences]), 5)
+    sequences = [rng.integers(0, 8, n).astype(np.uint16) for n in (0, 1, 6, 7, 8, 40)]
+    flat, lengths = np.concatenate(sequences), np.array([len(s) for s in sequences])
+    for stride, together in ((5, 3), (8, 100)):
+        parts = list(windows(ranks, flat, lengths, 8, stride, together))
+        assert sum(w.sum() for *_, w in parts) == len(flat) + len(lengths)
+        for k, s in enumerate(sequences):
+            assert [r for o, _, _, y, w in parts for i in np.flatnonzero(o == k) for r in y[i][w[i]]] == [*ranks.of_id[s], ranks.end]
+    got = score_sequences(m, ranks, flat, lengths, 5)
     for sequence, value in zip(sequences, got):
-        inputs, targets = [classes.begin, *sequence], [*sequence, classes.end]
+        y = [*ranks.of_id[sequence], ranks.end]
+        x = [ranks.unseen + 1, *[min(r, ranks.unseen) for r in y[:-1]]]
+        b = [ranks.unseen + 2, *x[:-1]]
         total = 0.0
-        for first, done, end in windows_of(np.array(targets), 8, 5):
-            for i in range(done, end):  # one place at a time, from its own past only
-                x, y = np.array([inputs[first : i + 1]]), np.array([targets[first : i + 1]])
-                w = np.zeros_like(x, bool)
-                w[0, -1] = True
-                total += log_probabilities(m, x, y, w)[0]
+        for i in range(len(y)):  # one place at a time, from its own past only
+            end = 8 + 5 * max(0, -(-(i + 1 - 8) // 5))
+            low = max(0, min(len(y), end) - 8)
+            total += log_probabilities(m, ranks.tree, *(np.array([z[low : i + 1]]) for z in (x, b, y)), np.arange(low, i + 1)[None] == i)[0]
         assert math.isclose(total, value, rel_tol=1e-4, abs_tol=1e-4)
 
 
 def test_probabilities_sum_to_one():
-    counts = np.array([50, 30, 10, 5, 3, 1, 0, 0])
-    classes = make_classes(counts, 4, classes=6, own=3)
-    paired = with_pairs(classes, np.array([0, 0, 5, 3]), np.array([3, 4, 6, 1]), np.array([4, 2, 9, 1]))
-    for c in (classes, paired):
-        for row in c.inside:
-            assert np.allclose(np.bincount(c.of_id, np.exp(row), 5), 1, atol=1e-5)
-    m = new_attention(7, 6, width=4, window=3, seed=2)
-    each = [log_probabilities(m, np.array([[6, 1]]), np.array([[0, y]]), np.array([[False, True]]))[0] for y in range(6)]
+    ranks, by_rank = make_ranks(COUNTS)
+    m = new_attention(ranks.tree, by_rank.astype(float), width=4, inner=4, window=3, seed=2)
+    each = [log_probabilities(m, ranks.tree, np.array([[6, 1]]), np.array([[7, 6]]), np.array([[0, y]]), np.array([[False, True]]))[0] for y in range(9)]
     assert np.isclose(np.exp(each).sum(), 1, atol=1e-5)
 
 
 def test_training_learns_an_order():
     rng = np.random.default_rng(0)
-    m = new_attention(5, 4, width=8, window=12, seed=1)
-    adam = Adam(m, 2e-2)
+    counts = np.ones(9, np.int64)
+    tree = make_tree(counts)
+    m = new_attention(tree, counts.astype(float), width=8, inner=8, window=12, seed=1)
+    adam = Adam(m, tree, 2e-2)
     for _ in range(150):
-        x = (rng.integers(0, 4, (32, 1)) + np.arange(13)) % 4
-        loss = adam.step(x[:, :-1], x[:, 1:], np.ones((32, 12), bool))
+        x = (rng.integers(0, 9, (32, 1)) + np.arange(14)) % 9
+        loss = adam.step(x[:, 1:-1], x[:, :-2], x[:, 2:], np.ones((32, 12), bool))
     assert loss < 0.1
 
 
+def test_weights_are_averaged_by_the_windows_seen(spark):
+    rng = np.random.default_rng(4)
+    models = [(p, rng.normal(size=10_000), n) for p, n in enumerate((3, 1, 70))]
+    blocks = [(b, p % 2, (w * n)[at : at + 4096].tobytes(), float(n)) for p, w, n in models for b, at in enumerate(range(0, 10_000, 4096))]
+    got = averaged(spark.createDataFrame(blocks, L._BLOCKS).repartition(5))
+    assert np.allclose(got, sum(w * n for _, w, n in models) / 74)
+    assert averaged(spark.createDataFrame([], L._BLOCKS)) is None
+
+
 @pytest.fixture(scope="module")
 def rows():
     rng = random.Random(1)
@@ -111,16 +133,43 @@ def test_no_training_rows_and_no_rows(spark):
     assert score(df.limit(0), F.lit(False), **OPTIONS).count() == 0
 
 
-def test_all_windows_are_trained_on():
-    import inspect
-
-    from locusforge.llm import lm_score as L
-
-    description = L.tokenizer_json(L.read_ranks(OPTIONS["tokenizer_path"]), P.PATTERN)
-    speller = L.Speller(description, make_classes(np.ones(L._loaded(description).get_vocab_size(), np.int64), 1))
-    texts = ["some words that go on " * 40, "one", "", None]
-    share = inspect.signature(L.fit).parameters["share"].default
-    pieces = L._training_pieces(texts, speller, 24, share)
-    wanted = np.concatenate([np.append(speller.sequence(speller.numbers(L.split_words(t or ""))), speller.classes.end) for t in texts])
-    assert np.array_equal(np.concatenate([p[1] for p in pieces]), wanted)
-    assert all(len(p[0]) == len(p[1]) <= 24 for p in pieces)
+def test_every_target_of_the_training_rows_is_trained_on(spark, monkeypatch):
+    """The partitions' fit gets each id and end of each training row exactly once."""
+    texts = ["some words that go on " * 400, "one", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    spelled = []
+    fit = L.fit
+    monkeypatch.setattr(L, "fit", lambda rows, size, **options: spelled.append((rows, size)) or fit(rows, size, **options))
+    assert score(df, F.lit(False), **OPTIONS, first_windows=50, passes=1).count() == 4
+    rows, size = spelled[0]
+    ids = [np.frombuffer(bytes(r.ids), np.uint16) for r in rows.collect()]
+    counts = np.bincount(np.concatenate(ids), minlength=size + 1)
+    counts[size] = len(ids)
+    ranks, _ = make_ranks(counts)
+    met = np.concatenate([y[w] for *_, y, w in windows(ranks, np.concatenate(ids), np.array([len(x) for x in ids]), L.WINDOW, L.WINDOW, L.BATCH_WINDOWS)])
+    assert np.array_equal(np.bincount(met, minlength=size + 1), counts[np.argsort(-counts, kind="stable")])
+
+
+def test_long_words_have_keys_and_can_be_frequent(spark):
+    long = "y" * 5000
+    df = spark.createDataFrame([(i, f"{long} a {'z' * 65 if i % 2 else 'b'}") for i in range(40)], "doc_id long, text string")
+    table = L.frequent_words(L.word_counts(df.select("text")), 3)
+    assert L.key_of(long.encode()).decode() in table.column("word").to_pylist()
+    got = score(df, F.lit(False), **OPTIONS, first_windows=50, passes=1).collect()
+    n, v = 160, 5
+    for r in got:
+        want = sum(math.log10((c + 0.5) / (n + 0.5 * (v + 1))) for c in (40, 40, 20, 40))
+        assert math.isclose(r.base_score, want, rel_tol=1e-9) and r.n_known == 4
+
+
+def test_held_out_text_is_scored_above_the_base(spark):
+    """Words of random syllables in two languages, as in made-up corpora: most words are rare, their ids are not."""
+    rng = random.Random(8)
+    syllables = [["ka", "lo", "mi", "tun", "res", "po", "vel", "an"], ["zu", "gra", "eth", "ish", "om", "bri", "dof", "ner"]]
+    docs = []
+    for i in range(600):
+        own = syllables[i % 2]
+        docs.append((i, " ".join("".join(rng.choices(own, k=rng.randint(1, 5))) for _ in range(120))))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3, "doc_id")
+    got = [r for r in score(df, held_out(), **OPTIONS).collect() if r.held_out]
+    assert sum(r.score for r in got) > sum(r.base_score for r in got)
