@@ -26,6 +26,14 @@ class Tree:
     def classes(self) -> int:
         return len(self.first) - 1
 
+    @cached_property
+    def runs(self) -> list[tuple[int, int, int]]:
+        """Neighbouring classes of like size that go together: first, behind the last, and the greatest size. None of one rank."""
+        sizes = np.diff(self.first)[: self.classes - (self.seen < self.total)]
+        bracket = np.ceil(np.log2(np.maximum(sizes, 1))).astype(int)
+        bounds = [0, *(np.flatnonzero(np.diff(bracket)) + 1).tolist(), len(sizes)]
+        return [(a, b, int(sizes[a:b].max())) for a, b in zip(bounds, bounds[1:]) if a < b and bracket[a]]
+
     @cached_property
     def of(self) -> np.ndarray:
         """Class of each rank."""
@@ -104,7 +112,7 @@ def new_attention(tree: Tree, counts: np.ndarray, *, width: int = 16, inner: int
 
 
 #: Attention scores and outputs count within these bounds, so that no row of exponentials needs its own maximum.
-SCORE_BOUND = 50.0
+SCORE_BOUND = 60.0
 
 
 @lru_cache(maxsize=8)
@@ -118,12 +126,28 @@ def _ones(n: int, dtype) -> np.ndarray:
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
-    """Of the last axis, in place; returns the sums of the exponentials."""
+    """Exponentials along the last axis, in place; returns their sums."""
     np.clip(z, -SCORE_BOUND, SCORE_BOUND, out=z)
     np.exp(z, out=z)
     return z @ _ones(z.shape[-1], z.dtype)
 
 
+def _inside(m: Attention, tree: Tree, g: np.ndarray, own: np.ndarray, bounds: list, c: int, e: int, width: int):
+    """Outputs within the classes ``c`` to ``e`` for states sorted by class, and the rows these are; of columns that a class
+    lacks, next to nothing counts."""
+    part = slice(bounds[c], bounds[e])
+    bias = np.full((e - c, width), -SCORE_BOUND, g.dtype)
+    for k in range(c, e):
+        a, b = tree.first[k], tree.first[k + 1]
+        bias[k - c, : b - a] = m.b2[a:b]
+    z = bias.take(own[part] - np.uint16(c), 0)
+    for k in range(c, e):
+        low, high, a, b = bounds[k], bounds[k + 1], tree.first[k], tree.first[k + 1]
+        if low < high:
+            z[low - part.start : high - part.start, : b - a] += g[low:high] @ m.u2[a:b].T
+    return z, part
+
+
 def _state(m: Attention, inputs: np.ndarray, before: np.ndarray):
     n, t = inputs.shape
     d = m.e.shape[1]
@@ -132,8 +156,9 @@ def _state(m: Attention, inputs: np.ndarray, before: np.ndarray):
     x = x.reshape(n, t, d)
     x += m.p[:t]
     flat = x.reshape(n * t, d)
+    xt = np.ascontiguousarray(x.transpose(0, 2, 1))  # products of many small matrices are slow over transposed views
     asked = (flat @ m.a).reshape(n, t, d)
-    w = asked @ x.transpose(0, 2, 1)
+    w = asked @ xt
     w += m.r[:t, :t]
     np.clip(w, -SCORE_BOUND, SCORE_BOUND, out=w)
     np.exp(w, out=w)
@@ -147,7 +172,7 @@ def _state(m: Attention, inputs: np.ndarray, before: np.ndarray):
     np.maximum(f, 0, out=f)
     g = f @ m.w2
     g += h
-    return x, asked, w, mixed, h, f, g
+    return x, xt, asked, w, mixed, h, f, g
 
 
 def log_probabilities(m: Attention, tree: Tree, inputs: np.ndarray, before: np.ndarray, targets: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -164,18 +189,16 @@ def log_probabilities(m: Attention, tree: Tree, inputs: np.ndarray, before: np.n
     y, own = y.take(order), own.take(order)
     z = g @ m.u1.T
     z += m.b1
-    logs = np.clip(z[np.arange(len(y)), own], -SCORE_BOUND, SCORE_BOUND)
+    logs = z[np.arange(len(y)), own]
     logs -= np.log(_softmax(z))
-    bounds = np.searchsorted(own, np.arange(tree.classes + 1))
-    for c in np.flatnonzero(np.diff(bounds)).tolist():
-        rows, a, b = slice(bounds[c], bounds[c + 1]), tree.first[c], tree.first[c + 1]
-        if a >= tree.seen:
-            logs[rows] -= np.log(b - a)
-        elif b - a > 1:
-            z = g[rows] @ m.u2[a:b].T
-            z += m.b2[a:b]
-            logs[rows] += np.clip(z[np.arange(len(z)), y[rows] - a], -SCORE_BOUND, SCORE_BOUND)
-            logs[rows] -= np.log(_softmax(z))
+    bounds = np.searchsorted(own, np.arange(tree.classes + 1)).tolist()
+    for c, e, width in tree.runs:
+        z, part = _inside(m, tree, g, own, bounds, c, e, width)
+        if len(z):
+            logs[part] += z[np.arange(len(z)), y[part] - tree.first[own[part]]]
+            logs[part] -= np.log(_softmax(z))
+    if tree.seen < tree.total:
+        logs[bounds[-2] :] -= np.log(tree.total - tree.seen)
     out = np.empty_like(logs)
     out[order] = logs
     return out
@@ -193,10 +216,21 @@ def _sum_rows(rows: np.ndarray, keys: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def _sum_inputs(dx: np.ndarray, inputs: np.ndarray, before: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of ``dx`` (windows, places, width) by input and by the one before, which is the input of the place before it."""
+    n, t, d = dx.shape
+    both = np.empty((n, t, 2 * d), dx.dtype)
+    both[..., :d] = dx
+    both[:, :-1, d:] = dx[:, 1:]
+    both[:, -1, d:] = 0
+    sums = _sum_rows(both.reshape(n * t, 2 * d), inputs.ravel(), size)
+    return sums[:, :d].copy(), sums[:, d:] + _sum_rows(dx[:, 0], before[:, 0], size)
+
+
 def loss_and_gradient(m: Attention, tree: Tree, inputs: np.ndarray, before: np.ndarray, targets: np.ndarray, wanted: np.ndarray) -> tuple[float, Attention]:
-    """Mean negative log probability over ``wanted``, and its gradient."""
+    """Mean negative log probability over ``wanted``, and its gradient. ``before`` is each place's input before, within a window."""
     n, t = inputs.shape
-    x, asked, w, mixed, h, f, g = _state(m, inputs, before)
+    x, xt, asked, w, mixed, h, f, g = _state(m, inputs, before)
     d = x.shape[2]
     flat = x.reshape(n * t, d)
     at = np.flatnonzero(wanted)
@@ -216,20 +250,23 @@ def loss_and_gradient(m: Attention, tree: Tree, inputs: np.ndarray, before: np.n
     du1, db1 = z.T @ gs, _ones(len(z), z.dtype) @ z
     dgs = z @ m.u1
     du2, db2 = np.zeros_like(m.u2), np.zeros_like(m.b2)
-    bounds = np.searchsorted(own, np.arange(tree.classes + 1))
-    for c in np.flatnonzero(np.diff(bounds)).tolist():
-        part, a, b = slice(bounds[c], bounds[c + 1]), tree.first[c], tree.first[c + 1]
-        if a < tree.seen and b - a > 1:
-            z = gs[part] @ m.u2[a:b].T
-            z += m.b2[a:b]
-            sums = _softmax(z)
-            target = (rows[: len(z)], y[part] - a)
-            loss -= float(np.log(z[target] / sums).sum())
-            z *= (scale / sums)[:, None]
-            z[target] -= scale
-            du2[a:b] = z.T @ gs[part]
-            db2[a:b] = _ones(len(z), z.dtype) @ z
-            dgs[part] += z @ m.u2[a:b]
+    bounds = np.searchsorted(own, np.arange(tree.classes + 1)).tolist()
+    for c, e, width in tree.runs:
+        z, part = _inside(m, tree, gs, own, bounds, c, e, width)
+        if not len(z):
+            continue
+        sums = _softmax(z)
+        target = (rows[: len(z)], y[part] - tree.first[own[part]])
+        loss -= float(np.log(z[target] / sums).sum())
+        z *= (scale / sums)[:, None]
+        z[target] -= scale
+        for k in range(c, e):
+            low, high, a, b = bounds[k], bounds[k + 1], tree.first[k], tree.first[k + 1]
+            if low < high:
+                own_z = z[low - part.start : high - part.start, : b - a]
+                du2[a:b] = own_z.T @ gs[low:high]
+                db2[a:b] = own_z.sum(0)
+                dgs[low:high] += own_z @ m.u2[a:b]
     dg = np.zeros_like(g)
     dg[at] = dgs
     df = dg @ m.w2.T
@@ -237,7 +274,7 @@ def loss_and_gradient(m: Attention, tree: Tree, inputs: np.ndarray, before: np.n
     dh = df @ m.w1.T
     dh += dg
     dmixed = (dh @ m.m.T).reshape(n, t, d)
-    dw = dmixed @ x.transpose(0, 2, 1)
+    dw = dmixed @ xt
     dx = w.transpose(0, 2, 1) @ dmixed
     dw -= np.einsum("nij,nij->ni", dw, w)[..., None]
     dw *= w
@@ -249,27 +286,40 @@ def loss_and_gradient(m: Attention, tree: Tree, inputs: np.ndarray, before: np.n
     dr, dp = np.zeros_like(m.r), np.zeros_like(m.p)
     dr[:t, :t], dp[:t] = dw.sum(0), dx.sum(0)
     return loss * float(scale), Attention(
-        _sum_rows(dxf, inputs.ravel(), len(m.e)), _sum_rows(dxf, before.ravel(), len(m.s)), dp, flat.T @ dasked, dr, mixed.T @ dh,
+        *_sum_inputs(dx, inputs, before, len(m.e)), dp, flat.T @ dasked, dr, mixed.T @ dh,
         h.T @ df, _ones(len(df), df.dtype) @ df, f.T @ dg, du1, db1, du2, db2,
     )
 
 
 class Adam:
-    """Adam over all arrays of a model, which it changes in place."""
+    """Adam over all weights of a model, which it changes in place."""
 
     def __init__(self, model: Attention, tree: Tree, rate: float = 3e-3):
         self.model, self.tree, self.rate, self.steps = model, tree, rate, 0
-        self.first = [np.zeros_like(a) for a in model.arrays()]
-        self.second = [np.zeros_like(a) for a in model.arrays()]
+        n, dtype = sum(a.size for a in model.arrays()), model.e.dtype
+        self.first, self.second, self.slope, self.move = (np.zeros(n, dtype) for _ in range(4))
 
     def step(self, *windows: np.ndarray) -> float:
         loss, slope = loss_and_gradient(self.model, self.tree, *windows)
         self.steps += 1
         fix1, fix2 = 1 - 0.9**self.steps, 1 - 0.99**self.steps
-        for a, g, f, s in zip(self.model.arrays(), slope.arrays(), self.first, self.second):
-            f += 0.1 * (g - f)
-            s += 0.01 * (g * g - s)
-            a -= self.rate * (f / fix1) / (np.sqrt(s / fix2) + 1e-8)
+        g, move = self.slope, self.move
+        np.concatenate([a.ravel() for a in slope.arrays()], out=g)
+        np.subtract(g, self.first, out=move)
+        move *= 0.1
+        self.first += move
+        np.multiply(g, g, out=move)
+        move -= self.second
+        move *= 0.01
+        self.second += move
+        np.sqrt(self.second, out=move)
+        move += 1e-8 * np.sqrt(fix2)
+        np.divide(self.first, move, out=move)
+        move *= self.rate * np.sqrt(fix2) / fix1
+        at = 0
+        for a in self.model.arrays():
+            a -= move[at : at + a.size].reshape(a.shape)
+            at += a.size
         return loss
 
 

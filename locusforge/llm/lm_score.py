@@ -19,7 +19,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain, islice
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from locusforge.llm.attention import Adam, Attention, Tree, copy_of, log_probabilities, make_tree, new_attention
 from locusforge.llm.byte_bpe import _bytes_of, _loaded, read_ranks, tokenizer_json
-from locusforge.llm.common import quoted, slices, stash
+from locusforge.llm.common import keep_memory, quoted, slices, stash
 
 #: Words sent to all executors at most; none has more than ``KEY_BYTES`` and a digest's few.
 FREQUENT_WORDS = 1 << 18
@@ -40,7 +40,7 @@ FIRST_WINDOWS = 12_000
 FIRST_BATCH, BATCH_WINDOWS = 64, 512
 #: Step length of the partitions' fits.
 RATE = 3e-3
-_PASSING_WORDS = 120_000
+_PASSING_WORDS = 250_000
 _COUNTED_WORDS = 300_000
 _BLOCK = 4096
 END = b""
@@ -144,7 +144,7 @@ class Speller:
         self.first, self.size, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         self.text = np.zeros(0, self.kind)
         self.held = (0, 0)
-        self.learn({w for w in self.base if w and w[:1] != b" "})
+        self.learn([w for w in self.base if w and w[:1] != b" "])
         self.held = (len(self.number), len(self.text))
 
     _last: tuple | None = None
@@ -162,26 +162,28 @@ class Speller:
         cls._last = None
         _loaded.cache_clear()
 
-    def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.number]
-        held, text = self.held
-        if held < len(self.number) and len(self.number) - held + len(new) > _PASSING_WORDS:
-            for w in list(islice(reversed(self.number), len(self.number) - held)):
-                del self.number[w]
-            self.first, self.size, self.score, self.text = self.first[:held], self.size[:held], self.score[:held], self.text[:text]
-            new = [w for w in words if w not in self.number]
-        if not new:
-            return
-        ids, lengths = _spelled(new, self.description)
-        self.number.update(zip(new, range(len(self.first), len(self.first) + len(new))))
+    def learn(self, words: list[bytes]) -> None:
+        """Words that have no number yet."""
+        ids, lengths = _spelled(words, self.description)
+        self.number.update(zip(words, range(len(self.first), len(self.first) + len(words))))
         self.first = np.concatenate([self.first, np.cumsum(lengths) - lengths + len(self.text)])
         self.size = np.concatenate([self.size, lengths])
-        self.score = np.concatenate([self.score, [self.base.get(key_of(w), np.nan) for w in new]])
+        self.score = np.concatenate([self.score, [self.base.get(key_of(w), np.nan) for w in words]])
         self.text = np.concatenate([self.text, ids.astype(self.kind)])
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
-        """Of words that have been learned."""
-        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        """Numbers of words, whether met before or not; they hold until the next call."""
+        held, text = self.held
+        if len(self.number) - held > _PASSING_WORDS:
+            for w in list(islice(reversed(self.number), len(self.number) - held)):
+                del self.number[w]
+            self.first, self.size, self.score, self.text = self.first[:held], self.size[:held], self.score[:held], self.text[:text]
+        found = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(found < 0).tolist()
+        if new:
+            self.learn(list(dict.fromkeys(words[i] for i in new)))
+            found[new] = [self.number[words[i]] for i in new]
+        return found
 
     def sequence(self, numbers: np.ndarray) -> np.ndarray:
         """Ids of the words one after the other."""
@@ -219,7 +221,6 @@ def _spell_rows(shared):
             split = [split_words(text or "") for text in batch.column(2).to_pylist()]
             sizes = np.array([len(words) for words in split], np.int64)
             words = list(chain.from_iterable(split))
-            speller.learn(set(words))
             numbers = speller.numbers(words)
             owner = np.repeat(np.arange(len(sizes)), sizes)
             logs = speller.score[numbers]
@@ -392,6 +393,7 @@ def _partition_fit(shared, kind, rate: float):
         from pyspark import TaskContext
 
         Speller.forget()
+        keep_memory()
         ranks, start = shared.value
         adam, seen = Adam(copy_of(start), ranks.tree, rate), 0
         for batch in slices(batches, max_bytes=2 << 20):
@@ -461,6 +463,7 @@ def fit(spelled: DataFrame, size: int, *, first_windows: int = FIRST_WINDOWS, pa
 def _score_rows(shared, kind):
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         Speller.forget()
+        keep_memory()
         ranks, model = shared.value
         for batch in slices(batches, max_bytes=2 << 20):
             scores = score_sequences(model, ranks, *_sequences(batch.column(batch.num_columns - 1), kind))

@@ -26,6 +26,7 @@ def test_gradient_against_differences():
     tree = make_tree(counts)
     m = new_attention(tree, counts.astype(float), width=4, inner=3, window=5, dtype=np.float64, seed=3)
     x, b, y, w = rng.integers(0, 9, (3, 5)), rng.integers(0, 9, (3, 5)), rng.integers(0, 8, (3, 5)), rng.random((3, 5)) < 0.7
+    b[:, 1:] = x[:, :-1]
     loss, slope = loss_and_gradient(m, tree, x, b, y, w)
     flat = m.flat()
     near = [(loss_and_gradient(m.like(flat + 1e-6 * (np.arange(len(flat)) == i)), tree, x, b, y, w)[0] - loss) / 1e-6 for i in range(len(flat))]
