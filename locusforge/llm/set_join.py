@@ -1,15 +1,16 @@
-"""Pairs of shingle sets of at least a Jaccard similarity, none left out.
-
-Shingles have one order everywhere, in which known frequent ones come last. Sets as similar as asked for share a shingle
-among the first few of each (the prefix), so prefixes are indexed and equal shingles meet in a bucket. A small bucket emits
-its pairs; members of a crowded one are chained by size. What these candidates connect is compared whole where it is
-small; else pairs are verified one by one and the sets that chains connect are compared in blocks. Only links that were
-verified are thinned to a spanning forest, so no failed link stands for another.
+"""Pairs of shingle sets of at least a Jaccard similarity, found through deletion-variant signatures of wide SimHashes.
+
+A text's set of words has a SimHash of 256 bits: words move far less than shingles of five when a few of them change. It is
+cut into eight segments of 32 bits, and each is indexed once for every bit of it that may be wild. Fingerprints within
+fifteen bits always have a segment that differs by at most one bit; the others meet with a probability that is measured
+(tests, README). A small bucket emits its pairs; members of a crowded one are chained. What these candidates connect is
+compared whole where it is small; else pairs are verified one by one and the sets that chains connect are compared in blocks.
+Only links that were verified are thinned to a spanning forest, so no failed link stands for another.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,13 +21,15 @@ from pyspark.sql import functions as F
 from locusforge.llm.common import cut, slices, stash
 from locusforge.llm.components import components
 
-#: A bucket of up to this many sets emits pairs; a larger one is compared in blocks of up to so many sets.
-PAIRED_ROWS = 32
+#: Words of 64 bits in a wide fingerprint; each has two segments of 32 bits.
+WIDE = 4
+SEGMENTS, SEGMENT_BITS = 2 * WIDE, 32
+#: Beside its segment an entry has this many bits of the next one; members of a bucket that differ in more than
+#: ``CHECK_MOST`` of them make no pair: half of them would in unrelated texts, one or two do in similar ones.
+CHECK_BITS, CHECK_MOST = 23, 8
+#: A bucket of up to this many sets emits pairs, a larger one chains; chained sets are compared in blocks of up to so many.
+PAIRED_ROWS = 8
 BLOCK_SETS = 1024
-#: Frequent shingles are told by about so many rows. They only set the order, on which no result depends.
-SAMPLED_ROWS = 8192
-FREQUENT_SHINGLES = 50_000
-_SEEN = 1 << 18
 
 
 def bag_of(shingles: np.ndarray) -> int:
@@ -34,125 +37,111 @@ def bag_of(shingles: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingles.tobytes())
 
 
-def least_common(size, similarity: float):
-    """How many shingles a set must share at least with any that similar."""
-    return np.ceil(np.asarray(size) * similarity - 1e-9).astype(np.int64)
-
-
-def _sets_of(batch: pa.RecordBatch, hashed) -> list[np.ndarray]:
-    return [np.unique(np.array(hashed(t.as_py() or ""), np.uint64)) for t in batch.column(batch.num_columns - 1)]
-
-
-def frequent_shingles(texts: DataFrame, rows: int, hashed) -> np.ndarray:
-    """Shingles that occur in several sampled rows, the least frequent first."""
-    share = max(1, rows // SAMPLED_ROWS)
-
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            value, n = np.unique(np.concatenate(_sets_of(batch, hashed)), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n)], names=["shingle", "n"])
+def word_hashes(text: str, seed: int = 42) -> np.ndarray:
+    """XXH64 of each distinct word."""
+    own = set(text.encode("utf-8", "surrogatepass").lower().split())
+    return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in own), np.uint64, len(own))
 
-    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).select("text")
-    found = some.mapInArrow(over, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 2")
-    return found.orderBy(F.desc("n"), "shingle").limit(FREQUENT_SHINGLES).select("shingle").toArrow().column(0).to_numpy()[::-1].view(np.uint64)
 
+def _mixed(hashes: np.ndarray, turn: int) -> np.ndarray:
+    """Other 64 bits from each hash (the finisher of splitmix64)."""
+    z = hashes + np.uint64((0x9E3779B97F4A7C15 * (turn + 1)) & 0xFFFFFFFFFFFFFFFF)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
 
-def _prefixes(similarity: float, hashed, frequent: np.ndarray):
-    values = np.sort(frequent)
-    ranks = np.argsort(frequent) + 1
 
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in slices(batches, max_bytes=1 << 20):
-            held, bags, sizes, places = [], [], [], []
-            for own in _sets_of(batch, hashed):
-                bag = bag_of(own)
-                if not len(own) or bag in seen:
-                    continue
-                if len(seen) < _SEEN:
-                    seen.add(bag)
-                take = len(own) - int(least_common(len(own), similarity)) + 1
-                if len(values):
-                    at = np.minimum(np.searchsorted(values, own), len(values) - 1)
-                    own = own[np.argsort(np.where(values[at] == own, ranks[at], 0), kind="stable")]
-                held.append(own[:take])
-                bags.append(np.full(len(held[-1]), bag, np.uint64))
-                sizes.append(np.full(len(held[-1]), len(own), np.int32))
-                places.append(np.arange(len(held[-1]), dtype=np.int32))
-            if held:
-                columns = [np.concatenate(held).view(np.int64), np.concatenate(sizes), np.concatenate(bags).view(np.int64), np.concatenate(places)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["shingle", "size", "bag", "place"])
+def wide_fingerprints(words: list[np.ndarray], majority: Callable) -> np.ndarray:
+    """Rows of ``WIDE`` words of 64 bits: a bit is set if it is in over half of the mixed hashes."""
+    return np.stack([majority([_mixed(w, turn) for w in words]) for turn in range(WIDE)], axis=1)
 
-    return over
 
+def entries(wide: np.ndarray) -> np.ndarray:
+    """Keys of each fingerprint (rows), one for every segment and wild bit.
 
-def _meet(similarity: float, paired: int):
-    """Over entries sorted by shingle, size and bag: pairs of small buckets, and chain links (crowded) of others."""
-    kept_share = similarity / (1 + similarity)
+    From the top: segment and wild bit (8 bits), the segment with its wild bit cleared (32), that bit, and check bits.
+    """
+    segments = np.ascontiguousarray(wide.astype("<u8")).view("<u4").reshape(-1, SEGMENTS).astype(np.uint64)
+    check = np.roll(segments, -1, axis=1) >> np.uint64(SEGMENT_BITS - CHECK_BITS)
+    wild = np.uint64(1) << np.arange(SEGMENT_BITS, dtype=np.uint64)
+    which = (np.arange(SEGMENTS, dtype=np.uint64)[:, None] * np.uint64(SEGMENT_BITS) + np.arange(SEGMENT_BITS, dtype=np.uint64)) << np.uint64(56)
+    own = segments[:, :, None]
+    bit = (own & wild != 0).astype(np.uint64)
+    return (which | (own & ~wild) << np.uint64(24) | bit << np.uint64(CHECK_BITS) | check[:, :, None]).reshape(len(wide), -1)
+
+
+def _entry_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, max_rows=512):
+        bags = batch.column(0).to_numpy(zero_copy_only=False)
+        wide = np.stack([batch.column(1 + k).to_numpy(zero_copy_only=False) for k in range(WIDE)], axis=1).view(np.uint64)
+        keys = entries(wide)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(bags, keys.shape[1]))], names=["key", "bag"])
+
+
+def _pairs_of(key: np.ndarray, bag: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of members ``i`` and ``j`` of the same buckets those that may be similar. Equal segments meet under every wild bit; only
+    the first of these counts."""
+    differ = key[i] ^ key[j]
+    check = np.uint64((1 << CHECK_BITS) - 1)
+    first = (key[i] >> np.uint64(56)) % np.uint64(SEGMENT_BITS) == 0
+    near = (np.bitwise_count(differ & check) <= CHECK_MOST) & (first | (differ >> np.uint64(CHECK_BITS) != 0))
+    return bag[i[near]], bag[j[near]]
+
+
+def _meet(paired: int):
+    """Over entries sorted by key: pairs of small buckets, and chain links (crowded) of others."""
     corners = {n: np.triu_indices(n, 1) for n in range(2, paired + 1)}
 
-    def pairs(size, bag, place, i, j):
-        fits = size[i] >= least_common(size[j], similarity)
-        # The shingle can be the first of the pair's common ones only if enough follow it in both.
-        most = np.minimum(size[i] - place[i], size[j] - place[j])
-        fits &= (most >= np.ceil((size[i].astype(np.int64) + size[j]) * kept_share - 1e-9)) & (bag[i] != bag[j])
-        return bag[i[fits]], bag[j[fits]]
-
-    def chain(size, bag):
-        fits = (size[:-1] >= least_common(size[1:], similarity)) & (bag[:-1] != bag[1:])
-        return bag[:-1][fits], bag[1:][fits]
-
     def emit(a, b, crowded):
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), crowded))], names=["a", "b", "crowded"])
 
-    def close(parts, crowd):
-        """The bucket that ends; of a crowd all but its last rows have been linked already."""
-        size, bag, place = (np.concatenate(c) for c in zip(*parts))
-        if crowd:
-            return emit(*chain(size, bag), True)
-        first = np.concatenate([[True], bag[1:] != bag[:-1]])
-        size, bag, place = size[first], bag[first], place[first]
-        return emit(*pairs(size, bag, place, *corners[len(bag)]), False) if len(bag) > 1 else None
-
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, parts, rows, crowd = None, [], 0, False
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            shingle, *columns = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            bounds = np.concatenate([[0], np.flatnonzero(shingle[1:] != shingle[:-1]) + 1, [len(shingle)]])
-            sizes = np.diff(bounds)
-            twos = bounds[1:-2][sizes[1:-1] == 2] if len(sizes) > 2 else bounds[:0]
-            if len(twos):
-                a, b = pairs(*columns, twos, twos + 1)
+    def closed(key, bag, bounds):
+        """Links of whole buckets."""
+        sizes = np.diff(bounds)
+        for n in range(2, paired + 1):
+            starts = bounds[:-1][sizes == n]
+            if len(starts):
+                i, j = ((starts[:, None] + corner).ravel() for corner in corners[n])
+                a, b = _pairs_of(key, bag, i, j)
                 if len(a):
                     yield emit(a, b, False)
-            for i in np.flatnonzero((sizes > 2) | (np.arange(len(sizes)) == 0) | (np.arange(len(sizes)) == len(sizes) - 1)):
-                span = slice(bounds[i], bounds[i + 1])
-                if shingle[bounds[i]] != key:
-                    if rows > 1 and (out := close(parts, crowd)) is not None and out.num_rows:
-                        yield out
-                    key, parts, rows, crowd = shingle[bounds[i]], [], 0, False
-                parts.append(tuple(c[span] for c in columns))
-                rows += sizes[i]
-                if rows > paired:
-                    size, bag, place = (np.concatenate(c) for c in zip(*parts))
-                    # Equal sets count once, wherever the batch was cut.
-                    first = np.concatenate([[True], bag[1:] != bag[:-1]])
-                    size, bag, place = size[first], bag[first], place[first]
-                    crowd = crowd or len(bag) > paired
-                    if crowd:
-                        a, b = chain(size, bag)
-                        if len(a):
-                            yield emit(a, b, True)
-                        size, bag, place = size[-1:], bag[-1:], place[-1:]
-                    parts, rows = [(size, bag, place)], len(bag)
-        if rows > 1 and (out := close(parts, crowd)) is not None and out.num_rows:
-            yield out
+        for k in np.flatnonzero(sizes > paired).tolist():
+            part = bag[bounds[k] : bounds[k + 1]]
+            yield emit(part[:-1], part[1:], True)
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, crowd = (np.zeros(0, np.uint64), np.zeros(0, np.int64)), False  # the last bucket, and whether it began as a chain
+        for batch in slices(batches, max_rows=1 << 17):
+            key = np.concatenate([held[0], batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)])
+            bag = np.concatenate([held[1], batch.column(1).to_numpy(zero_copy_only=False)])
+            own = key >> np.uint64(24)
+            bounds = np.concatenate([[0], np.flatnonzero(own[1:] != own[:-1]) + 1, [len(key)]])
+            if crowd:  # what is held is the chain's last member
+                first = bag[: bounds[1]]
+                if len(first) > 1:
+                    yield emit(first[:-1], first[1:], True)
+                if len(bounds) == 2:
+                    held = (key[-1:], bag[-1:])
+                    continue
+                bounds, crowd = bounds[1:], False
+            yield from closed(key, bag, bounds[:-1])
+            held = (key[bounds[-2] :], bag[bounds[-2] :])
+            if len(held[1]) > paired:
+                yield emit(held[1][:-1], held[1][1:], True)
+                held, crowd = (held[0][-1:], held[1][-1:]), True
+        if not crowd and len(held[1]) > 1:
+            yield from closed(*held, np.array([0, len(held[1])]))
 
     return over
 
 
+def candidate_links(nodes: DataFrame, paired: int = PAIRED_ROWS) -> DataFrame:
+    """Pairs ``a, b`` of sets of ``nodes(bag, wide0 to wide3)`` that meet; ``crowded`` ones are chains, which only connect."""
+    index = nodes.select("bag", *[f"wide{k}" for k in range(WIDE)]).mapInArrow(_entry_batches, "key long, bag long")
+    met = index.repartition(F.shiftrightunsigned("key", 24)).sortWithinPartitions("key", "bag")
+    return met.mapInArrow(_meet(paired), "a long, b long, crowded boolean").distinct()
+
+
 def verified_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     """Positions of links that connect ``sets`` as all their pairs of that similarity do, at most one less than them.
 
@@ -215,27 +204,25 @@ def _compare_blocks(similarity: float, hashed):
 def _whole_sets(hashed):
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, max_bytes=1 << 20):
-            sets = _sets_of(batch, hashed)
+            sets = [np.unique(np.array(hashed(t.as_py() or ""), np.uint64)) for t in batch.column(0)]
             bags = np.array([bag_of(s) for s in sets], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(bags), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["bag", "shingles"])
 
     return over
 
 
-def similar_links(texts: DataFrame, rows: DataFrame, n: int, similarity: float, hashed, *, paired: int = PAIRED_ROWS, block: int = BLOCK_SETS) -> DataFrame:
-    """Links ``a, b`` between the sets (``bag``) of ``texts(text)`` that keep every component of their similar pairs.
+def similar_links(texts: DataFrame, rows: DataFrame, nodes: DataFrame, similarity: float, hashed, *, paired: int = PAIRED_ROWS, block: int = BLOCK_SETS) -> DataFrame:
+    """Links ``a, b`` between the sets (``bag``) of ``texts(text)`` that keep every component of the similar pairs that meet.
 
-    ``rows(bag, text_key)`` has the set and ``xxhash64(text)`` of each of the ``n`` texts; ``hashed`` gives a text's shingles.
+    ``rows(bag, text_key)`` has the set and ``xxhash64(text)`` of each text, ``nodes`` the wide fingerprint of each set;
+    ``hashed`` gives a text's shingles.
     """
-    frequent = frequent_shingles(texts, n, hashed)
-    index = texts.select("text").mapInArrow(_prefixes(similarity, hashed, frequent), "shingle long, size int, bag long, place int")
-    met = index.repartition("shingle").sortWithinPartitions("shingle", "size", "bag")
-    found = cut(met.mapInArrow(_meet(similarity, paired), "a long, b long, crowded boolean").distinct())
+    found = cut(candidate_links(nodes, paired))
     # Sets that candidates connect, in one task while they are few: each text moves there once.
     whole = components(found.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("bag"), F.col("component").alias("c"))
     placed = whole.join(whole.groupBy("c").agg(F.count(F.lit(1)).alias("n")), "c")
     chosen = rows.join(placed, "bag").groupBy("bag", "c", "n").agg(F.min("text_key").alias("text_key"))
-    held = texts.select("text", F.xxhash64("text").alias("text_key")).join(chosen, "text_key").dropDuplicates(["text_key", "bag"])
+    held = texts.select("text", F.xxhash64("text").alias("text_key")).join(chosen, "text_key").dropDuplicates(["bag"])
     held = stash(held.select("bag", "c", "n", "text"), "set-join")
 
     def compared(tiles: DataFrame) -> DataFrame:

@@ -18,9 +18,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusforge.llm.common import cut, slices
+from locusforge.llm.common import cut, quoted, slices, unused
 from locusforge.llm.components import components
-from locusforge.llm.set_join import bag_of, similar_links
+from locusforge.llm.set_join import WIDE, bag_of, similar_links, wide_fingerprints, word_hashes
 
 BITS = 64
 #: A bucket of up to this many fingerprints is searched in one task (512 KB of them); a larger one by radius keys.
@@ -84,7 +84,7 @@ def _fingerprint_batches(words: int, seed: int):
 
 def fingerprints(df: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", words: int = 4, seed: int = 42) -> DataFrame:
     """``doc_id, fp`` (the 64 bits as a long) of each whole text; null counts as empty and has fingerprint zero."""
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = df.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).cast("string").alias("text"))
     return rows.mapInArrow(_fingerprint_batches(words, seed), "doc_id long, fp long")
 
 
@@ -259,19 +259,25 @@ def fingerprint_links(distinct: DataFrame, *, distance: int = 4, segments: int |
 def _signed_batches(words: int, seed: int):
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, max_bytes=1 << 20):
-            held = [np.array(shingle_hashes(t.as_py() or "", words, seed), np.uint64) for t in batch.column(2)]
+            texts = batch.column(2).to_pylist()
+            held = [np.array(shingle_hashes(t, words, seed), np.uint64) for t in texts]
             bags = np.array([bag_of(np.unique(h)) for h in held], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(majority_bits(held).view(np.int64)), pa.array(bags.view(np.int64))], names=["doc_id", "text_key", "fp", "bag"])
+            wide = wide_fingerprints([word_hashes(t, seed) for t in texts], majority_bits)
+            columns = [majority_bits(held), bags, *wide.T]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(np.ascontiguousarray(c).view(np.int64)) for c in columns]], names=["doc_id", "text_key", "fp", "bag", *_WIDES])
 
     return over
 
 
+_WIDES = [f"wide{k}" for k in range(WIDE)]
+
+
 def near_duplicates(df: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", words: int = 4, seed: int = 42, distance: int = 4, segments: int | None = None, bucket_rows: int = BUCKET_ROWS, similarity: float | None = None) -> DataFrame:
     """``doc_id, fp, component_id`` for each row of ``df``: the smallest identifier that links lead to.
 
-    With ``similarity`` rows are linked exactly if their shingle sets have that Jaccard similarity, whatever their
-    fingerprints: neither a far fingerprint parts similar rows nor an equal one joins others. ``distance``, ``segments`` and
-    ``bucket_rows`` have no part in that.
+    With ``similarity`` rows are linked if their shingle sets have that Jaccard similarity. Candidates meet through the
+    signatures of wider fingerprints (``set_join``) and are verified on whole sets, so that an equal fingerprint alone joins
+    nothing. ``distance``, ``segments`` and ``bucket_rows`` have no part in that.
 
     Null texts count as empty; texts without words share fingerprint zero. Rows that repeat an identifier each get a row.
     A null identifier never names a component unless all identifiers of the component are null. An empty table gives an
@@ -281,13 +287,14 @@ def near_duplicates(df: DataFrame, *, text_col: str = "text", id_col: str = "doc
     if similarity is None:
         rows = cut(fingerprints(df, text_col=text_col, id_col=id_col, words=words, seed=seed))
     else:
-        texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-        rows = cut(texts.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(_signed_batches(words, seed), "doc_id long, text_key long, fp long, bag long"))
-    nodes = cut(rows.groupBy(by).agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
+        texts = df.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")).alias("text"))
+        rows = cut(texts.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(_signed_batches(words, seed), "doc_id long, text_key long, fp long, bag long, " + ", ".join(f"{w} long" for w in _WIDES)))
+    wides = [] if similarity is None else [F.min(w).alias(w) for w in _WIDES]  # one for each set of shingles but for equal hashes
+    nodes = cut(rows.groupBy(by).agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), *wides))
     if similarity is None:
         links = fingerprint_links(nodes, distance=distance, segments=segments, bucket_rows=bucket_rows)
     else:
-        links = similar_links(texts, rows, rows.count(), similarity, lambda text: shingle_hashes(text, words, seed))
+        links = similar_links(texts, rows, nodes, similarity, lambda text: shingle_hashes(text, words, seed))
     if links.isEmpty():
         merged = nodes
     else:
@@ -312,7 +319,8 @@ def drop_near_duplicates(df: DataFrame, *, text_col: str = "text", id_col: str =
     group and always stay.
     """
     found = near_duplicates(df, text_col=text_col, id_col=id_col, **options)
-    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("x_stay")).distinct()
-    key = F.col(id_col).cast("long")
-    kept = df.join(stay, key == F.col("x_stay"), "left_semi")
+    own = unused(df, "stays")
+    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias(own)).distinct()
+    key = F.col(quoted(id_col)).cast("long")
+    kept = df.join(stay, key == F.col(own), "left_semi")
     return kept.union(df.where(key.isNull()))
