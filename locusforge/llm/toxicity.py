@@ -3,6 +3,10 @@
 A term is a word or the beginning of one. Terms are hashed into a table of fixed size; each bucket has a weight and a
 small vector, and a document's logit is the sum of its buckets' weights plus, for each pair of its buckets, the product of
 their vectors. The pairs catch what weights alone miss, such as an insult next to the name of a group.
+
+Of all hashed terms those enter the machine whose own slope, where they have no weight yet, exceeds a penalty in standard
+deviations (the condition of an absolute-value penalty for a weight to leave zero). Where the fit still errs, pairs of terms
+are tried in the same way, so that a pair whose members are even between the labels enters too. There is no cap on either.
 """
 
 from __future__ import annotations
@@ -17,16 +21,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from locusforge.llm.common import cut, slices
+from locusforge.llm.common import cut, quoted, slices, unused
 
 #: Labelled documents used at most for fitting, those with the smallest hash of their identifier.
 MAX_LABELLED = 20_000
 #: Size of the hash table.
 BUCKETS = 1 << 20
-#: Buckets that take part in the model: those most unevenly spread between the labels.
-MODEL_TERMS = 3_000
-#: Least chi-square statistic of such a bucket, so that few labelled rows give few terms.
+#: Penalty on a term: least square of its slope in standard deviations.
 MIN_SPREAD = 12.0
+#: Penalty on a pair of terms: least slope in standard deviations, and least documents with both. There are more pairs.
+PAIR_SPREAD, PAIR_DOCUMENTS = 6.0, 5
+#: A pair is sought if its members are in at least this share of the documents that the fit gets wrong, and these are so many.
+PAIR_SHARE, MISFITS = 0.2, 10
+PAIR_ROUNDS = 3
 #: Lengths, in characters, of word beginnings that count as terms.
 BEGINNINGS = (3, 4, 5, 6, 7, 8)
 FACTORS = 8
@@ -67,6 +74,11 @@ class Machine:
         return float(self.bias + self.weights[positions].sum() + 0.5 * (total @ total - (v * v).sum()))
 
 
+    def error(self, label: float, terms: np.ndarray) -> float:
+        """Probability less ``label`` of a document with these distinct buckets."""
+        return float(sigmoid(self.logit(np.flatnonzero(np.isin(self.buckets, terms, assume_unique=True)))) - label)
+
+
 def sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -35, 35)))
 
@@ -125,42 +137,96 @@ def _document_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], names=["y", "terms"])
 
 
-def fit(texts: DataFrame, labels: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", max_labelled: int = MAX_LABELLED, model_terms: int = MODEL_TERMS) -> Machine:
+def fit(texts: DataFrame, labels: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", max_labelled: int = MAX_LABELLED) -> Machine:
     """Fit on the labelled rows of ``texts``.
 
     At most ``max_labelled`` identifiers take part (smallest hash first). Labels other than 0 and 1, null labels and null
     identifiers are left out; of repeated labels the larger counts. Without labelled rows the model says "not toxic".
     """
-    one = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("x_id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
+    label, key = F.col(quoted(label_col)), F.col(quoted(id_col))
+    one = labels.where(label.isin(0, 1) & key.isNotNull()).groupBy(key.cast("long").alias("x_id")).agg(F.max(label.cast("int")).alias("y"))
     chosen = one.orderBy(F.xxhash64("x_id"), "x_id").limit(max_labelled)
     # Bounded by max_labelled rows of two numbers.
-    rows = texts.select(F.col(id_col).cast("long").alias("x_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "x_id")
+    rows = texts.select(key.cast("long").alias("x_id"), F.col(quoted(text_col)).cast("string").alias("text")).join(F.broadcast(chosen), "x_id")
     terms = cut(rows.select("y", "text").mapInArrow(_document_terms, "y int, terms array<int>"))
     n, positive = terms.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not n:
         return fit_machine(np.zeros(0, np.int64), [], np.zeros(0))
     each = terms.select("y", F.explode("terms").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.sum("y").alias("t"))
-    # Chi-square of each bucket against the label; both directions inform.
+    # Square of each bucket's slope over its variance; both directions inform. Bounded with the labelled rows.
     want = F.col("c") * F.lit(positive / n)
     spread = (F.col("t") - want) * (F.col("t") - want) / (want * F.lit(max(1e-9, 1 - positive / n)) + F.lit(0.5))
-    best = each.where("c >= 3").select("bucket", spread.alias("s")).where(F.col("s") >= MIN_SPREAD).orderBy(F.desc("s"), "bucket").limit(model_terms).collect()
-    buckets = np.sort(np.array([r.bucket for r in best], np.int64))
-    local = terms.mapInArrow(_positions(buckets), "y int, positions array<int>").toArrow().combine_chunks()
-    lists = local.column("positions").combine_chunks()
-    flat, offsets = lists.values.to_numpy().astype(np.int32), lists.offsets.to_numpy()
-    documents = [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
-    y = local.column("y").to_numpy().astype(float)
+    uneven = each.where("c >= 3").where(spread >= MIN_SPREAD).select("bucket").toArrow()
+    machine = _fit_on(terms, uneven.column(0).to_numpy())
+    for _ in range(PAIR_ROUNDS):
+        more = np.setdiff1d(_paired_buckets(terms, machine), machine.buckets)
+        if not len(more):
+            break
+        machine = _fit_on(terms, np.concatenate([machine.buckets, more]))
+    return machine
+
+
+def _fit_on(terms: DataFrame, buckets: np.ndarray) -> Machine:
+    buckets = np.sort(buckets.astype(np.int64))
+    documents, y = _local(terms, buckets)
     order = sorted(range(len(documents)), key=lambda i: (y[i], documents[i].tobytes()))  # sums then agree between runs
     return fit_machine(buckets, [documents[i] for i in order], y[order])
 
 
-def _positions(buckets: np.ndarray):
+def _local(terms: DataFrame, buckets: np.ndarray, machine: Machine | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+    """Positions in ``buckets`` of each labelled document's terms; and its label, or the error of ``machine`` on it."""
+    local = terms.mapInArrow(_positions(buckets, machine), "y double, positions array<int>").toArrow().combine_chunks()
+    lists = local.column("positions").combine_chunks()
+    flat, offsets = lists.values.to_numpy().astype(np.int32), lists.offsets.to_numpy()
+    return [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:])], local.column("y").to_numpy()
+
+
+def pair_slopes(documents: list[np.ndarray], errors: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each pair of ``m`` terms its slope in standard deviations, and the documents that have both."""
+    slope, spread, both = (np.zeros((m, m), np.float32) for _ in range(3))
+    for at in range(0, len(documents), 1024):
+        part = documents[at : at + 1024]
+        has = np.zeros((len(part), m), np.float32)
+        has[np.repeat(np.arange(len(part)), [len(d) for d in part]), np.concatenate(part)] = 1
+        error = errors[at : at + 1024].astype(np.float32)[:, None]
+        slope += has.T @ (has * error)
+        spread += has.T @ (has * (np.abs(error) * (1 - np.abs(error))))
+        both += has.T @ has
+    return slope / np.sqrt(spread + 0.5), both
+
+
+def _paired_buckets(terms: DataFrame, machine: Machine) -> np.ndarray:
+    """Buckets of pairs that explain what ``machine`` gets wrong."""
+
+    def misfits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            for y, own in zip(batch.column(0).to_pylist(), batch.column(1)):
+                at = own.values.to_numpy()
+                if abs(machine.error(y, at)) >= 0.5:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32())], names=["bucket"])
+
+    counts = cut(terms.mapInArrow(misfits, "bucket int").groupBy("bucket").agg(F.count(F.lit(1)).alias("n")))
+    wrong = counts.where("bucket = -1").first()
+    if wrong is None or wrong.n < MISFITS:
+        return np.zeros(0, np.int64)
+    # No more than a document's terms divided by the share.
+    common = np.sort(counts.where((F.col("bucket") >= 0) & (F.col("n") >= PAIR_SHARE * wrong.n)).select("bucket").toArrow().column(0).to_numpy().astype(np.int64))
+    documents, errors = _local(terms, common, machine)
+    z, both = pair_slopes(documents, errors, len(common))
+    found = (np.abs(z) >= PAIR_SPREAD) & (both >= PAIR_DOCUMENTS)
+    np.fill_diagonal(found, False)
+    return common[found.any(0)]
+
+
+def _positions(buckets: np.ndarray, machine: Machine | None):
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            out = []
-            for terms in batch.column(1):
-                out.append(np.flatnonzero(np.isin(buckets, terms.values.to_numpy(), assume_unique=True)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], names=["y", "positions"])
+            out, values = [], []
+            for y, terms in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own = terms.values.to_numpy()
+                out.append(np.flatnonzero(np.isin(buckets, own, assume_unique=True)).astype(np.int32))
+                values.append(float(y) if machine is None else machine.error(y, own))
+            yield pa.RecordBatch.from_arrays([pa.array(values, pa.float64()), pa.array(out, pa.list_(pa.int32()))], names=["y", "positions"])
 
     return over
 
@@ -196,11 +262,11 @@ def score(df: DataFrame, machine: Machine, *, text_col: str = "text", score_col:
     """
     kept = [c for c in df.columns if c != score_col]
     schema = T.StructType([*[T.StructField(f"c_{i}", df.schema[c].dataType) for i, c in enumerate(kept)], T.StructField("score", T.DoubleType())])
-    scored = df.select(*[F.col(c).alias(f"c_{i}") for i, c in enumerate(kept)], F.col(text_col).cast("string").alias("text")).mapInArrow(_scores(machine, len(kept)), schema)
+    scored = df.select(*[F.col(quoted(c)).alias(f"c_{i}") for i, c in enumerate(kept)], F.col(quoted(text_col)).cast("string").alias("text")).mapInArrow(_scores(machine, len(kept)), schema)
     return scored.select(*[F.col(f"c_{i}").alias(c) for i, c in enumerate(kept)], F.col("score").alias(score_col))
 
 
 def drop_toxic(df: DataFrame, machine: Machine, *, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``df`` that score below ``threshold``, with their columns as they were."""
-    return score(df, machine, text_col=text_col, score_col="x_toxicity").where(F.col("x_toxicity") < threshold).select(*df.columns)
-
+    """The rows of ``df`` that score below ``threshold``, with their columns as they were; cases as in ``score``."""
+    own = unused(df, "toxicity")
+    return score(df, machine, text_col=text_col, score_col=own).where(F.col(own) < threshold).select(*[quoted(c) for c in df.columns])
