@@ -5,6 +5,9 @@ ones, up to the target size, tier by tier. Shards are never changed: each versio
 up the table, and is put in place by one rename that fails if another writer was first. Rows move without a shuffle: a
 merge is one task that reads its shards and writes one file. Only DataFrame operations touch rows; the driver holds one
 entry a shard.
+
+A writer leaves an intent under its folder's name before it writes there and takes it away after its commit. Clearing passes
+over folders with an intent, so writers and clearing may run side by side.
 """
 
 from __future__ import annotations
@@ -12,16 +15,23 @@ from __future__ import annotations
 import json
 import math
 import re
+import time
 import uuid
+from contextlib import ExitStack, contextmanager
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from locusforge.llm.common import filesystem, remove
+from locusforge.llm.common import filesystem, quoted, remove
 
 #: Merges that one job carries out.
 MERGES_PER_JOB = 128
+#: Shards whose table (some 150 bytes each) is sent to all; beyond, rows meet it by a shuffle, a shard's rows in one task.
+BROADCAST_SHARDS = 100_000
+#: Seconds after which an intent counts as left behind by a writer that died.
+INTENT_SECONDS = 7 * 86_400
 
 
 @dataclass(frozen=True)
@@ -37,6 +47,17 @@ class Conflict(RuntimeError):
     """Another writer committed the version first."""
 
 
+def united(old: StructType, new: StructType) -> StructType:
+    """Fields of both, the old ones first and all nullable; a field in both must have one type and one spelling."""
+    known = {f.name.lower(): f for f in old}
+    for f in new:
+        own = known.get(f.name.lower())
+        if own is not None and (own.name != f.name or own.dataType != f.dataType):
+            raise ValueError(f"column {f.name} {f.dataType.simpleString()} does not fit {own.name} {own.dataType.simpleString()}")
+    fields = [*old, *[f for f in new if f.name.lower() not in known]]
+    return StructType([StructField(f.name, f.dataType, True, f.metadata) for f in fields])
+
+
 class ShardStore:
     """Shards and manifests under ``root``, a folder that all executors share.
 
@@ -56,7 +77,7 @@ class ShardStore:
         fs, folder = filesystem(self.spark, f"{self.root}/manifest")
         if not fs.exists(folder):
             return []
-        return sorted(int(m[1]) for f in fs.listStatus(folder) if (m := re.fullmatch(r"v(\d+)\.json", f.getPath().getName())))
+        return sorted(int(m[1]) for f in fs.listStatus(folder) if f.getLen() and (m := re.fullmatch(r"v(\d+)\.json", f.getPath().getName())))
 
     def shards(self, version: int | None = None) -> list[Shard]:
         """Shards of a version; of the last one by default, and none before the first."""
@@ -89,23 +110,32 @@ class ShardStore:
             raise
         return base + 1
 
-    def _schema_json(self) -> str | None:
-        last = max(self.versions(), default=0)
-        if not last:
+    def schema(self, version: int | None = None) -> StructType | None:
+        """Schema of a version, the last one by default; none before the first."""
+        version = max(self.versions(), default=0) if version is None else version
+        if not version:
             return None
-        text = "".join(r.value for r in self.spark.read.text(f"{self.root}/manifest/v{last:08d}.json").collect())
-        return json.dumps(json.loads(text)["schema"])
+        text = "".join(r.value for r in self.spark.read.text(f"{self.root}/manifest/v{version:08d}.json").collect())
+        return StructType.fromJson(json.loads(text)["schema"])
+
+    @contextmanager
+    def _intent(self, folder: str):
+        """While this holds, ``vacuum`` leaves ``folder`` alone."""
+        fs, mark = filesystem(self.spark, f"{self.root}/intent/{folder}")
+        fs.create(mark, False).close()
+        try:
+            yield
+        finally:
+            fs.delete(mark, False)
 
     # ---- reading and writing
 
     def read(self, version: int | None = None) -> DataFrame:
-        """The table at a version, with ``_metadata`` telling each row's shard. A store without shards has no schema: an error."""
-        from pyspark.sql.types import StructType
-
-        schema = self._schema_json()
-        if schema is None:
+        """The table at a version, with ``_metadata`` telling each row's shard; columns that a shard lacks are null. A store
+        without shards has no schema: an error."""
+        kind = self.schema(version)
+        if kind is None:
             raise ValueError("nothing has been appended")
-        kind = StructType.fromJson(json.loads(schema))
         paths = [f"{self.root}/data/{s.folder}/{s.name}" for s in self.shards(version)]
         return self.spark.read.schema(kind).parquet(*paths) if paths else self.spark.createDataFrame([], kind)
 
@@ -123,17 +153,22 @@ class ShardStore:
         """Write the rows as small shards, one for each partition with rows, and commit them. Returns the new version.
 
         Nulls, repeated rows and any column names Parquet takes are kept as they are. No rows make a version without new
-        shards. If another writer commits first its version is taken as the base, since appends do not conflict.
+        shards. If another writer commits first its version is taken as the base, since appends do not conflict. Columns that
+        the store lacks are added, and null in its older rows; one whose type or spelling differs is an error, and nothing is
+        committed.
         """
+        united(self.schema() or StructType([]), df.schema)
         folder = f"append-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.root}/data/{folder}")
-        new = self._written(folder, 0)
-        while True:
-            base = max(self.versions(), default=0)
-            try:
-                return self._commit(base, [*self.shards(base), *new], self._schema_json() or df.schema.json())
-            except Conflict:
-                continue
+        with self._intent(folder):
+            df.write.parquet(f"{self.root}/data/{folder}")
+            new = self._written(folder, 0)
+            while True:
+                base = max(self.versions(), default=0)
+                kind = united(self.schema(base) or StructType([]), df.schema)
+                try:
+                    return self._commit(base, [*self.shards(base), *new], kind.json())
+                except Conflict:
+                    continue
 
     # ---- compaction
 
@@ -167,43 +202,53 @@ class ShardStore:
             merges = self.plan(shards)
             if not merges:
                 return base
-            kept = set(shards)
+            kind, kept = self.schema(base), set(shards)
             added: list[Shard] = []
-            for at in range(0, len(merges), MERGES_PER_JOB):
-                part = merges[at : at + MERGES_PER_JOB]
-                added += self._merge(part)
-                kept -= {s for g in part for s in g}
-            try:
-                self._commit(base, [*sorted(kept, key=lambda s: (s.folder, s.name)), *added], self._schema_json())
-            except Conflict:
-                continue  # what was merged stays unnamed and goes with the next vacuum
+            folder = f"merge-{uuid.uuid4().hex}"
+            parts = range(0, len(merges), MERGES_PER_JOB)
+            with ExitStack() as held:
+                for at in parts:
+                    part = merges[at : at + MERGES_PER_JOB]
+                    held.enter_context(self._intent(f"{folder}-{at}"))
+                    added += self._merge(part, kind, f"{folder}-{at}")
+                    kept -= {s for g in part for s in g}
+                try:
+                    self._commit(base, [*sorted(kept, key=lambda s: (s.folder, s.name)), *added], kind.json())
+                except Conflict:
+                    continue  # what was merged stays unnamed and goes with the next vacuum
         return max(self.versions(), default=0)
 
-    def _merge(self, groups: list[list[Shard]]) -> list[Shard]:
-        from pyspark.sql.types import StructType
-
-        kind = StructType.fromJson(json.loads(self._schema_json()))
+    def _merge(self, groups: list[list[Shard]], kind: StructType, folder: str) -> list[Shard]:
         whole = None
         for group in groups:
             one = self.spark.read.schema(kind).parquet(*[f"{self.root}/data/{s.folder}/{s.name}" for s in group]).coalesce(1)
             whole = one if whole is None else whole.union(one)
-        folder = f"merge-{uuid.uuid4().hex}"
         whole.write.option("maxRecordsPerFile", 0).parquet(f"{self.root}/data/{folder}")
         made = self._written(folder, 1 + max(s.generation for g in groups for s in g))
         if sum(s.rows for s in made) != sum(s.rows for g in groups for s in g):
             raise RuntimeError("a merge has other rows than its shards")
         return made
 
-    def vacuum(self, keep_versions: int = 1) -> int:
-        """Delete files that none of the last versions names, and older manifests. Returns the number of folders deleted."""
+    def vacuum(self, keep_versions: int = 1, intent_seconds: float = INTENT_SECONDS) -> int:
+        """Delete files that none of the last versions names, and empty older manifests. Returns the number of folders deleted.
+
+        Folders are listed before intents, and intents before manifests: a folder without an intent has been committed by
+        then or never will be. Intents older than ``intent_seconds`` no longer protect.
+        """
+        fs, data = filesystem(self.spark, f"{self.root}/data")
+        entries = list(fs.listStatus(data)) if fs.exists(data) else []
+        _, marks = filesystem(self.spark, f"{self.root}/intent")
+        oldest = (time.time() - intent_seconds) * 1000
+        writing = {m.getPath().getName() for m in (fs.listStatus(marks) if fs.exists(marks) else []) if m.getModificationTime() >= oldest}
         versions = self.versions()
         kept = versions[-keep_versions:]
         named = {(s.folder, s.name) for v in kept for s in self.shards(v)}
         folders = {f for f, _ in named}
-        fs, data = filesystem(self.spark, f"{self.root}/data")
         gone = 0
-        for entry in fs.listStatus(data) if fs.exists(data) else []:
+        for entry in entries:
             name = entry.getPath().getName()
+            if name in writing:
+                continue
             if name not in folders:
                 remove(self.spark, f"{self.root}/data/{name}")
                 gone += 1
@@ -212,7 +257,8 @@ class ShardStore:
                     if file.getPath().getName().endswith(".parquet") and (name, file.getPath().getName()) not in named:
                         fs.delete(file.getPath(), False)
         for v in versions[:-keep_versions]:
-            remove(self.spark, f"{self.root}/manifest/v{v:08d}.json")
+            # Emptied and not deleted: a writer who still has an older version as its base must find its number taken.
+            fs.create(filesystem(self.spark, f"{self.root}/manifest/v{v:08d}.json")[1], True).close()
         return gone
 
     def placement(self, id_col: str = "doc_id") -> DataFrame:
@@ -222,14 +268,18 @@ class ShardStore:
         table = self.spark.createDataFrame([(s.name, s.rows, s.bytes, self.tier(s.bytes), s.generation, version) for s in shards], "shard string, shard_rows long, shard_bytes long, tier int, generation int, version int")
         if not shards:
             return table.select(F.lit(None).cast("long").alias("doc_id"), "*")
-        rows = self.read(version).select(F.col(id_col).cast("long").alias("doc_id"), F.col("_metadata.file_name").alias("shard"))
-        return rows.join(table, "shard").select("doc_id", "shard", "shard_rows", "shard_bytes", "tier", "generation", "version")
+        rows = self.read(version).select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col("_metadata.file_name").alias("shard"))
+        return rows.join(F.broadcast(table) if len(shards) <= BROADCAST_SHARDS else table, "shard").select("doc_id", "shard", "shard_rows", "shard_bytes", "tier", "generation", "version")
 
 
 def arrive(store: ShardStore, df: DataFrame, arrivals: int = 4, id_col: str = "doc_id") -> ShardStore:
-    """Append ``df`` in parts that hash its identifiers (null: the part of its hash), compacting and clearing after each."""
+    """Append ``df`` in parts that hash its identifiers, compacting and clearing after each.
+
+    A null identifier goes by its hash like any other, rows that repeat one go together, and empty parts make versions without
+    new shards; columns may have any names that Parquet takes.
+    """
     for part in range(arrivals):
-        store.append(df.where(F.pmod(F.xxhash64(id_col), F.lit(arrivals)) == part))
+        store.append(df.where(F.pmod(F.xxhash64(F.col(quoted(id_col))), F.lit(arrivals)) == part))
         store.compact()
         store.vacuum()
     return store

@@ -1,7 +1,10 @@
+import os
 from collections import Counter
 
+import pyarrow.parquet as pq
 import pytest
 
+from locusforge.llm import sharding
 from locusforge.llm.common import fresh_path
 from locusforge.llm.sharding import Conflict, Shard, ShardStore, arrive
 
@@ -45,7 +48,7 @@ def test_a_version_is_committed_once(spark):
     s = store(spark)
     s.append(rows(spark, 10, 1))
     with pytest.raises(Conflict):
-        s._commit(0, [], s._schema_json())
+        s._commit(0, [], s.schema().json())
     assert s.read().count() == 10
 
 
@@ -69,3 +72,68 @@ def test_odd_rows(spark):
     empty = store(spark)
     arrive(empty, df.limit(0), arrivals=2)
     assert empty.read().count() == 0 and empty.placement().count() == 0 and empty.read().columns == df.columns
+
+
+def test_clearing_between_write_and_commit_loses_nothing(spark, monkeypatch):
+    """Two writers of one store: the second one clears when the first has written and not yet committed."""
+    one = store(spark)
+    other = ShardStore(spark, one.root, target_bytes=40_000, fan_in=3, least_bytes=2_000)
+    other.append(rows(spark, 100, 2, 5000))
+    commit, calls = one._commit, []
+
+    def late(*args):
+        if not calls:
+            calls.append(1)
+            other.append(rows(spark, 50, 1, 9000))
+            other.compact()
+            other.vacuum()
+        return commit(*args)
+
+    monkeypatch.setattr(one, "_commit", late)
+    one.append(rows(spark, 300, 6))
+    assert sorted(r.doc_id for r in one.read().collect()) == [*range(300), *range(5000, 5100), *range(9000, 9050)]
+    one.compact()
+    one.vacuum()
+    assert one.read().count() == 450
+
+
+def test_what_a_dead_writer_left_goes_in_time(spark):
+    s = store(spark)
+    s.append(rows(spark, 10, 1))
+    with s._intent("append-dead"):
+        rows(spark, 10, 1).write.parquet(f"{s.root}/data/append-dead")
+        assert s.vacuum() == 0
+        assert s.vacuum(intent_seconds=-5) == 1
+    assert s.read().count() == 10
+
+
+def test_later_columns_are_added_and_kept_by_merges(spark):
+    s = store(spark)
+    s.append(rows(spark, 20, 2))
+    s.append(rows(spark, 20, 2, 100).selectExpr("doc_id", "doc_id * 2 as extra", "text"))
+    s.compact()
+    s.vacuum()
+    got = {r.doc_id: r for r in s.read().collect()}
+    assert s.read().columns == ["doc_id", "text", "shard", "version", "extra"] and len(got) == 40
+    assert all(r.extra == (2 * i if i >= 100 else None) and r.version == (None if i >= 100 else "v") for i, r in got.items())
+    for bad in ("cast(doc_id as string) as doc_id", "doc_id as DOC_ID"):
+        with pytest.raises(ValueError):
+            s.append(rows(spark, 1, 1).selectExpr(bad))
+    assert s.read().count() == 40
+
+
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_placement_by_opening_each_file(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(sharding, "BROADCAST_SHARDS", broadcast)
+    s = store(spark)
+    arrive(s, rows(spark, 900, 5), arrivals=3)
+    version, want = max(s.versions()), Counter()
+    for x in s.shards():
+        path = f"{s.root}/data/{x.folder}/{x.name}".removeprefix("file:")
+        ids = pq.read_table(path, columns=["doc_id"]).column(0).to_pylist()
+        size = os.path.getsize(path)
+        tier = 0
+        while size >= 2_000 * 3 ** (tier + 1):
+            tier += 1
+        want.update((i, x.name, len(ids), size, tier, x.generation, version) for i in ids)
+    assert Counter(map(tuple, s.placement().collect())) == want and sum(want.values()) == 900
