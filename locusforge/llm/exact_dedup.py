@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from locusforge.llm.common import cut, stash
+from locusforge.llm.common import cut, quoted, stash
 
 FIRST, MIDDLE, LAST = 0, 1, 2
 #: Characters of the text that lead the sort key. Only the key's form depends on it; texts are compared whole.
@@ -158,9 +158,9 @@ def _chains(marked: DataFrame) -> DataFrame | None:
 
 def _sorted(df: DataFrame, text: Column, id_col: str, keep: str, carry: Sequence[str]) -> DataFrame:
     keyed = df.select(
-        F.col(id_col).cast("long").alias("x_id"),
+        F.col(quoted(id_col)).cast("long").alias("x_id"),
         text.alias("x_text"),
-        *[F.col(c).alias(f"c_{i}") for i, c in enumerate(carry)],
+        *[F.col(quoted(c)).alias(f"c_{i}") for i, c in enumerate(carry)],
     ).select("*", F.sha2(F.col("x_text"), 256).alias("x_sha"), F.substring("x_text", 1, LEAD_CHARS).alias("x_lead"))
     by_id = F.col("x_id").asc_nulls_last() if keep == "min" else F.col("x_id").desc_nulls_last()
     keyed = keyed.repartitionByRange(F.col("x_lead"), F.col("x_sha"), by_id)
@@ -168,7 +168,7 @@ def _sorted(df: DataFrame, text: Column, id_col: str, keep: str, carry: Sequence
 
 
 def _text(df: DataFrame, text_col: str, normalize: Callable[[Column], Column] | None) -> Column:
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    text = F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit(""))
     return normalize(text) if normalize else text
 
 

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from locusforge.llm.common import cut
+from locusforge.llm.common import cut, quoted
 
 #: Slices of the order for which sums are kept: at most so many rows for a source.
 SLICES = 1 << 14
@@ -47,7 +47,7 @@ def source_targets(sizes: DataFrame, *, weights: Sequence[float] = (1, 2, 3), mo
 
 def _lottery(id_col: str, text_col: str, seed: int) -> Column:
     """A number between 0 and 1, both excluded, that only depends on the document and the seed."""
-    h = F.xxhash64(F.lit(seed), F.col(id_col).cast("long"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    h = F.xxhash64(F.lit(seed), F.col(quoted(id_col)).cast("long"), F.xxhash64(F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit(""))))
     return (F.shiftrightunsigned(h, 12).cast("double") + 0.5) / float(1 << 52)
 
 
@@ -58,8 +58,9 @@ def _order(number: Column, share: Column) -> tuple[Column, Column]:
     return rank, F.floor(rank / (1 + rank) * SLICES).cast("long")
 
 
-def _plan(rows: DataFrame, weights: Sequence[float], most: float) -> DataFrame:
-    """Per source: size, target, whole copies, share of the rest, and where its order is cut. ``rows``: source, size, number."""
+def _plan(rows: DataFrame, weights: Sequence[float], most: float) -> tuple[DataFrame, bool]:
+    """Per source: size, target, whole copies, share of the rest, and where its order is cut; and whether these are few enough
+    to be sent to all. ``rows``: source, size, number."""
     targets = cut(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights=weights, most=most))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     shares = cut(
@@ -67,24 +68,25 @@ def _plan(rows: DataFrame, weights: Sequence[float], most: float) -> DataFrame:
         .select("*", F.greatest(F.lit(0.0), ratio - F.col("whole")).alias("share"))
         .select("*", (F.col("target") - F.col("whole") * F.col("source_size")).alias("rest"))
     )
+    small = shares.count() <= BROADCAST_SOURCES
     rank, piece = _order(F.col("number"), F.col("share"))
-    ranked = _with_sources(rows, shares).select("source", "size", "rest", rank.alias("rank"), piece.alias("piece")).where("rank is not null")
+    ranked = _with_sources(rows, shares, small).select("source", "size", "rest", rank.alias("rank"), piece.alias("piece")).where("rank is not null")
     sums = ranked.groupBy("source", "piece").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
     upto = Window.partitionBy("source").orderBy("piece")
     sums = sums.select("*", F.sum("words").over(upto).alias("upto"))
     cuts = cut(sums.where("upto >= rest").groupBy("source").agg(F.min(F.struct("piece", (F.col("upto") - F.col("words")).alias("before"))).alias("c")).select("source", "c.piece", "c.before"))
-    inside = _with_sources(ranked, cuts.withColumnRenamed("piece", "cut_piece")).where(F.col("piece") == F.col("cut_piece"))
+    inside = _with_sources(ranked, cuts.withColumnRenamed("piece", "cut_piece"), small).where(F.col("piece") == F.col("cut_piece"))
     running = Window.partitionBy("source").orderBy("rank", "size").rowsBetween(Window.unboundedPreceding, 0)
     inside = inside.select("*", (F.col("before") + F.sum("size").over(running)).alias("sofar"))
     last = inside.where(2 * (F.col("rest") - F.col("sofar") + F.col("size")) >= F.col("size")).groupBy("source").agg(F.max("rank").alias("cut_rank"))
-    with_cut = _with_sources(shares, cuts.select("source", F.col("piece").alias("cut_piece")), "left")
-    return cut(_with_sources(with_cut, cut(last), "left"))
+    with_cut = _with_sources(shares, cuts.select("source", F.col("piece").alias("cut_piece")), small, "left")
+    return cut(_with_sources(with_cut, cut(last), small, "left")), small
 
 
-def _with_sources(rows: DataFrame, sources: DataFrame, how: str = "inner") -> DataFrame:
-    """``rows`` beside their source's row; the table of sources is sent to all only if it is small."""
+def _with_sources(rows: DataFrame, sources: DataFrame, small: bool, how: str = "inner") -> DataFrame:
+    """``rows`` beside their source's row; the table of sources is sent to all only if it was counted and is small."""
     right = sources.withColumnRenamed("source", "x_source")
-    if sources.count() <= BROADCAST_SOURCES:
+    if small:
         right = F.broadcast(right)
     return rows.join(right, F.col("source").eqNullSafe(F.col("x_source")), how).drop("x_source")
 
@@ -104,17 +106,21 @@ def mixture(df: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", so
     A null source is a source of its own. The draw depends on identifier and text alone, so reruns agree; rows that repeat
     both share their fate. A source without words has target zero. An empty table gives an empty result.
     """
-    rows = cut(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), _lottery(id_col, text_col, seed).alias("number")))
-    found = _with_sources(rows, _plan(rows, weights, most))
+    rows = cut(df.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(source_col)).cast("string").alias("source"), word_count(F.col(quoted(text_col))).alias("size"), _lottery(id_col, text_col, seed).alias("number")))
+    found = _with_sources(rows, *_plan(rows, weights, most))
     copies = F.col("whole") + _again(F.col("number")).cast("long")
     return found.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def mix(df: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", weights: Sequence[float] = (1, 2, 3), most: float = 3.0, seed: int = 6) -> DataFrame:
-    """The mixture itself: each row of ``df`` as often as ``mixture`` takes it, columns as they were; texts stay in place."""
-    rows = cut(df.select(F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), _lottery(id_col, text_col, seed).alias("number")))
+    """The mixture itself: each row of ``df`` as often as ``mixture`` takes it, columns as they were; texts stay in place.
+
+    The cases are those of ``mixture``; rows without words are taken as their source's other rows are. Columns may have any
+    names.
+    """
+    rows = cut(df.select(F.col(quoted(source_col)).cast("string").alias("source"), word_count(F.col(quoted(text_col))).alias("size"), _lottery(id_col, text_col, seed).alias("number")))
     plan = _plan(rows, weights, most)
-    wide = df.select(F.col(source_col).cast("string").alias("source"), _lottery(id_col, text_col, seed).alias("number"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("x_row"))
+    wide = df.select(F.col(quoted(source_col)).cast("string").alias("source"), _lottery(id_col, text_col, seed).alias("number"), F.struct(*[F.col(quoted(c)).alias(f"c_{i}") for i, c in enumerate(df.columns)]).alias("x_row"))
     copies = (F.col("whole") + _again(F.col("number")).cast("long")).cast("int")
-    taken = _with_sources(wide, plan).select("x_row", copies.alias("x_copies")).where("x_copies > 0")
-    return taken.select("x_row", F.explode(F.sequence(F.lit(1), F.col("x_copies")))).select(*[F.col("x_row").getField(c).alias(c) for c in df.columns])
+    taken = _with_sources(wide, *plan).select("x_row", copies.alias("x_copies")).where("x_copies > 0")
+    return taken.select("x_row", F.explode(F.sequence(F.lit(1), F.col("x_copies")))).select(*[F.col("x_row").getField(f"c_{i}").alias(c) for i, c in enumerate(df.columns)])

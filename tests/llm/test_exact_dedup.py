@@ -60,3 +60,9 @@ def test_normalised_texts_and_no_rows(spark):
     assert exact_duplicates(df.limit(0)).count() == 0 and drop_exact_duplicates(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         exact_duplicates(df, keep="first")
+
+
+def test_dotted_and_clashing_names(spark):
+    df = spark.createDataFrame([(2, "a", 1), (1, "a", 2), (3, None, 3), (4, "", 4)], "`i.d` long, `t.x` string, x_text int")
+    kept = drop_exact_duplicates(df, text_col="t.x", id_col="i.d")
+    assert kept.columns == df.columns and sorted(r["i.d"] for r in kept.collect()) == [1, 3]

@@ -67,3 +67,12 @@ def test_one_source_and_empty(spark):
     assert mixture(df.limit(0)).count() == 0 and mix(df.limit(0)).count() == 0
     blank = spark.createDataFrame([(1, None, None), (2, "", "s")], "doc_id long, text string, source string")
     assert [r.taken for r in mixture(blank).collect()] == [0, 0]
+
+
+def test_dotted_and_clashing_names(spark):
+    rows = [(i, f"{'w ' * (1 + i % 5)}", f"s{i % 3}", i, "r") for i in range(60)]
+    df = spark.createDataFrame(rows, "`a.id` long, `b.text` string, `c.src` string, number int, x_row string")
+    names = {"text_col": "b.text", "id_col": "a.id", "source_col": "c.src"}
+    want = {r.doc_id: r.copies for r in mixture(df, **names).collect()}
+    got = mix(df, **names)
+    assert got.columns == df.columns and {i: sum(r["a.id"] == i for r in got.collect()) for i in want} == want
