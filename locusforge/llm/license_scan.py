@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusforge.llm.common import slices
+from locusforge.llm.common import quoted, slices
 
 #: Phrases whose every place counts, with the label that each gives.
 BASE_PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -131,8 +131,162 @@ _SENTENCES = [
     ("no-warranty", r"merchantability or fitness for a particular purpose", "merchantability", 0.4),
     ("copyright", r"copyright (?:c )?(?:19|20)\d\d", "copyright", 0.4),
     ("copyright", r"copyright (?:c )?by", "copyright", 0.3),
+    ("mit", r"to deal in the software without restriction including without limitation the rights", "restriction", 0.95),
+    ("mit", r"subject to the following conditions the above copyright notice and this permission notice", "permission", 0.9),
+    ("mit", r"mit licen[cs]ed", "licensed licenced", 0.8),
+    ("mit-0", r"to deal in the software without restriction .{0,200}and to permit persons to whom the software is furnished to do so the software is provided", "furnished", 0.95),
+    ("x11", r"except as contained in this notice the name of the x consortium shall not be used", "consortium", 0.95),
+    ("isc", r"permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted", "fee", 0.9),
+    ("0bsd", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided", "fee", 0.95),
+    ("bsd", r"redistribution and use in source and binary forms with or without modification are permitted", "redistribution", 0.95),
+    ("bsd-3-clause", r"the name of the author may not be used to endorse or promote products", "endorse", 0.85),
+    ("bsd-3-clause-clear", r"no express or implied licenses to any party s patent rights are granted", "patent", 0.95),
+    ("bsd-4-clause", r"this product includes software developed by", "developed", 0.7),
+    ("gpl", r"gnu general public licen[cs]e as published by the free software foundation", "foundation", 0.98),
+    ("gpl", r"you should have received a copy of the gnu general public licen[cs]e", "received", 0.98),
+    ("gpl", r"the licenses for most software (?:and other practical works )?are designed to take away your freedom", "freedom", 0.95),
+    ("gpl", r"a copyleft licen[cs]e for software and other kinds of works", "copyleft", 0.8),
+    ("gpl-2", r"version 2 june 1991", "june", 0.9),
+    ("gpl-3", r"version 3 29 june 2007", "june", 0.9),
+    ("gpl-2-only", r"version 2 (?:of the licen[cs]e )?only", "only", 0.6),
+    ("gpl-or-later", r"gpl ?v?\d(?: \d)?(?: or later| plus)", "later plus", 0.85),
+    ("lgpl", r"you should have received a copy of the gnu (?:lesser|library) general public licen[cs]e", "received", 0.98),
+    ("lgpl", r"this library is free software you can redistribute it", "library", 0.9),
+    ("lgpl-2.1", r"version 2 1 february 1999", "february", 0.9),
+    ("agpl", r"you should have received a copy of the gnu affero general public licen[cs]e", "received", 0.98),
+    ("agpl-3", r"version 3 19 november 2007", "november", 0.9),
+    ("agpl", r"remote network interaction use with the gnu general public licen[cs]e", "network", 0.95),
+    ("gfdl", r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation licen[cs]e", "document", 0.98),
+    ("gfdl", r"with no invariant sections no front cover texts and no back cover texts", "invariant", 0.95),
+    ("gcc-exception", r"gcc runtime library exception", "runtime", 0.95),
+    ("classpath-exception", r"classpath exception|linking this library statically or dynamically with other modules is making a combined work", "classpath statically", 0.9),
+    ("llvm-exception", r"llvm exceptions? to the apache", "llvm", 0.95),
+    ("apache-2.0", r"apache licen[cs]e version 2 0 january 2004", "january", 0.98),
+    ("apache-2.0", r"www apache org licen[cs]es licen[cs]e 2 0", "apache", 0.95),
+    ("apache", r"this product includes software developed (?:at|by) the apache software foundation", "apache", 0.85),
+    ("apache", r"grants? to you a perpetual worldwide non ?exclusive no charge royalty free irrevocable", "irrevocable", 0.8),
+    ("mpl-1.1", r"the contents of this file are subject to the mozilla public licen[cs]e version 1 1", "mozilla", 0.98),
+    ("mpl-2.0", r"if a copy of the mpl was not distributed with this file you can obtain one at", "obtain", 0.95),
+    ("mpl-tri", r"alternatively the contents of this file may be used under the terms of either the gnu general public licen[cs]e", "alternatively", 0.9),
+    ("npl", r"netscape public licen[cs]e", "netscape", 0.9),
+    ("epl", r"this program and the accompanying materials are made available under the terms of the eclipse public licen[cs]e", "accompanying", 0.98),
+    ("edl", r"eclipse distribution licen[cs]e", "eclipse", 0.9),
+    ("cpl", r"the accompanying program is provided under the terms of this common public licen[cs]e", "accompanying", 0.95),
+    ("ipl", r"ibm public licen[cs]e", "ibm", 0.9),
+    ("apsl", r"apple public source licen[cs]e", "apple", 0.9),
+    ("cddl", r"you may not use this file except in compliance with the cddl", "cddl", 0.95),
+    ("cpal", r"common public attribution licen[cs]e", "attribution", 0.9),
+    ("eupl", r"licensed under the eupl", "eupl", 0.95),
+    ("cecill", r"ce logiciel est r.{1,3}gi par la licence cecill", "logiciel", 0.95),
+    ("osl", r"licensed under the open software licen[cs]e", "licensed", 0.95),
+    ("afl", r"licensed under the academic free licen[cs]e", "licensed", 0.95),
+    ("ecl", r"educational community licen[cs]e", "educational", 0.9),
+    ("efl", r"eiffel forum licen[cs]e", "eiffel", 0.9),
+    ("artistic", r"the intent of this document is to state the conditions under which a package may be copied", "package", 0.95),
+    ("perl", r"this (?:library|module|program) is free software you (?:can|may) redistribute it and or modify it under the same terms as perl", "perl", 0.95),
+    ("ruby", r"you can redistribute it and or modify it under either the terms of the (?:2 clause bsdl|gpl)", "either", 0.9),
+    ("bsl", r"boost org licen[cs]e 1 0 txt|distributed under the boost software licen[cs]e", "boost", 0.95),
+    ("zlib", r"the origin of this software must not be misrepresented", "misrepresented", 0.95),
+    ("zlib", r"this notice may not be removed or altered from any source distribution", "altered", 0.85),
+    ("libpng", r"the png reference library is supplied as is", "png", 0.95),
+    ("ijg", r"this software is based in part on the work of the independent jpeg group", "jpeg", 0.95),
+    ("freetype", r"portions of this software are copyright .{0,40}the freetype project", "freetype", 0.95),
+    ("curl", r"permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice", "fee", 0.85),
+    ("icu", r"icu licen[cs]e", "icu", 0.9),
+    ("unicode", r"unicode inc licen[cs]e agreement|unicode licen[cs]e agreement", "unicode", 0.95),
+    ("ncsa", r"university of illinois(?: ncsa)? open source licen[cs]e", "illinois", 0.95),
+    ("json", r"the software shall be used for good not evil", "evil", 0.98),
+    ("beerware", r"beer ?ware licen[cs]e|if we meet some day and you think this stuff is worth it you can buy me a beer", "beer beerware", 0.95),
+    ("postgresql", r"postgresql licen[cs]e", "postgresql", 0.9),
+    ("postgresql", r"in no event shall the university of california be liable to any party for direct indirect special incidental", "california", 0.85),
+    ("ntp", r"the university of delaware makes no representations about the suitability this software for any purpose", "delaware", 0.95),
+    ("hpnd", r"historical permission notice and disclaimer", "historical", 0.95),
+    ("w3c", r"w3c software (?:and document )?(?:notice and )?licen[cs]e", "w3c", 0.95),
+    ("vim", r"vim licen[cs]e", "vim", 0.9),
+    ("tcl", r"tcl tk licen[cs]e|the authors hereby grant permission to use copy modify distribute and licen[cs]e this software and its documentation", "tcl authors", 0.9),
+    ("sleepycat", r"sleepycat licen[cs]e|sleepycat software", "sleepycat", 0.9),
+    ("qpl", r"q public licen[cs]e", "q", 0.9),
+    ("lppl", r"latex project public licen[cs]e", "latex", 0.95),
+    ("openldap", r"openldap public licen[cs]e", "openldap", 0.95),
+    ("openssl", r"this product includes software developed by the openssl project", "openssl", 0.95),
+    ("upl", r"universal permissive licen[cs]e", "universal", 0.95),
+    ("mulan", r"mulan p(?:ermissive )?s(?:oftware )?l", "mulan", 0.9),
+    ("blueoak", r"blue oak model licen[cs]e", "oak", 0.95),
+    ("elastic", r"elastic licen[cs]e", "elastic", 0.9),
+    ("sspl", r"if you make the functionality of the program or a modified version available to third parties as a service", "functionality", 0.95),
+    ("busl", r"the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use", "licensor", 0.95),
+    ("commons-clause", r"commons clause(?: licen[cs]e condition)?", "clause", 0.85),
+    ("polyform", r"polyform (?:noncommercial|small business|shield|perimeter|strict)(?: licen[cs]e)?", "polyform", 0.95),
+    ("prosperity", r"prosperity public licen[cs]e", "prosperity", 0.95),
+    ("parity", r"parity public licen[cs]e", "parity", 0.95),
+    ("ofl", r"this font software is licensed under the sil open font licen[cs]e", "font", 0.98),
+    ("ofl", r"reserved font names?", "font", 0.7),
+    ("ubuntu-font", r"ubuntu font licen[cs]e", "ubuntu", 0.95),
+    ("odc-by", r"open data commons attribution licen[cs]e", "commons", 0.95),
+    ("pddl", r"open data commons public domain dedication(?: and licen[cs]e)?", "commons", 0.95),
+    ("odbl", r"made available under the open database licen[cs]e", "database", 0.95),
+    ("cdla", r"community data licen[cs]e agreement (?:permissive|sharing)", "community", 0.95),
+    ("ogl", r"open government licen[cs]e", "government", 0.95),
+    ("etalab", r"licence ouverte", "ouverte", 0.9),
+    ("dl-de", r"datenlizenz deutschland", "datenlizenz", 0.95),
+    ("openrail", r"(?:creativeml |bigscience )?open ?rail(?: m| s| plus plus)?(?: licen[cs]e)?", "openrail rail", 0.9),
+    ("llama", r"llama \d(?: \d)? community licen[cs]e", "llama", 0.95),
+    ("cc", r"creativecommons org licen[cs]es", "creativecommons", 0.8),
+    ("cc0", r"creativecommons org publicdomain zero|the person who associated a work with this deed has dedicated the work to the public domain", "creativecommons deed", 0.95),
+    ("cc", r"this work is licensed under a creative commons", "creative", 0.8),
+    ("cc-by", r"you must give appropriate credit provide a link to the licen[cs]e and indicate if changes were made", "credit", 0.9),
+    ("cc-by-sa", r"if you remix transform or build upon the material you must distribute your contributions under the same licen[cs]e", "remix", 0.95),
+    ("cc-by-nc", r"you may not use the material for commercial purposes", "commercial", 0.85),
+    ("cc-by-nd", r"if you remix transform or build upon the material you may not distribute the modified material", "remix", 0.95),
+    ("cc-public-domain", r"public domain mark", "mark", 0.8),
+    ("public-domain", r"this (?:work|file|code|software|document) is in the public domain", "domain", 0.9),
+    ("public-domain", r"to the extent possible under law (?:.{0,80} )?waived all copyright", "waived", 0.95),
+    ("unlicense", r"anyone is free to copy modify publish use compile sell or distribute this software", "compile", 0.98),
+    ("free-use", r"free for (?:personal|private|non ?commercial|educational|academic)(?: and \w+)? use", "free", 0.6),
+    ("non-commercial", r"(?:for )?non ?commercial (?:use|purposes) only", "commercial noncommercial", 0.7),
+    ("academic", r"for (?:academic|research) (?:use|purposes) only", "academic research", 0.7),
+    ("evaluation", r"for evaluation (?:use|purposes) only", "evaluation", 0.7),
+    ("eula", r"end user licen[cs]e agreement", "agreement", 0.8),
+    ("eula", r"by (?:installing|downloading|using|accessing)(?: or \w+)? (?:this|the) (?:software|product|service) you agree", "agree", 0.7),
+    ("proprietary", r"(?:is|are|contains) (?:the )?(?:trade secrets?|confidential information)(?: and property)? of", "confidential secret secrets", 0.7),
+    ("proprietary", r"no part of this (?:publication|document|work|book|site|website) may be reproduced", "reproduced", 0.85),
+    ("proprietary", r"reproduction (?:in whole or in part )?without (?:written )?permission is prohibited", "prohibited", 0.85),
+    ("proprietary", r"do not (?:copy|distribute|redistribute)(?: or \w+)? without permission", "permission", 0.7),
+    ("proprietary", r"strictly (?:private|confidential)", "strictly", 0.5),
+    ("proprietary", r"licensed material property of", "property", 0.8),
+    ("proprietary", r"this software is the (?:confidential and )?proprietary (?:information|property) of", "proprietary", 0.9),
+    ("reserved", r"alle rechte vorbehalten", "vorbehalten", 0.7),
+    ("reserved", r"tous droits r.{1,3}serv.{1,3}s", "droits", 0.7),
+    ("reserved", r"todos los derechos reservados", "derechos", 0.7),
+    ("reserved", r"tutti i diritti riservati", "riservati", 0.7),
+    ("reserved", r"todos os direitos reservados", "direitos", 0.7),
+    ("no-warranty", r"in no event shall the (?:authors?|copyright holders?|regents|licensor)(?: or \w+)* be liable", "liable", 0.4),
+    ("no-warranty", r"this program is distributed in the hope that it will be useful but without any warranty", "hope", 0.6),
+    ("no-warranty", r"use at your own risk", "risk", 0.3),
+    ("patent", r"this software is (?:protected|covered) by (?:one or more )?(?:u s |us )?patents", "patents", 0.5),
+    ("dual", r"(?:dual|dually|multi) licensed under", "licensed", 0.7),
+    ("see-license", r"see (?:the )?(?:licen[cs]e|copying)(?: file| txt| md)(?: in the (?:project )?root)? for", "licence license copying", 0.5),
+    ("see-license", r"governed by a (?:bsd style|mit style) licen[cs]e that can be found in the licen[cs]e file", "governed", 0.8),
+    ("copyright", r"copyright (?:c )?(?:19|20)\d\d (?:19|20)\d\d", "copyright", 0.5),
+    ("copyright", r"copyright holders?", "copyright", 0.3),
+    ("copyright", r"this (?:work|text|article|image|photo|material) is (?:protected by|under) copyright", "copyright", 0.7),
 ]
 
+# Identifiers of a public license list, as they stand behind "SPDX-License-Identifier:" or before "license".
+_IDENTIFIERS = """
+0BSD AAL AFL-1.1 AFL-1.2 AFL-2.0 AFL-2.1 AFL-3.0 AGPL-1.0 AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later Apache-1.0 Apache-1.1 Apache-2.0
+APSL-1.0 APSL-2.0 Artistic-1.0 Artistic-2.0 BlueOak-1.0.0 BSD-1-Clause BSD-2-Clause BSD-2-Clause-Patent BSD-3-Clause BSD-3-Clause-Clear
+BSD-4-Clause BSL-1.0 BUSL-1.1 CAL-1.0 CC0-1.0 CC-BY-1.0 CC-BY-2.0 CC-BY-2.5 CC-BY-3.0 CC-BY-4.0 CC-BY-NC-2.0 CC-BY-NC-3.0 CC-BY-NC-4.0
+CC-BY-NC-ND-3.0 CC-BY-NC-ND-4.0 CC-BY-NC-SA-3.0 CC-BY-NC-SA-4.0 CC-BY-ND-3.0 CC-BY-ND-4.0 CC-BY-SA-2.0 CC-BY-SA-3.0 CC-BY-SA-4.0
+CDDL-1.0 CDDL-1.1 CECILL-2.0 CECILL-2.1 CECILL-B CECILL-C CPAL-1.0 CPL-1.0 curl ECL-2.0 EFL-2.0 Elastic-2.0 EPL-1.0 EPL-2.0 EUPL-1.1
+EUPL-1.2 FSFAP FTL GFDL-1.1 GFDL-1.2 GFDL-1.3 GPL-1.0 GPL-1.0-only GPL-1.0-or-later GPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0
+GPL-3.0-only GPL-3.0-or-later HPND ICU IJG ImageMagick Intel IPL-1.0 ISC JSON LGPL-2.0 LGPL-2.0-only LGPL-2.0-or-later LGPL-2.1
+LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later Libpng LPPL-1.2 LPPL-1.3c MirOS MIT MIT-0 MPL-1.0 MPL-1.1 MPL-2.0
+MS-PL MS-RL MulanPSL-2.0 NCSA NPL-1.1 NTP ODbL-1.0 ODC-By-1.0 OFL-1.0 OFL-1.1 OLDAP-2.8 OpenSSL OSL-1.0 OSL-2.0 OSL-2.1 OSL-3.0 PDDL-1.0
+PHP-3.0 PHP-3.01 PostgreSQL PSF-2.0 Python-2.0 QPL-1.0 Ruby Sleepycat SSPL-1.0 TCL Unicode-DFS-2016 Unlicense UPL-1.0 Vim W3C WTFPL X11
+Xnet Zend-2.0 Zlib ZPL-2.0 ZPL-2.1
+""".split()
+
 # Ways in which a notice brings up a license by name.
 _MENTIONS = [
     ("licen[cs]ed under (?:the )?(?:terms of )?(?:the )?", 0.95),
@@ -146,7 +300,7 @@ _MENTIONS = [
 
 @lru_cache(maxsize=1)
 def standard_rules() -> tuple[Rule, ...]:
-    """All rules, first priority first: named versions, then names, then sentences; a fuller mention before a shorter."""
+    """All rules, first priority first: identifiers, named versions, names, sentences; a fuller mention before a shorter."""
     rules: list[Rule] = []
     for label, name, keys, versions in _FAMILIES:
         words = tuple(keys.split())
@@ -157,7 +311,12 @@ def standard_rules() -> tuple[Rule, ...]:
                 rules.append(Rule(named, rf"{lead}(?:{name})(?: licen[cs]e)?(?: version| v)? ?v?{version}(?! \d)", words, 500 + fuller + 10 * len(version), min(1.0, confidence + 0.03)))
             rules.append(Rule(label, rf"{lead}(?:{name})", words, 300 + fuller, confidence))
     for at, (label, pattern, key, confidence) in enumerate(_SENTENCES):
-        rules.append(Rule(label, pattern, (key,), 200 - at, confidence))
+        rules.append(Rule(label, pattern, tuple(key.split()), 200 - at, confidence))
+    for name in _IDENTIFIERS:
+        words = re.sub("[^a-z0-9]+", " ", name.lower())
+        rules.append(Rule(name.lower(), rf"spdx licen[cs]e identifier {words}(?! (?:\d|only|or later|clause|by|nc|nd|sa))", ("spdx",), 800 + len(words), 1.0))
+        if any(c.isdigit() for c in words):  # a name with a version or number says enough before "license"
+            rules.append(Rule(name.lower(), rf"{words} licen[cs]e", (words.split()[0],), 700 + len(words), 0.9))
     return tuple(sorted(rules, key=lambda r: (-r.priority, r.label, r.pattern)))
 
 
@@ -281,4 +440,4 @@ def scan_licenses(df: DataFrame, *, text_col: str = "text", id_col: str = "doc_i
             columns = [batch.column(0), *[pa.array([r[f.name] for r in rows], f.type) for f in list(_ARROW)[1:]]]
             yield pa.RecordBatch.from_arrays(columns, schema=_ARROW)
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(over, _OUT)
+    return df.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).cast("string").alias("text")).mapInArrow(over, _OUT)

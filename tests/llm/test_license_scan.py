@@ -101,6 +101,21 @@ def test_joined_names_and_versions():
         assert Scanner().scan(text)["labels"] == label
 
 
+def test_identifiers():
+    scanner = Scanner()
+    for text, label in {
+        "SPDX-License-Identifier: MIT": "mit", "SPDX-License-Identifier: GPL-2.0-or-later": "gpl-2.0-or-later", "// SPDX-License-Identifier: BSD-3-Clause": "bsd-3-clause",
+        "the Apache-2.0 license": "apache-2.0", "under an EPL-2.0 License": "epl-2.0", "LGPLv2.1": "lgpl-2.1", "SPDX-License-Identifier: MIT-0": "mit-0", "SPDX-License-Identifier: 0BSD": "0bsd",
+        "used for Good, not Evil. The Software shall be used for Good, not Evil.": "json", "(Dual) licensed under nothing": "dual", "No part of this publication may be reproduced": "proprietary",
+    }.items():
+        assert scanner.scan(text)["labels"] == label, text
+
+
+def test_rules_are_ordered_and_apart():
+    rules = standard_rules()
+    assert len({(r.label, r.pattern) for r in rules}) == len(rules) and [r.priority for r in rules] == sorted((r.priority for r in rules), reverse=True)
+
+
 def test_suppression_against_brute_force():
     rng = random.Random(4)
     for _ in range(200):
