@@ -11,6 +11,7 @@ are tried in the same way, so that a pair whose members are even between the lab
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -39,7 +40,7 @@ BEGINNINGS = (3, 4, 5, 6, 7, 8)
 FACTORS = 8
 #: Terms of documents that a step of fitting handles at once.
 CHUNK_TERMS = 1 << 17
-_CACHE_WORDS = 200_000
+_CACHE_WORDS = 100_000
 _SEPARATORS = bytes(i for i in range(128) if not chr(i).isalpha())
 _SPACES = bytes.maketrans(_SEPARATORS, b" " * len(_SEPARATORS))
 
@@ -93,37 +94,64 @@ def fit_machine(buckets: np.ndarray, documents: list[np.ndarray], labels: np.nda
         return Machine(buckets, bias if n else -1.0, weights.astype(np.float32), (table * 0).astype(np.float32))
     sizes = np.array([len(d) for d in documents], np.int64)
     ends = np.cumsum(sizes)
-    flat = np.concatenate(documents).astype(np.int64) if ends[-1] else np.zeros(0, np.int64)
     # Parts of the documents with about CHUNK_TERMS terms each bound what a step holds.
     cuts = sorted({0, n, *np.searchsorted(ends, np.arange(CHUNK_TERMS, int(ends[-1]), CHUNK_TERMS)).tolist()})
-    parts = [(low, high, int(ends[low] - sizes[low]), int(ends[high - 1])) for low, high in zip(cuts, cuts[1:])]
-
-    state = [np.zeros(1), np.zeros(1), np.zeros(m), np.zeros(m), np.zeros((m, factors)), np.zeros((m, factors))]
+    parts = [_part(documents[low:high], labels[low:high]) for low, high in zip(cuts, cuts[1:])]
+    state = [np.zeros((m, factors + 1)), np.zeros((m, factors + 1))]
+    of_bias = np.zeros(2)
     for step in range(1, steps + 1):
-        slopes = [np.zeros(1), decay * weights / n, pair_decay * table / n]
-        for low, high, first, last in parts:
-            own, k = flat[first:last], high - low
-            owner = np.repeat(np.arange(k), sizes[low:high])
-            v = table[own]
-            total = np.stack([np.bincount(owner, v[:, f], k) for f in range(factors)], 1)
-            logit = bias + np.bincount(owner, weights[own] - 0.5 * (v * v).sum(1), k) + 0.5 * (total * total).sum(1)
-            error = (sigmoid(logit) - labels[low:high]) / n
-            slopes[0] += error.sum()
-            slopes[1] += np.bincount(own, error[owner], m)
-            for f in range(factors):
-                slopes[2][:, f] += np.bincount(own, error[owner] * (total[owner, f] - v[:, f]), m)
-        moved = []
-        for i, slope in enumerate(slopes):
-            state[2 * i] = 0.9 * state[2 * i] + 0.1 * slope
-            state[2 * i + 1] = 0.999 * state[2 * i + 1] + 0.001 * slope * slope
-            moved.append(rate * (state[2 * i] / (1 - 0.9**step)) / (np.sqrt(state[2 * i + 1] / (1 - 0.999**step)) + 1e-9))
-        bias, weights, table = bias - float(moved[0][0]), weights - moved[1], table - moved[2]
-    return Machine(buckets, bias, weights.astype(np.float32), table.astype(np.float32))
+        # Factors of each term, and what it adds to a logit by itself, side by side.
+        both = np.concatenate([table, (weights - 0.5 * (table * table).sum(1))[:, None]], 1).astype(np.float32)
+        slope = np.concatenate([pair_decay * table / n, (decay * weights / n)[:, None]], 1)
+        at_bias = 0.0
+        for part in parts:
+            sums = np.zeros((len(part.labels), factors + 1), np.float32)
+            sums[part.filled] = np.add.reduceat(both.take(part.terms, 0), part.starts, 0) if len(part.starts) else 0
+            logit = bias + sums[:, -1] + 0.5 * (sums[:, :-1] * sums[:, :-1]).sum(1)
+            error = (sigmoid(logit) - part.labels) / n
+            at_bias += error.sum()
+            sums[:, -1] = 1
+            sums *= error[:, None].astype(np.float32)
+            if len(part.own):
+                found = np.add.reduceat(sums.take(part.owners, 0), part.firsts, 0)
+                slope[part.own] += found
+                slope[part.own, :-1] -= table[part.own] * found[:, -1:]
+        state[0] = 0.9 * state[0] + 0.1 * slope
+        state[1] = 0.999 * state[1] + 0.001 * slope * slope
+        of_bias = np.array([0.9, 0.999]) * of_bias + np.array([0.1, 0.001]) * np.array([at_bias, at_bias**2])
+        fix1, fix2 = 1 - 0.9**step, 1 - 0.999**step
+        moved = rate * (state[0] / fix1) / (np.sqrt(state[1] / fix2) + 1e-9)
+        bias -= rate * (of_bias[0] / fix1) / (math.sqrt(of_bias[1] / fix2) + 1e-9)
+        table, weights = table - moved[:, :-1], weights - moved[:, -1]
+    return Machine(buckets, float(bias), weights.astype(np.float32), table.astype(np.float32))
+
+
+@dataclass(frozen=True)
+class _Part:
+    """Documents side by side: ``terms`` one after the other, where each document with terms (``filled``) begins; and the same
+    by term: ``own`` terms, where each begins in ``owners``."""
+
+    labels: np.ndarray
+    terms: np.ndarray
+    filled: np.ndarray
+    starts: np.ndarray
+    own: np.ndarray
+    owners: np.ndarray
+    firsts: np.ndarray
+
+
+def _part(documents: list[np.ndarray], labels: np.ndarray) -> _Part:
+    sizes = np.array([len(d) for d in documents], np.int64)
+    terms = np.concatenate(documents).astype(np.int64)
+    filled = np.flatnonzero(sizes)
+    order = np.argsort(terms, kind="stable")
+    own, firsts = np.unique(terms[order], return_index=True)
+    return _Part(labels, terms, filled, (np.cumsum(sizes) - sizes)[filled], own, np.repeat(np.arange(len(documents)), sizes)[order], firsts)
 
 
 def _document_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cache: dict[bytes, tuple[int, ...]] = {}
-    for batch in slices(batches):
+    for batch in slices(batches, max_bytes=2 << 20):
         out = []
         for text in batch.column(1):
             found: set[int] = set()
@@ -133,7 +161,7 @@ def _document_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                         cache.clear()
                     cache[word] = term_buckets(word)
                 found.update(cache[word])
-            out.append(sorted(found))
+            out.append(np.sort(np.fromiter(found, np.int32, len(found))))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], names=["y", "terms"])
 
 
@@ -236,7 +264,7 @@ def _scores(machine: Machine, at: int):
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[bytes, tuple[int, ...]] = {}
-        for batch in slices(batches):
+        for batch in slices(batches, max_bytes=2 << 20):
             out = []
             for text in batch.column(at):
                 found: set[int] = set()
