@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusforge.llm.common import slices
+from locusforge.llm.common import quoted, slices
 
 #: UTF-8 bytes encoded at once: bounds what the library holds.
 CHUNK_BYTES = 2 << 20
@@ -70,6 +70,18 @@ def tokenizer_json(ranks: dict[bytes, int], pattern: str) -> str:
     return made.to_str()
 
 
+def description(path: str, pattern: str) -> str:
+    """``tokenizer_json`` of a rank table's file; made once for each content."""
+    with open(path, "rb") as f:
+        digest = hashlib.sha256(f.read()).hexdigest()
+    return _described(path, pattern, digest)
+
+
+@lru_cache(maxsize=2)
+def _described(path: str, pattern: str, digest: str) -> str:
+    return tokenizer_json(read_ranks(path), pattern)
+
+
 @lru_cache(maxsize=2)
 def _loaded(description: str):
     import os
@@ -110,7 +122,7 @@ class ByteBpe:
 
     def __init__(self, spark, path: str, pattern: str):
         #: Fixed size: it follows the vocabulary, not the data.
-        self._shared = spark.sparkContext.broadcast(tokenizer_json(read_ranks(path), pattern))
+        self._shared = spark.sparkContext.broadcast(description(path, pattern))
 
     def encode(self, df: DataFrame, *, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
         """``id, ids, starts, ends``: token ids of each whole text, and the characters that each token covers.
@@ -122,7 +134,7 @@ class ByteBpe:
 
         def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tokenizer = _loaded(shared.value)
-            for batch in slices(batches):
+            for batch in slices(batches, max_bytes=2 << 20):
                 ids, starts, ends = [], [], []
                 for e in _encoded(_texts(batch.column(1)), tokenizer, True):
                     ids.append(e.ids)
@@ -143,7 +155,7 @@ class ByteBpe:
                 found = [decode(row.as_py() or [], table) for row in batch.column(1)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), pa.array([_utf8(b) for b in found], pa.string())], names=["id", "bytes", "text"])
 
-        return df.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(over, "id long, bytes binary, text string")
+        return df.select(F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(ids_col)).cast("array<int>").alias("ids")).mapInArrow(over, "id long, bytes binary, text string")
 
     def digest(self, df: DataFrame, *, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
         """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of each row's ids and of what they decode to.
@@ -154,7 +166,7 @@ class ByteBpe:
 
         def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tokenizer, table = _loaded(shared.value), _bytes_of(shared.value)
-            for batch in slices(batches):
+            for batch in slices(batches, max_bytes=2 << 20):
                 n, of_ids, of_bytes = [], [], []
                 for e in _encoded(_texts(batch.column(1)), tokenizer, False):
                     ids = e.ids
@@ -167,7 +179,7 @@ class ByteBpe:
 
 
 def _input(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    return df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return df.select(F.col(quoted(id_col)).cast("long").alias("id"), F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")).alias("text"))
 
 
 def _texts(column: pa.Array) -> list[str]:

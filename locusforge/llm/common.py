@@ -11,6 +11,7 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -96,6 +97,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` of a scan, dealt out by ``key`` if the files give fewer partitions than there are cores: files of one row group
+    would keep one core busy with work in Python. Larger tables stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, F.col(quoted(key))) if rows.rdd.getNumPartitions() < cores else rows
+
+
 @lru_cache(maxsize=1)
 def _trim():
     try:

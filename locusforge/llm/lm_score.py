@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locusforge.llm.attention import Adam, Attention, Tree, copy_of, log_probabilities, make_tree, new_attention
-from locusforge.llm.byte_bpe import _bytes_of, _loaded, read_ranks, tokenizer_json
+from locusforge.llm.byte_bpe import _bytes_of, _loaded, description
 from locusforge.llm.common import keep_memory, quoted, slices, stash
 
 #: Words sent to all executors at most; none has more than ``KEY_BYTES`` and a digest's few.
@@ -484,9 +484,9 @@ def score(df: DataFrame, held_out: Column, *, tokenizer_path: str, pattern: str,
     tokens, distinct = (int(x) for x in counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first())
     table = frequent_words(counts, frequent)
     base = Base(b"\n".join(w.encode() for w in table.column("word").to_pylist()), table.column("c").to_numpy(), tokens, distinct)
-    description = tokenizer_json(read_ranks(tokenizer_path), pattern)
-    size = _loaded(description).get_vocab_size()
-    spelling = spark.sparkContext.broadcast((uuid.uuid4().hex, description, base))
+    described = description(tokenizer_path, pattern)
+    size = _loaded(described).get_vocab_size()
+    spelling = spark.sparkContext.broadcast((uuid.uuid4().hex, described, base))
     kind = "row long, id long, held_out boolean, n_tokens long, known long, base double, ids binary, rare array<string>"
     spelled = stash(rows.mapInArrow(_spell_rows(spelling), kind), "lm-rows")
     spelling.destroy()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from locusforge.llm import chroma, lm_score, toxicity
 from locusforge.llm.byte_bpe import ByteBpe
-from locusforge.llm.common import fresh_path, table
+from locusforge.llm.common import fresh_path, spread, table
 from locusforge.llm.exact_dedup import exact_duplicates
 from locusforge.llm.html_text import extract_text
 from locusforge.llm.license_scan import scan_licenses
@@ -18,6 +18,7 @@ from locusforge.llm.simhash import near_duplicates
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null text counts as empty; rows that repeat share a group; an empty table gives no rows."""
     return exact_duplicates(table(spark, sf_dir, "documents"), keep="max")
 
 
@@ -27,7 +28,8 @@ def _remainder(modulus: int = 5):
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    """Null and empty texts get the score of a document without terms; a row without identifier is not held out."""
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     machine = toxicity.fit(documents, table(spark, sf_dir, "labels").where(_remainder() != 0))
     scored = toxicity.score(documents, machine, score_col="score")
     return scored.select("doc_id", (F.coalesce(_remainder(), F.lit(1)) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -45,22 +47,26 @@ def op3_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null text counts as empty: no ids, and the digests of nothing; rows that repeat are encoded each."""
     bpe = ByteBpe(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    return bpe.digest(table(spark, sf_dir, "documents"))
+    return bpe.digest(spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"))
 
 
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract_text(table(spark, sf_dir, "pages"))
+    """Null and empty pages have the empty text; rows that repeat are read each."""
+    return extract_text(spread(table(spark, sf_dir, "pages").select("page_id", "url", "html"), "page_id"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null text has size 0, a null source is one of its own and the last; rows that repeat share their fate."""
     found = mixture(table(spark, sf_dir, "documents"), weights=(1, 2, 3), most=3.0)
     return found.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null text counts as empty: one token, the end; a row without identifier trains."""
     held_out = _remainder() == 1
-    return lm_score.score(table(spark, sf_dir, "documents"), held_out, tokenizer_path=public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), pattern=public_tokenizers.PATTERN)
+    return lm_score.score(spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"), held_out, tokenizer_path=public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), pattern=public_tokenizers.PATTERN)
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,11 +76,13 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(table(spark, sf_dir, "documents")).drop("detections")
+    """Null text has no words, no places and empty labels; rows that repeat are scanned each."""
+    return scan_licenses(spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")).drop("detections")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_duplicates(table(spark, sf_dir, "documents"), words=4, seed=42, distance=4)
+    """Null text and text without words share fingerprint zero; rows that repeat an identifier keep a row each."""
+    found = near_duplicates(spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"), words=4, seed=42, distance=4)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 

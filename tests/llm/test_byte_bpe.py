@@ -69,3 +69,9 @@ def test_digests(spark, bpe, reference):
 
 def test_alphabet_is_one_to_one():
     assert len(set(byte_alphabet())) == 256
+
+
+def test_dotted_names(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, None)], "`d.id` long, `te.xt` string")
+    got = {r.doc_id: r.n_tokens for r in ByteBpe(spark, PATH, P.PATTERN).digest(df, text_col="te.xt", id_col="d.id").collect()}
+    assert got == {1: 2, 2: 0}
