@@ -19,9 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusforge.llm.common import cut, slices
+from locusforge.llm.common import cut, quoted, slices
 
 FILTERS = 16
+#: Integers of the recordings sought for at once, which every task holds (4 bytes each and 12 in its index).
+BLOCK_PRINTS = 1 << 21
 
 
 @dataclass(frozen=True)
@@ -130,7 +132,7 @@ def fingerprints(df: DataFrame, *, media_col: str = "audio", id_col: str = "medi
             found = [fingerprint(read(v.as_py(), settings), settings).view(np.int32) for v in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["media_id", "prints"])
 
-    return df.select(F.col(id_col).cast("long").alias("media_id"), F.col(media_col).alias("media")).mapInArrow(over, "media_id long, prints array<int>")
+    return df.select(F.col(quoted(id_col)).cast("long").alias("media_id"), F.col(quoted(media_col)).alias("media")).mapInArrow(over, "media_id long, prints array<int>")
 
 
 # ---------------------------------------------------------------- alignment
@@ -198,7 +200,7 @@ def _flat(prints: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return np.concatenate(prints or [np.zeros(0, np.uint32)]), np.cumsum(size) - size, size
 
 
-def _search(shared, offsets: int, least_votes: int, most_error: float, least_overlap: int):
+def _search(shared, least_votes: int, most_error: float, least_overlap: int):
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _Index(*shared.value)
         count = len(index.ids)
@@ -209,13 +211,13 @@ def _search(shared, offsets: int, least_votes: int, most_error: float, least_ove
             r, q, d = np.concatenate(found, axis=1)
             span = int(np.abs(d).max(initial=0)) + 1
             cell, votes = np.unique((r * count + q) * (2 * span) + d + span, return_counts=True)
-            cell, votes = cell[votes >= least_votes], votes[votes >= least_votes]
+            cell = cell[votes >= least_votes]
             pair, d = cell // (2 * span), cell % (2 * span) - span
-            order = np.lexsort((np.abs(d), -votes, pair))
-            pair, d = pair[order], d[order]
-            rank = np.arange(len(pair)) - np.maximum.accumulate(np.where(np.concatenate([[True], pair[1:] != pair[:-1]]), np.arange(len(pair)), 0)) if len(pair) else pair
+            # Where the two overlap too little nothing is compared.
+            sizes, of_index = np.array([len(p) for p in prints], np.int64), np.array([len(p) for p in index.prints], np.int64)
+            enough = np.minimum(sizes[pair // count] - np.maximum(0, d), of_index[pair % count] - np.maximum(0, -d)) >= least_overlap
+            pair, d = pair[enough], d[enough]
             best: dict[int, tuple] = {}
-            pair, d = pair[rank < offsets], d[rank < offsets]
             errors, overlaps = bit_errors(prints, index.prints, pair // count, pair % count, d)
             near = (errors <= most_error) & (overlaps >= least_overlap)
             for p, offset, error, n in zip(pair[near].tolist(), d[near].tolist(), errors[near].tolist(), overlaps[near].tolist()):
@@ -227,39 +229,51 @@ def _search(shared, offsets: int, least_votes: int, most_error: float, least_ove
     return over
 
 
-def align(prints: DataFrame, queries, *, block: int = 1024, offsets: int = 3, least_votes: int = 2, most_error: float = 0.2, least_overlap: int = 16) -> DataFrame:
+def align(prints: DataFrame, queries, *, block: int = 1024, least_votes: int = 2, most_error: float = 0.2, least_overlap: int = 16) -> DataFrame:
     """One row for each recording of ``prints(media_id, prints)`` with what its sound is also found in.
 
     Returns ``media_id, class_id, n_prints, is_query, n_links, links``. Recordings with the same prints are a class, named
     by its smallest identifier (recordings without prints: each its own, and never linked). ``queries``, a condition on
-    ``media_id``, picks the searches. They are taken in blocks of ``block`` classes, which every task holds while it reads
-    all others: places with an equal half of their integer vote for an offset, and the ``offsets`` with most votes (at
-    least ``least_votes``) are tried. A query's ``links`` are the classes whose prints differ in at most ``most_error`` of
+    ``media_id``, picks the searches. They are taken in blocks of up to ``block`` classes and ``BLOCK_PRINTS`` integers (more
+    only for a single recording), which every task holds while it reads all others: places with an equal half of their
+    integer vote for an offset, and every offset with ``least_votes`` is tried. A query's ``links`` are the classes whose prints differ in at most ``most_error`` of
     the bits over ``least_overlap`` places or more, each with offset, overlap and error. Rows that repeat an identifier
     each get a row.
     """
     spark = prints.sparkSession
-    rows = cut(prints.select("media_id", "prints", F.coalesce(queries, F.lit(False)).alias("is_query")))
+    keys = [F.xxhash64(F.lit(seed), "prints").alias(f"key{seed}") for seed in (1, 2)]
+    rows = cut(prints.select("media_id", "prints", F.coalesce(queries, F.lit(False)).alias("is_query"), *keys))
+    own = ["key1", "key2"]
     some = rows.where(F.size("prints") > 0)
-    classes = cut(some.groupBy("prints").agg(F.min("media_id").alias("class_id"), F.max("is_query").alias("asked")).where("class_id is not null"))
+    classes = cut(some.groupBy(own).agg(F.min("media_id").alias("class_id"), F.max("is_query").alias("asked"), F.count(F.lit(1)).alias("n"), F.first("prints").alias("prints")).where("class_id is not null"))
     kind = "q long, class_id long, offset int, overlap int, error double"
     found = spark.createDataFrame([], kind)
     last = None
     while True:
-        asked = classes.where("asked" if last is None else F.col("asked") & (F.col("class_id") > last)).orderBy("class_id").limit(block).select("class_id", "prints").collect()
-        if not asked:
+        left = classes.where("asked" if last is None else F.col("asked") & (F.col("class_id") > last))
+        sizes = left.orderBy("class_id").limit(block).select("class_id", F.size("prints").alias("n")).collect()
+        if not sizes:
             break
-        last = asked[-1].class_id
+        held = np.cumsum([r.n for r in sizes])
+        taken = max(1, int(np.searchsorted(held, BLOCK_PRINTS, "right")))
+        last = sizes[taken - 1].class_id
+        asked = left.where(F.col("class_id") <= last).select("class_id", "prints").collect()
         shared = spark.sparkContext.broadcast(([r.class_id for r in asked], [np.array(r.prints, np.int32).view(np.uint32) for r in asked]))
-        found = found.union(classes.select("class_id", "prints").mapInArrow(_search(shared, offsets, least_votes, most_error, least_overlap), kind))
-        if len(asked) < block:
+        found = found.union(classes.select("class_id", "prints").mapInArrow(_search(shared, least_votes, most_error, least_overlap), kind))
+        if taken == len(sizes) < block:
             break
     links = found.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("class_id", "offset", "overlap", "error"))).alias("links"))
-    named = classes.join(links, classes["class_id"] == links["q"], "left").select(F.col("prints").alias("of_class"), "class_id", "links")
+    # A class with a thousandth of all rows would fill a task; at most a thousand can have that many, of 24 bytes each.
+    common = max(2, (classes.agg(F.sum("n")).first()[0] or 0) // 1000)
+    frequent = F.broadcast(classes.where(F.col("n") > common).select(*own, "class_id"))
+    others = classes.where(F.col("n") <= common).select(*own, "class_id")
+    by_all = rows.join(frequent.withColumnRenamed("class_id", "of_frequent"), own, "left")
+    rare = by_all.where(F.col("of_frequent").isNull()).drop("of_frequent").join(others, own, "left")
+    back = by_all.where(F.col("of_frequent").isNotNull()).withColumnRenamed("of_frequent", "class_id").unionByName(rare)
     none = F.array().cast("array<struct<class_id:bigint,offset:int,overlap:int,error:double>>")
-    back = rows.join(named, rows["prints"] == named["of_class"], "left")
-    listed = F.when(F.col("is_query") & F.col("links").isNotNull(), F.col("links")).otherwise(none)
-    return back.select("media_id", F.coalesce("class_id", "media_id").alias("class_id"), F.size("prints").cast("long").alias("n_prints"), "is_query", F.size(listed).cast("long").alias("n_links"), listed.alias("links"))
+    plain = back.where(~F.col("is_query")).withColumn("links", none)
+    listed = back.where("is_query").join(links, F.col("class_id") == F.col("q"), "left").drop("q").withColumn("links", F.coalesce("links", none))
+    return plain.unionByName(listed).select("media_id", F.coalesce("class_id", "media_id").alias("class_id"), F.size("prints").cast("long").alias("n_prints"), "is_query", F.size("links").cast("long").alias("n_links"), "links")
 
 
 # ---------------------------------------------------------------- recordings made from number series
