@@ -4,7 +4,7 @@ import wave
 import numpy as np
 from pyspark.sql import functions as F
 
-from locusforge.llm import chroma
+
 from locusforge.llm.chroma import Settings, align, bit_error, bit_errors, chroma, filter_bank, fingerprint, fingerprints, read_wav, tone_series
 from locusforge.llm.registry import TONES
 
@@ -102,7 +102,7 @@ def test_blocks_change_nothing(spark, monkeypatch):
     ask = lambda **o: sorted(map(str, align(table, F.col("media_id") % 3 == 0, most_error=0.25, least_overlap=48, **o).collect()))
     want = ask()
     assert sum("class_id=" in r for r in want) == 70 and ask(block=4) == want
-    monkeypatch.setattr(chroma, "BLOCK_PRINTS", 300)
+    monkeypatch.setattr("locusforge.llm.chroma.BLOCK_PRINTS", 300)
     assert ask() == want
 
 
