@@ -118,16 +118,6 @@ def give_back() -> None:
     _trim()(0)
 
 
-def keep_memory() -> None:
-    """Let this worker use freed memory again instead of asking the system each time; ``give_back`` still returns it."""
-    try:
-        mallopt = ctypes.CDLL("libc.so.6").mallopt
-    except (OSError, AttributeError):  # another C library
-        return
-    mallopt(-3, 32 << 20)  # M_MMAP_THRESHOLD, at its greatest
-    mallopt(-1, 512 << 20)  # M_TRIM_THRESHOLD
-
-
 def slices(batches: Iterator, max_bytes: int = 8 << 20, max_rows: int = 4096) -> Iterator:
     """Arrow batches cut into pieces of bounded size, so that a worker's memory does not follow the batch size."""
     try:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from locusforge.llm.attention import Adam, Attention, Tree, copy_of, log_probabilities, make_tree, new_attention
 from locusforge.llm.byte_bpe import _bytes_of, _loaded, description
-from locusforge.llm.common import keep_memory, quoted, slices, stash
+from locusforge.llm.common import quoted, slices, stash
 
 #: Words sent to all executors at most; none has more than ``KEY_BYTES`` and a digest's few.
 FREQUENT_WORDS = 1 << 18
@@ -40,8 +40,8 @@ FIRST_WINDOWS = 12_000
 FIRST_BATCH, BATCH_WINDOWS = 64, 512
 #: Step length of the partitions' fits.
 RATE = 3e-3
-_PASSING_WORDS = 250_000
-_COUNTED_WORDS = 300_000
+_PASSING_WORDS = 100_000
+_COUNTED_WORDS = 200_000
 _BLOCK = 4096
 END = b""
 
@@ -66,7 +66,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts.clear()
         return out
 
-    for batch in slices(batches):
+    for batch in slices(batches, max_bytes=2 << 20):
         for text in batch.column(0):
             counts.update(split_words(text.as_py() or ""))
         counts[END] += batch.num_rows
@@ -217,7 +217,7 @@ def _spell_rows(shared):
         speller = Speller.shared(name, lambda: Speller(description, base.scores()))
         row = TaskContext.get().partitionId() << 40
         of_end = speller.base.get(END)
-        for batch in slices(batches, max_bytes=4 << 20, max_rows=1024):
+        for batch in slices(batches, max_bytes=2 << 20, max_rows=1024):
             split = [split_words(text or "") for text in batch.column(2).to_pylist()]
             sizes = np.array([len(words) for words in split], np.int64)
             words = list(chain.from_iterable(split))
@@ -393,7 +393,6 @@ def _partition_fit(shared, kind, rate: float):
         from pyspark import TaskContext
 
         Speller.forget()
-        keep_memory()
         ranks, start = shared.value
         adam, seen = Adam(copy_of(start), ranks.tree, rate), 0
         for batch in slices(batches, max_bytes=2 << 20):
@@ -463,7 +462,6 @@ def fit(spelled: DataFrame, size: int, *, first_windows: int = FIRST_WINDOWS, pa
 def _score_rows(shared, kind):
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         Speller.forget()
-        keep_memory()
         ranks, model = shared.value
         for batch in slices(batches, max_bytes=2 << 20):
             scores = score_sequences(model, ranks, *_sequences(batch.column(batch.num_columns - 1), kind))
