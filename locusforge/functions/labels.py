@@ -29,11 +29,23 @@ def length_ranks(labels: list[str]) -> dict[str, int]:
     return {label: i + 1 for i, label in enumerate(sorted({str(x) for x in labels}, key=lambda x: (len(x), x)))}
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once, so that numbers that rest on its partitions stay: in the checkpoint folder that executors share,
+    or in the cache where none is set (one machine)."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            return df.persist()
+        context.setCheckpointDir(folder)
+    return df.checkpoint(eager=True)
+
+
 def positional_index(df: DataFrame, order: list, name: str) -> DataFrame:
     """``df`` with consecutive numbers from 0 in the given order, through one range shuffle and counts per partition."""
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
     tagged = ranged.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id())
-    tagged = tagged.persist()
+    tagged = settled(tagged)
     counts = {r["_part"]: r["n"] for r in tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
     first, at = {}, 0
     for part in sorted(counts):

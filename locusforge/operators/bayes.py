@@ -105,9 +105,11 @@ def ascend(z: np.ndarray, y: np.ndarray, pi: float, slab: float, spike: float, c
     for epoch in range(c.max_epochs):
         active = np.arange(m)
         if epoch >= c.screen_after and (epoch - c.screen_after) % c.full_sweep_every:
-            active = np.flatnonzero(s.phi >= c.screen_phi)
-            if len(active) > c.screen_top:
-                active = np.sort(active[np.argsort(-s.phi[active], kind="stable")[: c.screen_top]])
+            # All above the threshold, and the likeliest few besides; all markers where that is none.
+            held = s.phi >= c.screen_phi
+            if c.screen_top > 0:
+                held[np.argsort(-s.phi, kind="stable")[: c.screen_top]] = True
+            active = np.flatnonzero(held) if held.any() else active
         s1, s0 = 1.0 / (d / s.noise + 1.0 / slab), 1.0 / (d / s.noise + 1.0 / spike)
         shift = odds + 0.5 * (np.log(s1 / slab) - np.log(s0 / spike))
         r = s.residual

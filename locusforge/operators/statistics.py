@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from locusforge.functions.tails import CHI2_MEDIAN, normal_critical
 
-#: Prefix sums over more rows than this run over ranges of p, else in one window.
-WINDOW_ROWS = 1_000_000
 
 
 def usable(p: Column) -> Column:
@@ -27,16 +25,10 @@ def bonferroni(results: DataFrame, p: str = "p", alpha: float = 0.05) -> DataFra
 def benjamini_hochberg(results: DataFrame, p: str = "p", alpha: float = 0.05, tie: str = "marker_idx") -> DataFrame:
     """Adds ``p_fdr`` and ``reject``: p times n over rank, with a running minimum from the largest p.
 
-    Up to a million rows this is a window over all; beyond, rows are range-partitioned by p, ranks come from the
-    partitions' counts, and each partition's minimum is carried to the ones before it, so no task holds all rows.
+    Rows are range-partitioned by p, ranks come from the partitions' counts, and each partition's minimum is carried to the
+    ones before it, so no task holds all rows.
     """
-    total = results.count()
-    if total <= WINDOW_ROWS:
-        ranked = results.withColumn("_rank", F.row_number().over(Window.orderBy(p, tie)))
-        adjusted = F.min(F.col(p) * total / F.col("_rank")).over(Window.orderBy(F.desc("_rank")).rowsBetween(Window.unboundedPreceding, 0))
-        out = ranked.withColumn("p_fdr", F.least(adjusted, F.lit(1.0)))
-        return out.withColumn("reject", F.col("p_fdr") <= alpha).drop("_rank")
-    return fdr_by_ranges(results, p, alpha, tie, total)
+    return fdr_by_ranges(results, p, alpha, tie, results.count())
 
 
 def fdr_by_ranges(results: DataFrame, p: str, alpha: float, tie: str, total: int) -> DataFrame:
@@ -48,7 +40,7 @@ def fdr_by_ranges(results: DataFrame, p: str, alpha: float, tie: str, total: int
     after, low = {}, 1.0
     for bucket in sorted(least, reverse=True):  # one number for each partition
         after[bucket], low = low, min(low, least[bucket])
-    later = F.create_map(*[F.lit(x) for kv in after.items() for x in kv])[F.col("_bucket")]
+    later = F.create_map(*[F.lit(x) for kv in after.items() for x in kv])[F.col("_bucket")] if after else F.lit(1.0)
     own = F.min("_raw").over(Window.partitionBy("_bucket").orderBy(F.desc("_rank")).rowsBetween(Window.unboundedPreceding, 0))
     out = ranked.withColumn("p_fdr", F.least(own, later, F.lit(1.0)))
     return out.withColumn("reject", F.col("p_fdr") <= alpha).drop("_rank", "_raw", "_bucket")
@@ -70,14 +62,11 @@ def inflation_of_statistics(results: DataFrame, statistic: str) -> float:
 
 def qq_points(results: DataFrame, p: str = "p", tie: str = "marker_idx") -> DataFrame:
     """``rank, expected, observed``: sorted usable p against rank / (n + 1)."""
+    from locusforge.functions.labels import positional_index
+
     ok = results.where(usable(F.col(p)))
     total = ok.count()
-    if total > WINDOW_ROWS:
-        from locusforge.functions.labels import positional_index
-
-        ranked = positional_index(ok, [p, tie], "_at").select((F.col("_at") + 1).alias("rank"), F.col(p).alias("observed"))
-    else:
-        ranked = ok.select(F.row_number().over(Window.orderBy(p, tie)).cast("long").alias("rank"), F.col(p).alias("observed"))
+    ranked = positional_index(ok, [p, tie], "_at").select((F.col("_at") + 1).alias("rank"), F.col(p).alias("observed"))
     return ranked.select("rank", (F.col("rank") / (total + 1)).alias("expected"), "observed")
 
 

@@ -19,7 +19,7 @@ from locusforge.functions.labels import length_rank, natural_key_column
 from locusforge.functions.tails import CHI2_MEDIAN, erfc_sql, normal_p
 from locusforge.model import Genotypes
 from locusforge.operators import bayes, glm, mlm, multilocus, plotdata, quality, statistics, structure
-from locusforge.operators.effective import linkage_blocks
+from locusforge.operators.effective import correlations, linkage_blocks
 from locusforge.sources.longform import from_long
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -452,10 +452,69 @@ def blink(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def bayes_loco(spark: SparkSession, sf_dir: str) -> DataFrame:
     """On the small panel of nations, whose trait is their customers' mean balance."""
+    geno, y = nation_panel(spark, sf_dir)
+    return bayes.bayes_loco(geno, y)[0]
+
+
+#: The linear model on the panel of nations. Where no relationship is left, and before any marker is chosen, the mixed and the
+#: multi-locus models come down to it.
+_NATION_FIT = f"""WITH {_NATIONS}, t AS (SELECT n_nationkey AS s, coalesce((SELECT avg(c_acctbal) FROM customer WHERE c_nationkey = n_nationkey), 0) AS y FROM nation),
+  tot AS (SELECT count(*) AS n, sum(y) AS sy, sum(y * y) AS syy FROM t),
+  sums AS (SELECT m, sum(d) AS g, sum(d * d) AS gg, sum(d * y) AS gy FROM full_ JOIN t USING (s) GROUP BY m),
+  fit AS (SELECT m, n, gg - g * g * 1.0 / n AS lv, gy - g * sy / n AS cv, syy - sy * sy / n AS yv FROM sums, tot),
+  est AS (SELECT m, n, lv, cv / lv AS effect, yv, sqrt((yv - cv * cv / lv) / (n - 2) / lv) AS se FROM fit WHERE lv > 1e-9)"""
+
+
+def nation_panel(spark: SparkSession, sf_dir: str) -> tuple[Genotypes, np.ndarray]:
     geno = nation_genotypes(spark, sf_dir)
     mean = {x.c_nationkey: x.y for x in table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.avg("c_acctbal").alias("y")).collect()}
-    y = np.array([mean.get(int(s), 0.0) for s in geno.samples])
-    return bayes.bayes_loco(geno, y)[0]
+    return geno, np.array([mean.get(int(s), 0.0) for s in geno.samples])
+
+
+def by_marker(geno: Genotypes, found: DataFrame, *columns: Column) -> DataFrame:
+    """Of markers that vary: the marker's name and columns of its result."""
+    kept = found.where(F.col("se").isNotNull() & ~F.isnan("se") & (F.col("se") > 0))
+    return kept.join(geno.markers.select("marker_idx", F.col("marker").cast("string").alias("m")), "marker_idx").select("m", *columns)
+
+
+@query(f"{_NATION_FIT} SELECT CAST(m AS VARCHAR) AS m, round(effect, 3) AS effect, round(sqrt(yv / (n - 1) / lv), 3) AS se, round(abs(effect) / sqrt(yv / (n - 1) / lv), 5) AS t FROM est")
+def mlm_unrelated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixed model with samples that are not related: the variance is that of the trait, whatever its parts."""
+    geno, y = nation_panel(spark, sf_dir)
+    found = mlm.scan_global(geno, y, np.eye(geno.n))
+    return by_marker(geno, found, *[r(F.col(c), k).alias(c) for c, k in (("effect", 3), ("se", 3), ("t", 5))])
+
+
+_FIRST_SCAN = f"{_NATION_FIT} SELECT CAST(m AS VARCHAR) AS m, round(effect, 3) AS effect, round(se, 3) AS se, round(abs(effect / se), 5) AS t FROM est"
+
+
+@query(_FIRST_SCAN)
+def farmcpu_first_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FarmCPU where no marker reaches its first threshold."""
+    geno, y = nation_panel(spark, sf_dir)
+    found = multilocus.farmcpu(geno, y, p_threshold=1e-300).results
+    return by_marker(geno, found, r(F.col("effect"), 3).alias("effect"), r(F.col("se"), 3).alias("se"), r(F.abs(F.col("effect") / F.col("se")), 5).alias("t"))
+
+
+@query(_FIRST_SCAN)
+def blink_first_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BLINK where no marker reaches its first threshold."""
+    geno, y = nation_panel(spark, sf_dir)
+    found = multilocus.blink(geno, y, p_threshold=1e-300).results
+    return by_marker(geno, found, r(F.col("effect"), 3).alias("effect"), r(F.col("se"), 3).alias("se"), r(F.abs(F.col("effect") / F.col("se")), 5).alias("t"))
+
+
+@query(f"""WITH {_NATIONS}, v AS (SELECT m, chrom, s, z, sum(z * z) OVER (PARTITION BY m) AS zz FROM z)
+  SELECT CAST(x.m AS VARCHAR) AS a, CAST(y.m AS VARCHAR) AS b, round(sum(x.z * y.z) / sqrt(any_value(x.zz) * any_value(y.zz)), 6) + 0.0 AS correlation
+  FROM v x JOIN v y ON x.s = y.s AND x.chrom = y.chrom AND x.m < y.m WHERE x.zz > 1e-9 AND y.zz > 1e-9 AND x.chrom = '0' AND y.chrom = '0' GROUP BY x.m, y.m""")
+def pair_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Correlations of the markers of one chromosome, as the effective number of tests reads them."""
+    geno, _ = nation_panel(spark, sf_dir)
+    own = geno.markers.where("chrom = '0'").select("marker_idx", "marker").toPandas().astype({"marker": int}).sort_values("marker")
+    g = geno.columns(own.marker_idx.tolist()).T.astype(float)
+    varies = g.var(1) > 0
+    c, names = correlations(g[varies]), own.marker.astype(str).to_numpy()[varies]
+    return spark.createDataFrame([(names[i], names[j], float(round(c[i, j], 6)) + 0.0) for i in range(len(names)) for j in range(i + 1, len(names))], "a string, b string, correlation double")
 
 
 @query("""WITH h AS (SELECT l_partkey AS marker_idx, l_linenumber AS iteration, l_discount + l_orderkey / 1e9 AS p, l_tax AS effect, l_quantity AS se FROM lineitem)
@@ -478,13 +537,27 @@ def effective_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkage_blocks(geno)
 
 
-@query()
+@query(f"""{INDEXED}, ok AS (SELECT log10(p) AS l FROM idx WHERE p > 0 AND p <= 1), edge AS (SELECT count(*) AS n, least(min(l), -1e-12) AS low,
+    CAST(least(2000, greatest(50, floor(sqrt(count(*))))) AS INTEGER) AS bins FROM ok),
+  binned AS (SELECT CAST(least(floor((l - low) / -low * bins), bins - 1) AS INTEGER) AS bin, count(*) AS n FROM ok, edge GROUP BY 1)
+  SELECT bin, CAST(round(low + (bin + 0.5) * (-low) / bins, 5) AS DOUBLE) AS l, CAST(round((sum(b.n) OVER (ORDER BY bin) - b.n / 2.0) / (edge.n + 1), 6) AS DOUBLE) AS expected, b.n AS n FROM binned b, edge""")
 def qq_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return statistics.qq_histogram(indexed(spark, sf_dir))
+    found = statistics.qq_histogram(indexed(spark, sf_dir))
+    return found.select("bin", r(F.col("l"), 5).alias("l"), r(F.col("expected")).alias("expected"), "n")
 
 
-@query()
+@query(f"""{INDEXED}, per AS (SELECT chrom, min(pos) AS first, max(pos) AS last FROM idx GROUP BY 1),
+  laid AS (SELECT *, row_number() OVER (ORDER BY CAST(chrom AS INTEGER)) AS code, last - first + 1 + (SELECT sum(last - first + 1) FROM per) * 0.01 AS own FROM per),
+  placed AS (SELECT *, coalesce(sum(own) OVER (ORDER BY code ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM laid)
+  SELECT marker_idx, chrom, CAST(code AS INTEGER) AS code, CAST(round(pos - first + start, 2) AS DOUBLE) AS x, round(-log10(p), 4) AS y FROM idx JOIN placed USING (chrom) WHERE p > 0 AND p <= 1""")
 def manhattan_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = indexed(spark, sf_dir)
+    points = plotdata.manhattan_points(found.select("marker_idx", "p"), found.select("marker_idx", "chrom", "pos"))
+    return points.select("marker_idx", "chrom", F.col("code").cast("int").alias("code"), r(F.col("x"), 2).alias("x"), r(F.col("y"), 4).alias("y"))
+
+
+@query()
+def manhattan_decimated(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = indexed(spark, sf_dir)
     return plotdata.decimate(plotdata.manhattan_points(found.select("marker_idx", "p"), found.select("marker_idx", "chrom", "pos")))
 

@@ -222,6 +222,10 @@ def test_choices_by_linkage_and_criterion():
     for method in ("naive", "even", "lg", "ln", "fixed"):
         grid = multilocus.bic_grid(50, 100, method)
         assert grid == sorted(set(grid)) and grid[-1] <= int(100 / np.log(100))
+    big = 10**6  # so many samples that the candidates alone bound the grid
+    assert multilocus.bic_grid(10, big, "even") == [3, 6, 9, 10] and multilocus.bic_grid(1, big, "even") == [1] and multilocus.bic_grid(2, big, "even") == [1, 2]
+    assert multilocus.bic_grid(50, big, "lg") == [1, 8, 14, 20, 27, 34, 42, 50] and multilocus.bic_grid(30, big, "ln") == [1, 4, 6, 8, 11, 14, 17, 20, 24, 28, 30]
+    assert multilocus.bic_grid(100, big, "fixed") == [int(np.floor(1 + 99 * k / 19 + 1e-9)) for k in range(20)] and multilocus.bic_grid(20, big, "fixed") == list(range(1, 21))
     h = [(0.2, 1.0, 0.1), (0.1, 2.0, 0.2), (0.6, 3.0, 0.3)]
     assert multilocus.substitute(h, "reward")[0] == 0.1 and multilocus.substitute(h, "penalty")[0] == 0.6
     assert np.isclose(multilocus.substitute(h, "mean")[0], 0.3) and multilocus.substitute(h, "median")[1] == 2.0 and multilocus.substitute(h, "onsite") == h[-1]
