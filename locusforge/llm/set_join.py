@@ -3,9 +3,9 @@
 A text's set of words has a SimHash of 256 bits: words move far less than shingles of five when a few of them change. It is
 cut into eight segments of 32 bits, and each is indexed once for every bit of it that may be wild. Fingerprints within
 fifteen bits always have a segment that differs by at most one bit; the others meet with a probability that is measured
-(tests, README). A small bucket emits its pairs; members of a crowded one are chained. What these candidates connect is
-compared whole where it is small; else pairs are verified one by one and the sets that chains connect are compared in blocks.
-Only links that were verified are thinned to a spanning forest, so no failed link stands for another.
+(tests, README). A small bucket emits its pairs, a crowded one a star. What these candidates connect is compared whole where
+it is small; else pairs are verified one by one, and the sets that stars connect are compared in blocks, each with a few of
+all: what is then still apart from the largest part is compared with everything. Only links that were verified are thinned to a spanning forest, so no failed link stands for another.
 """
 
 from __future__ import annotations
@@ -27,9 +27,11 @@ SEGMENTS, SEGMENT_BITS = 2 * WIDE, 32
 #: Beside its segment an entry has this many bits of the next one; members of a bucket that differ in more than
 #: ``CHECK_MOST`` of them make no pair: half of them would in unrelated texts, one or two do in similar ones.
 CHECK_BITS, CHECK_MOST = 23, 8
-#: A bucket of up to this many sets emits pairs, a larger one chains; chained sets are compared in blocks of up to so many.
+#: A bucket of up to this many sets emits pairs, a larger one a star; what stars connect is compared in blocks of about so many,
+#: each with some hubs.
 PAIRED_ROWS = 8
 BLOCK_SETS = 1024
+HUBS = 8
 
 
 def bag_of(shingles: np.ndarray) -> int:
@@ -89,12 +91,16 @@ def _pairs_of(key: np.ndarray, bag: np.ndarray, i: np.ndarray, j: np.ndarray) ->
 
 
 def _meet(paired: int):
-    """Over entries sorted by key: pairs of small buckets, and chain links (crowded) of others."""
+    """Over entries sorted by key: pairs of small buckets, and stars (crowded) of others."""
     corners = {n: np.triu_indices(n, 1) for n in range(2, paired + 1)}
 
     def emit(a, b, crowded):
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), crowded))], names=["a", "b", "crowded"])
 
+    def star(bag):
+        """A bucket's first member with each of the others: few rounds then find what is connected."""
+        return emit(np.full(len(bag) - 1, bag[0]), bag[1:], True)
+
     def closed(key, bag, bounds):
         """Links of whole buckets."""
         sizes = np.diff(bounds)
@@ -106,29 +112,28 @@ def _meet(paired: int):
                 if len(a):
                     yield emit(a, b, False)
         for k in np.flatnonzero(sizes > paired).tolist():
-            part = bag[bounds[k] : bounds[k + 1]]
-            yield emit(part[:-1], part[1:], True)
+            yield star(bag[bounds[k] : bounds[k + 1]])
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, crowd = (np.zeros(0, np.uint64), np.zeros(0, np.int64)), False  # the last bucket, and whether it began as a chain
+        held, crowd = (np.zeros(0, np.uint64), np.zeros(0, np.int64)), False  # the last bucket, and whether a star began with it
         for batch in slices(batches, max_rows=1 << 17):
             key = np.concatenate([held[0], batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)])
             bag = np.concatenate([held[1], batch.column(1).to_numpy(zero_copy_only=False)])
             own = key >> np.uint64(24)
             bounds = np.concatenate([[0], np.flatnonzero(own[1:] != own[:-1]) + 1, [len(key)]])
-            if crowd:  # what is held is the chain's last member
+            if crowd:  # what is held is the star's centre
                 first = bag[: bounds[1]]
                 if len(first) > 1:
-                    yield emit(first[:-1], first[1:], True)
+                    yield star(first)
                 if len(bounds) == 2:
-                    held = (key[-1:], bag[-1:])
+                    held = (key[:1], bag[:1])
                     continue
                 bounds, crowd = bounds[1:], False
             yield from closed(key, bag, bounds[:-1])
             held = (key[bounds[-2] :], bag[bounds[-2] :])
             if len(held[1]) > paired:
-                yield emit(held[1][:-1], held[1][1:], True)
-                held, crowd = (held[0][-1:], held[1][-1:]), True
+                yield star(held[1])
+                held, crowd = (held[0][:1], held[1][:1]), True
         if not crowd and len(held[1]) > 1:
             yield from closed(*held, np.array([0, len(held[1])]))
 
@@ -136,7 +141,7 @@ def _meet(paired: int):
 
 
 def candidate_links(nodes: DataFrame, paired: int = PAIRED_ROWS) -> DataFrame:
-    """Pairs ``a, b`` of sets of ``nodes(bag, wide0 to wide3)`` that meet; ``crowded`` ones are chains, which only connect."""
+    """Pairs ``a, b`` of sets of ``nodes(bag, wide0 to wide3)`` that meet; ``crowded`` ones are stars, which only connect."""
     index = nodes.select("bag", *[f"wide{k}" for k in range(WIDE)]).mapInArrow(_entry_batches, "key long, bag long")
     met = index.repartition(F.shiftrightunsigned("key", 24)).sortWithinPartitions("key", "bag")
     return met.mapInArrow(_meet(paired), "a long, b long, crowded boolean").distinct()
@@ -237,11 +242,31 @@ def similar_links(texts: DataFrame, rows: DataFrame, nodes: DataFrame, similarit
     pairs = found.where("not crowded").join(sets.select(F.col("bag").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("bag").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     links = links.union(pairs.where(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b"))
-    chains = found.where("crowded").join(large.select(F.col("bag").alias("a")), "a", "left_semi")
-    if not chains.isEmpty():
-        crowd = components(chains.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("bag"), F.col("component").alias("c"))
-        blocks = crowd.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
-        own = crowd.join(blocks, "c").select("bag", "c", F.pmod(F.xxhash64("bag"), F.col("blocks")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
-        tiles = own.select("bag", "c", F.least("i", "j").alias("k"), F.greatest("i", "j").alias("v"))
-        links = links.union(compared(large.select("bag", "text").join(tiles, "bag").select("c", "k", "v", "bag", "text")))
+    stars = found.where("crowded").join(large.select(F.col("bag").alias("a")), "a", "left_semi")
+    if stars.isEmpty():
+        return cut(links.distinct())
+    crowd = cut(components(stars.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("bag"), F.col("component").alias("c")))
+    hubs = [F.min(F.struct(F.xxhash64("bag", F.lit(k)), F.col("bag"))).getField("bag") for k in range(HUBS)]
+    sizes = crowd.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"), F.array_distinct(F.array(*hubs)).alias("hubs"))
+    sizes = cut(sizes)
+
+    def dealt(tiles: DataFrame) -> DataFrame:
+        return compared(large.select("bag", "text").join(tiles, "bag").select("c", "k", "v", "bag", "text"))
+
+    placed = cut(crowd.join(sizes.select("c", "blocks"), "c").select("bag", "c", "blocks", F.pmod(F.xxhash64("bag"), F.col("blocks")).cast("int").alias("i")))
+    each = F.sequence(F.lit(0), F.col("blocks") - 1)
+    everywhere = sizes.select("c", "blocks", F.explode("hubs").alias("bag")).select("bag", "c", F.explode(each).alias("k"))
+    first = cut(dealt(placed.select("bag", "c", F.col("i").alias("k")).union(everywhere).distinct().withColumn("v", F.lit(-1))).distinct())
+    links = links.union(first)
+    # Who is not yet with the most of its crowd meets all of it, block by block.
+    part = components(first.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("bag"), F.col("component").alias("part"))
+    parted = cut(placed.join(part, "bag", "left").withColumn("part", F.coalesce("part", "bag")))
+    most = parted.groupBy("c", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("c").agg(F.max(F.struct("n", "part")).getField("part").alias("most"))
+    apart = parted.join(most, "c").where("part <> most").drop("part", "most")
+    apart = cut(apart.join(apart.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("groups")), "c").withColumn("g", F.pmod(F.xxhash64("bag", F.lit(1)), F.col("groups")).cast("int")))
+    if not apart.isEmpty():
+        ways = apart.groupBy("c").agg(F.max("groups").alias("groups"))
+        of_all = placed.join(ways, "c").select("bag", "c", F.col("i").alias("k"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("v"))
+        of_apart = apart.select("bag", "c", F.explode(each).alias("k"), F.col("g").alias("v"))
+        links = links.union(dealt(of_all.union(of_apart).distinct()))
     return cut(links.distinct())
