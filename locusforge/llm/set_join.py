@@ -32,6 +32,8 @@ CHECK_BITS, CHECK_MOST = 23, 8
 PAIRED_ROWS = 8
 BLOCK_SETS = 1024
 HUBS = 8
+#: Crowds (of over ``BLOCK_SETS`` sets each) whose sizes, some 100 bytes, are sent to all; beyond, they are joined by a shuffle.
+BROADCAST_CROWDS = 100_000
 
 
 def bag_of(shingles: np.ndarray) -> int:
@@ -98,8 +100,10 @@ def _meet(paired: int):
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), crowded))], names=["a", "b", "crowded"])
 
     def star(bag):
-        """A bucket's first member with each of the others: few rounds then find what is connected."""
-        return emit(np.full(len(bag) - 1, bag[0]), bag[1:], True)
+        """A bucket's least member with each of the others. Buckets of one group mostly have the same least, and few links in all."""
+        least = bag.min()
+        others = bag[bag != least]
+        return emit(np.full(len(others), least), others, True)
 
     def closed(key, bag, bounds):
         """Links of whole buckets."""
@@ -126,14 +130,14 @@ def _meet(paired: int):
                 if len(first) > 1:
                     yield star(first)
                 if len(bounds) == 2:
-                    held = (key[:1], bag[:1])
+                    held = (key[:1], first.min(keepdims=True))
                     continue
                 bounds, crowd = bounds[1:], False
             yield from closed(key, bag, bounds[:-1])
             held = (key[bounds[-2] :], bag[bounds[-2] :])
             if len(held[1]) > paired:
                 yield star(held[1])
-                held, crowd = (held[0][:1], held[1][:1]), True
+                held, crowd = (held[0][:1], held[1].min(keepdims=True)), True
         if not crowd and len(held[1]) > 1:
             yield from closed(*held, np.array([0, len(held[1])]))
 
@@ -249,11 +253,15 @@ def similar_links(texts: DataFrame, rows: DataFrame, nodes: DataFrame, similarit
     hubs = [F.min(F.struct(F.xxhash64("bag", F.lit(k)), F.col("bag"))).getField("bag") for k in range(HUBS)]
     sizes = crowd.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"), F.array_distinct(F.array(*hubs)).alias("hubs"))
     sizes = cut(sizes)
+    few = sizes.count() <= BROADCAST_CROWDS
+
+    def beside(rows: DataFrame, of_crowds: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(of_crowds) if few else of_crowds, "c")
 
     def dealt(tiles: DataFrame) -> DataFrame:
         return compared(large.select("bag", "text").join(tiles, "bag").select("c", "k", "v", "bag", "text"))
 
-    placed = cut(crowd.join(sizes.select("c", "blocks"), "c").select("bag", "c", "blocks", F.pmod(F.xxhash64("bag"), F.col("blocks")).cast("int").alias("i")))
+    placed = cut(beside(crowd, sizes.select("c", "blocks")).select("bag", "c", "blocks", F.pmod(F.xxhash64("bag"), F.col("blocks")).cast("int").alias("i")))
     each = F.sequence(F.lit(0), F.col("blocks") - 1)
     everywhere = sizes.select("c", "blocks", F.explode("hubs").alias("bag")).select("bag", "c", F.explode(each).alias("k"))
     first = cut(dealt(placed.select("bag", "c", F.col("i").alias("k")).union(everywhere).distinct().withColumn("v", F.lit(-1))).distinct())
@@ -262,11 +270,11 @@ def similar_links(texts: DataFrame, rows: DataFrame, nodes: DataFrame, similarit
     part = components(first.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("bag"), F.col("component").alias("part"))
     parted = cut(placed.join(part, "bag", "left").withColumn("part", F.coalesce("part", "bag")))
     most = parted.groupBy("c", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("c").agg(F.max(F.struct("n", "part")).getField("part").alias("most"))
-    apart = parted.join(most, "c").where("part <> most").drop("part", "most")
-    apart = cut(apart.join(apart.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("groups")), "c").withColumn("g", F.pmod(F.xxhash64("bag", F.lit(1)), F.col("groups")).cast("int")))
+    apart = beside(parted, most).where("part <> most").drop("part", "most")
+    apart = cut(beside(apart, apart.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("groups"))).withColumn("g", F.pmod(F.xxhash64("bag", F.lit(1)), F.col("groups")).cast("int")))
     if not apart.isEmpty():
         ways = apart.groupBy("c").agg(F.max("groups").alias("groups"))
-        of_all = placed.join(ways, "c").select("bag", "c", F.col("i").alias("k"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("v"))
+        of_all = beside(placed, ways).select("bag", "c", F.col("i").alias("k"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("v"))
         of_apart = apart.select("bag", "c", F.explode(each).alias("k"), F.col("g").alias("v"))
         links = links.union(dealt(of_all.union(of_apart).distinct()))
     return cut(links.distinct())
