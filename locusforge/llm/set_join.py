@@ -32,6 +32,7 @@ CHECK_BITS, CHECK_MOST = 23, 8
 PAIRED_ROWS = 8
 BLOCK_SETS = 1024
 HUBS = 8
+_TOLD = 1 << 18
 #: Crowds (of over ``BLOCK_SETS`` sets each) whose sizes, some 100 bytes, are sent to all; beyond, they are joined by a shuffle.
 BROADCAST_CROWDS = 100_000
 
@@ -148,7 +149,36 @@ def candidate_links(nodes: DataFrame, paired: int = PAIRED_ROWS) -> DataFrame:
     """Pairs ``a, b`` of sets of ``nodes(bag, wide0 to wide3)`` that meet; ``crowded`` ones are stars, which only connect."""
     index = nodes.select("bag", *[f"wide{k}" for k in range(WIDE)]).mapInArrow(_entry_batches, "key long, bag long")
     met = index.repartition(F.shiftrightunsigned("key", 24)).sortWithinPartitions("key", "bag")
-    return met.mapInArrow(_meet(paired), "a long, b long, crowded boolean").distinct()
+    found = met.mapInArrow(_meet(paired), "a long, b long, crowded boolean").distinct()
+    # A set is in no more stars than it has entries, so its rows stay few.
+    dealt = found.repartition("b").sortWithinPartitions("b", "a")
+    return dealt.mapInArrow(_thinned, "a long, b long, crowded boolean").distinct()
+
+
+def _thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over links sorted by ``b`` and ``a``: pairs as they are; of the stars that a set is in, its link to the least centre, and
+    that centre's links to the others, which many sets have in common. What is connected stays so."""
+    own, least = None, None
+    told: set[tuple[int, int]] = set()
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        a, b, crowded = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        x, y = a[~crowded], b[~crowded]
+        a, b = a[crowded], b[crowded]
+        if len(a):
+            begins = np.concatenate([[b[0] != own], b[1:] != b[:-1]])
+            at = np.maximum.accumulate(np.where(begins, np.arange(len(b)), -1))
+            first = np.where(at >= 0, a[np.maximum(at, 0)], least if least is not None else 0)
+            own, least = b[-1], first[-1]
+            centres = set(zip(first[~begins].tolist(), a[~begins].tolist())) - told
+            told |= centres
+            if len(told) > _TOLD:
+                told.clear()
+            between = np.array(sorted(centres), np.int64).reshape(-1, 2)
+            a, b = np.concatenate([a[begins], between[:, 0]]), np.concatenate([b[begins], between[:, 1]])
+        marks = np.concatenate([np.zeros(len(x), bool), np.ones(len(a), bool)])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x, a])), pa.array(np.concatenate([y, b])), pa.array(marks)], names=["a", "b", "crowded"])
 
 
 def verified_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:

@@ -119,6 +119,22 @@ def test_buckets_meet_as_by_brute_force_however_batches_are_cut():
         assert all(len({label[i] for i in c}) == 1 for c in chained)
 
 
+def test_thinned_stars_connect_what_they_did():
+    rng = np.random.default_rng(8)
+    links = sorted({(int(c), int(x)) for c in range(6) for x in rng.integers(6, 400, 150)} | {(0, 3), (2, 5)}, key=lambda l: (l[1], l[0]))
+    links += [(500, 501)]
+    def parts(pairs):
+        label = {x: x for p in pairs for x in p}
+        for i, j in pairs:
+            old, new = label[j], label[i]
+            label = {x: new if k == old else k for x, k in label.items()}
+        return sorted(sorted(x for x in label if label[x] == k) for k in set(label.values()))
+    for step in (1, 13, 10_000):
+        batches = [pa.RecordBatch.from_arrays([pa.array([a for a, _ in part]), pa.array([b for _, b in part]), pa.array([a < 500 for a, _ in part])], names=["a", "b", "crowded"]) for part in (links[i : i + step] for i in range(0, len(links), step))]
+        out = [x for o in set_join._thinned(iter(batches)) for x in zip(*(c.to_pylist() for c in o.columns))]
+        assert parts([x[:2] for x in out]) == parts(links) and len(out) < 0.6 * len(links) and (500, 501, False) in out
+
+
 def test_recall_on_pairs_near_the_similarity(spark):
     """Word edits at random places that leave similarities between 0.8 and 0.85, the hardest to find."""
     rng, rows = random.Random(23), []
