@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from locusforge.llm.common import cut
 
 
+#: Links that a task hands to the next round at most about.
+LINKS_A_TASK = 50_000
+
+
 def _least_neighbour(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("u").agg(F.min("v").alias("m"))
 
@@ -40,7 +44,8 @@ def components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
     for _ in range(max_rounds):
         if not mark[0]:
             break
-        following = cut(_small_star(_large_star(now)))
+        # Links do not get more: what is few goes on in few files.
+        following = cut(_small_star(_large_star(now)).coalesce(max(1, -(-mark[0] // LINKS_A_TASK))))
         before, mark, now = mark, _mark(following), following
         if before == mark:
             break
