@@ -24,6 +24,8 @@ from locusforge.llm.common import cut, quoted, slices
 FILTERS = 16
 #: Integers of the recordings sought for at once, which every task holds (4 bytes each and 12 in its index).
 BLOCK_PRINTS = 1 << 21
+#: Votes counted at once (4 to 8 bytes each, a few times over).
+PIECE_VOTES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -50,13 +52,20 @@ def _pitch_classes(s: Settings) -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=4)
+def _taper(n: int) -> np.ndarray:
+    return np.hanning(n).astype(np.float32)
+
+
 def chroma(samples: np.ndarray, s: Settings) -> np.ndarray:
     """Frames by twelve energies, smoothed over five frames and brought to unit length; silence stays zero."""
     if len(samples) < s.frame:
         return np.zeros((0, 12), np.float32)
     frames = np.lib.stride_tricks.sliding_window_view(samples.astype(np.float32), s.frame)[:: s.hop]
-    power = np.abs(np.fft.rfft(frames * np.hanning(s.frame).astype(np.float32), axis=1)).astype(np.float32) ** 2
-    image = power @ _pitch_classes(s)
+    spectrum = np.fft.rfft(frames * _taper(s.frame), axis=1)
+    power = np.square(spectrum.real)
+    power += np.square(spectrum.imag)
+    image = power.astype(np.float32, copy=False) @ _pitch_classes(s)
     if len(image) >= 5:
         kernel = np.array([0.25, 0.75, 1.0, 0.75, 0.25], np.float32)
         image = sum(k * image[i : len(image) - 4 + i] for i, k in enumerate(kernel))
@@ -143,22 +152,58 @@ class _Index:
 
     def __init__(self, ids: list[int], prints: list[np.ndarray]):
         self.ids, self.prints = ids, prints
+        self.sizes = np.array([len(p) for p in prints], np.int64)
+        self.longest = int(self.sizes.max(initial=0))
         flat, owner, place = _turns(prints)
         self.halves = []
         for shift in (0, 16):
             key = (flat >> np.uint32(shift)) & np.uint32(0xFFFF)
             order = np.argsort(key, kind="stable")
-            self.halves.append((key[order], owner[order], place[order]))
+            first = np.searchsorted(key[order], np.arange((1 << 16) + 1))
+            self.halves.append((first, owner[order], place[order]))
 
-    def hits(self, prints: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(recording of ``prints``, recording of the index, offset between them) of each pair of places with an equal half."""
+    def voted(self, prints: list[np.ndarray], least_votes: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(recording of ``prints``, recording of the index, offset between them) with at least so many pairs of places that have
+        an equal half; each once, in pieces that come from about ``PIECE_VOTES`` votes (more only for a single recording)."""
         flat, owner, place = _turns(prints)
-        for shift, (keys, owners, places) in zip((0, 16), self.halves):
+        span = max(self.longest, max(map(len, prints), default=0)) + 1
+        count = len(self.ids)
+        kind = np.int32 if len(prints) * count * 2 * span < 1 << 31 else np.int64
+        own = (owner * (count * 2 * span) + place + span).astype(kind)
+        sides = []
+        for shift, (first, owners, places) in zip((0, 16), self.halves):
             key = (flat >> np.uint32(shift)) & np.uint32(0xFFFF)
-            low, high = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
-            n = high - low
-            at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
-            yield np.repeat(owner, n), owners[at], np.repeat(place, n) - places[at]
+            low = first[key]
+            sides.append((low, first[key + np.uint32(1)] - low, (owners * (2 * span) - places).astype(kind)))
+        each = np.bincount(owner, sides[0][1] + sides[1][1], len(prints)).astype(np.int64)
+        bounds = np.searchsorted(owner, _pieces_of(each, PIECE_VOTES))
+        for a, b in zip(bounds, bounds[1:]):
+            cells = []
+            for low, n, theirs in sides:
+                low, n = low[a:b], n[a:b]
+                at = np.repeat(low - np.cumsum(n) + n, n)
+                at += np.arange(len(at))
+                cell = theirs.take(at)
+                cell += np.repeat(own[a:b], n)
+                cells.append(cell)
+            cell = np.concatenate(cells)
+            cell.sort()
+            cell = cell[: max(0, len(cell) - least_votes + 1)][cell[least_votes - 1 :] == cell[: max(0, len(cell) - least_votes + 1)]]
+            cell = cell[np.concatenate([[True], cell[1:] != cell[:-1]])] if len(cell) else cell
+            pair, offset = np.divmod(cell, cell.dtype.type(2 * span))
+            mine, other = np.divmod(pair, pair.dtype.type(count)) if count else (pair, pair)
+            yield mine, other, offset - cell.dtype.type(span)
+
+
+def _pieces_of(work: np.ndarray, most: int) -> list[int]:
+    """Bounds of runs of neighbours whose ``work`` adds up to ``most`` at most, or that are single."""
+    bounds, held = [0], 0
+    for i, n in enumerate(work.tolist()):
+        if held and held + n > most:
+            bounds.append(i)
+            held = 0
+        held += n
+    return [*bounds, len(work)]
 
 
 def _turns(prints: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -176,22 +221,28 @@ def bit_error(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[float, int]:
 
 
 def bit_errors(a: list[np.ndarray], b: list[np.ndarray], a_at: np.ndarray, b_at: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``bit_error`` of many pairs of places in two lists of prints."""
+    """``bit_error`` of many pairs of places in two lists of prints. Pairs of one overlap are compared together, whole stretches
+    at a time."""
     (flat_a, first_a, size_a), (flat_b, first_b, size_b) = _flat(a), _flat(b)
+    offset = offset.astype(np.int64)
     skip_a, skip_b = np.maximum(0, offset), np.maximum(0, -offset)
     n = np.maximum(0, np.minimum(size_a[a_at] - skip_a, size_b[b_at] - skip_b))
+    at_a, at_b = first_a[a_at] + skip_a, first_b[b_at] + skip_b
     errors = np.ones(len(n))
-    step = max(1, (1 << 20) // max(1, int(n.max(initial=1))))
-    for low in range(0, len(n), step):
-        part = slice(low, low + step)
-        m = n[part]
-        run = np.repeat(np.cumsum(m) - m, m)
-        within = np.arange(m.sum()) - run
-        x = flat_a[np.repeat(first_a[a_at[part]] + skip_a[part], m) + within]
-        y = flat_b[np.repeat(first_b[b_at[part]] + skip_b[part], m) + within]
-        total = np.concatenate([[0], np.cumsum(np.bitwise_count(x ^ y), dtype=np.int64)])
-        ends = np.cumsum(m)
-        errors[part] = np.where(m > 0, (total[ends] - total[ends - m]) / np.maximum(32 * m, 1), 1.0)
+    order = np.argsort(n.astype(np.uint16) if n.max(initial=0) < 1 << 16 else n, kind="stable")  # small ones numpy sorts by radix
+    own = n[order]
+    starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else own
+    for low, high in zip(starts.tolist(), [*starts[1:].tolist(), len(own)]):
+        m = int(own[low])
+        if not m:
+            continue
+        x, y = (np.lib.stride_tricks.as_strided(f, (len(f) - m + 1, m), (f.itemsize, f.itemsize), writeable=False) for f in (flat_a, flat_b))
+        step = max(1, (1 << 18) // m)
+        for at in range(low, high, step):
+            part = order[at : min(high, at + step)]
+            bits = x[at_a[part]]
+            bits ^= y[at_b[part]]
+            errors[part] = np.bitwise_count(bits).sum(1, dtype=np.uint32) / (32 * m)
     return errors, n
 
 
@@ -207,22 +258,18 @@ def _search(shared, least_votes: int, most_error: float, least_overlap: int):
         for batch in slices(batches, max_rows=128):
             ids = batch.column(0).to_pylist()
             prints = [np.asarray(v.values).view(np.uint32) for v in batch.column(1)]
-            found = [np.stack(h) for h in index.hits(prints)]
-            r, q, d = np.concatenate(found, axis=1)
-            span = int(np.abs(d).max(initial=0)) + 1
-            cell, votes = np.unique((r * count + q) * (2 * span) + d + span, return_counts=True)
-            cell = cell[votes >= least_votes]
-            pair, d = cell // (2 * span), cell % (2 * span) - span
-            # Where the two overlap too little nothing is compared.
-            sizes, of_index = np.array([len(p) for p in prints], np.int64), np.array([len(p) for p in index.prints], np.int64)
-            enough = np.minimum(sizes[pair // count] - np.maximum(0, d), of_index[pair % count] - np.maximum(0, -d)) >= least_overlap
-            pair, d = pair[enough], d[enough]
+            sizes = np.array([len(p) for p in prints], np.int64)
             best: dict[int, tuple] = {}
-            errors, overlaps = bit_errors(prints, index.prints, pair // count, pair % count, d)
-            near = (errors <= most_error) & (overlaps >= least_overlap)
-            for p, offset, error, n in zip(pair[near].tolist(), d[near].tolist(), errors[near].tolist(), overlaps[near].tolist()):
-                if ids[p // count] != index.ids[p % count]:
-                    best[p] = min(best.get(p, (2.0, 0, 0)), (error, -n, offset))
+            for mine, other, d in index.voted(prints, least_votes):
+                # Where the two overlap too little nothing is compared.
+                enough = np.minimum(sizes[mine] - np.maximum(0, d), index.sizes[other] - np.maximum(0, -d)) >= least_overlap
+                mine, other, d = mine[enough], other[enough], d[enough]
+                errors, overlaps = bit_errors(prints, index.prints, mine, other, d)
+                near = (errors <= most_error) & (overlaps >= least_overlap)
+                for i, j, offset, error, n in zip(mine[near].tolist(), other[near].tolist(), d[near].tolist(), errors[near].tolist(), overlaps[near].tolist()):
+                    if ids[i] != index.ids[j]:
+                        p = i * count + j
+                        best[p] = min(best.get(p, (2.0, 0, 0)), (error, -n, offset))
             out = [(index.ids[p % count], ids[p // count], m[2], -m[1], round(m[0], 6)) for p, m in best.items()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 5, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64()))], names=["q", "class_id", "offset", "overlap", "error"])
 
@@ -291,8 +338,10 @@ def tone_series(values: list[float] | None, s: Settings) -> np.ndarray:
     rest = ~np.isfinite(v)
     pitch = 110.0 * 2.0 ** (3 * (np.clip(np.where(rest, 0, v), -0.5, 0.5) + 0.5))
     each = s.rate // 8
-    phase = 2 * np.pi * np.cumsum(np.repeat(pitch, each)) / s.rate
-    loud = np.repeat((~rest).astype(np.float32), each)
-    return (loud * (np.sin(phase) + 0.3 * np.sin(2 * phase))).astype(np.float32)
-
-
+    # Within a tone the wave is a rotation's powers: products of few of them take the place of a sine for each sample.
+    turn, fine = 2j * np.pi / s.rate * pitch[:, None], max(1, int(each**0.5))
+    coarse = np.exp(turn * np.arange(0, each, fine) + 2j * np.pi / s.rate * each * (np.cumsum(pitch) - pitch)[:, None])
+    tone = (coarse[:, :, None] * np.exp(turn * np.arange(1, fine + 1))[:, None, :]).reshape(len(v), -1)[:, :each]
+    sound = (1 + 0.6 * tone.real) * tone.imag  # sin + 0.3 sin of twice the angle
+    sound[rest] = 0
+    return sound.ravel().astype(np.float32)

@@ -1,11 +1,13 @@
 import io
+import tracemalloc
 import wave
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 
 
-from locusforge.llm.chroma import Settings, align, bit_error, bit_errors, chroma, filter_bank, fingerprint, fingerprints, read_wav, tone_series
+from locusforge.llm.chroma import _Index, Settings, align, bit_error, bit_errors, chroma, filter_bank, fingerprint, fingerprints, read_wav, tone_series
 from locusforge.llm.registry import TONES
 
 S = Settings(rate=4000, frame=1024, hop=256, low=100, high=1900)
@@ -116,6 +118,36 @@ def test_many_bit_errors_are_the_single_ones():
         assert k == m and np.isclose(e, want)
 
 
+def test_votes_are_those_of_a_plain_count(monkeypatch):
+    """Pieces of votes of any size give each offset with enough of them, once."""
+    rng = np.random.default_rng(9)
+    ours, theirs = ([rng.choice(np.array([7, 0x50007, 0x50009, 1 << 31], np.uint32), n) for n in sizes] for sizes in ((9, 0, 30, 4), (12, 25, 0)))
+    votes = Counter()
+    for i, a in enumerate(ours):
+        for j, b in enumerate(theirs):
+            for x in range(len(a)):
+                for y in range(len(b)):
+                    if (x and a[x] == a[x - 1]) or (y and b[y] == b[y - 1]):
+                        continue
+                    votes[i, j, x - y] += int(a[x] & 0xFFFF == b[y] & 0xFFFF) + int(a[x] >> 16 == b[y] >> 16)
+    for least in (1, 2, 5):
+        for most in (1, 100, 1 << 20):
+            monkeypatch.setattr("locusforge.llm.chroma.PIECE_VOTES", most)
+            got = [k for piece in _Index([1, 2, 3], theirs).voted(ours, least) for k in zip(*(c.tolist() for c in piece))]
+            assert sorted(got) == sorted(k for k, n in votes.items() if n >= least)
+    assert not [p for p in _Index([], []).voted(ours, 2) if len(p[0])]
+
+
+def test_votes_of_like_recordings_are_counted_in_bounded_memory():
+    trill = np.tile(np.array([5, 9], np.uint32), 64)
+    index = _Index(list(range(32)), [trill] * 32)
+    tracemalloc.start()
+    found = sum(len(mine) for mine, _, _ in index.voted([trill] * 32, 2))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == 32 * 32 * 253 and peak < 100 << 20
+
+
 def test_wav_reading():
     assert len(read_wav(None, S)) == 0 and len(read_wav(wav(np.zeros(0)), S)) == 0
     x = tune(7)
