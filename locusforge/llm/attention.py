@@ -132,19 +132,28 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z @ _ones(z.shape[-1], z.dtype)
 
 
-def _inside(m: Attention, tree: Tree, g: np.ndarray, own: np.ndarray, bounds: list, c: int, e: int, width: int):
+def _with_bias(weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    return np.concatenate([weights, bias[:, None]], 1)
+
+
+def _with_one(g: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Rows ``at`` of ``g``, each with a one behind it for the bias."""
+    out = np.ones((len(at), g.shape[1] + 1), g.dtype)
+    out[:, :-1] = g.take(at, 0)
+    return out
+
+
+def _inside(u2: np.ndarray, tree: Tree, g: np.ndarray, bounds: list, c: int, e: int, width: int):
     """Outputs within the classes ``c`` to ``e`` for states sorted by class, and the rows these are; of columns that a class
-    lacks, next to nothing counts."""
+    lacks, next to nothing counts. States and ``u2`` have their ones and biases."""
     part = slice(bounds[c], bounds[e])
-    bias = np.full((e - c, width), -SCORE_BOUND, g.dtype)
-    for k in range(c, e):
-        a, b = tree.first[k], tree.first[k + 1]
-        bias[k - c, : b - a] = m.b2[a:b]
-    z = bias.take(own[part] - np.uint16(c), 0)
+    z = np.empty((part.stop - part.start, width), g.dtype)
     for k in range(c, e):
         low, high, a, b = bounds[k], bounds[k + 1], tree.first[k], tree.first[k + 1]
         if low < high:
-            z[low - part.start : high - part.start, : b - a] += g[low:high] @ m.u2[a:b].T
+            own = z[low - part.start : high - part.start]
+            np.matmul(g[low:high], u2[a:b].T, out=own[:, : b - a])
+            own[:, b - a :] = -SCORE_BOUND
     return z, part
 
 
@@ -185,15 +194,15 @@ def log_probabilities(m: Attention, tree: Tree, inputs: np.ndarray, before: np.n
     y = targets.ravel().take(at)
     own = tree.of.take(y)
     order = np.argsort(own, kind="stable")
-    g = _state(m, inputs, before)[-1].take(at.take(order), 0)
+    g = _with_one(_state(m, inputs, before)[-1], at.take(order))
     y, own = y.take(order), own.take(order)
-    z = g @ m.u1.T
-    z += m.b1
+    u2 = _with_bias(m.u2, m.b2)
+    z = g @ _with_bias(m.u1, m.b1).T
     logs = z[np.arange(len(y)), own]
     logs -= np.log(_softmax(z))
     bounds = np.searchsorted(own, np.arange(tree.classes + 1)).tolist()
     for c, e, width in tree.runs:
-        z, part = _inside(m, tree, g, own, bounds, c, e, width)
+        z, part = _inside(u2, tree, g, bounds, c, e, width)
         if len(z):
             logs[part] += z[np.arange(len(z)), y[part] - tree.first[own[part]]]
             logs[part] -= np.log(_softmax(z))
@@ -227,8 +236,9 @@ def _sum_inputs(dx: np.ndarray, inputs: np.ndarray, before: np.ndarray, size: in
     return sums[:, :d].copy(), sums[:, d:] + _sum_rows(dx[:, 0], before[:, 0], size)
 
 
-def loss_and_gradient(m: Attention, tree: Tree, inputs: np.ndarray, before: np.ndarray, targets: np.ndarray, wanted: np.ndarray) -> tuple[float, Attention]:
-    """Mean negative log probability over ``wanted``, and its gradient. ``before`` is each place's input before, within a window."""
+def loss_and_gradient(m: Attention, tree: Tree, inputs: np.ndarray, before: np.ndarray, targets: np.ndarray, wanted: np.ndarray, over: int | None = None) -> tuple[float, Attention]:
+    """Mean negative log probability over ``wanted``, and its gradient; as a part of a mean ``over`` so many, if given.
+    ``before`` is each place's input before, within a window."""
     n, t = inputs.shape
     x, xt, asked, w, mixed, h, f, g = _state(m, inputs, before)
     d = x.shape[2]
@@ -238,21 +248,20 @@ def loss_and_gradient(m: Attention, tree: Tree, inputs: np.ndarray, before: np.n
     own = tree.of.take(y)
     order = np.argsort(own, kind="stable")
     at, y, own = at.take(order), y.take(order), own.take(order)
-    gs = g.take(at, 0)
-    scale = x.dtype.type(1 / max(1, len(y)))
+    gs = _with_one(g, at)
+    scale = x.dtype.type(1 / max(1, len(y) if over is None else over))
     rows = np.arange(len(y))
-    z = gs @ m.u1.T
-    z += m.b1
+    u2 = _with_bias(m.u2, m.b2)
+    z = gs @ _with_bias(m.u1, m.b1).T
     sums = _softmax(z)
     loss = -float(np.log(z[rows, own] / sums).sum())
     z *= (scale / sums)[:, None]
     z[rows, own] -= scale
-    du1, db1 = z.T @ gs, _ones(len(z), z.dtype) @ z
+    du1, du2 = z.T @ gs, np.zeros_like(u2)  # with their biases
     dgs = z @ m.u1
-    du2, db2 = np.zeros_like(m.u2), np.zeros_like(m.b2)
     bounds = np.searchsorted(own, np.arange(tree.classes + 1)).tolist()
     for c, e, width in tree.runs:
-        z, part = _inside(m, tree, gs, own, bounds, c, e, width)
+        z, part = _inside(u2, tree, gs, bounds, c, e, width)
         if not len(z):
             continue
         sums = _softmax(z)
@@ -265,7 +274,6 @@ def loss_and_gradient(m: Attention, tree: Tree, inputs: np.ndarray, before: np.n
             if low < high:
                 own_z = z[low - part.start : high - part.start, : b - a]
                 du2[a:b] = own_z.T @ gs[low:high]
-                db2[a:b] = own_z.sum(0)
                 dgs[low:high] += own_z @ m.u2[a:b]
     dg = np.zeros_like(g)
     dg[at] = dgs
@@ -287,10 +295,30 @@ def loss_and_gradient(m: Attention, tree: Tree, inputs: np.ndarray, before: np.n
     dr[:t, :t], dp[:t] = dw.sum(0), dx.sum(0)
     return loss * float(scale), Attention(
         *_sum_inputs(dx, inputs, before, len(m.e)), dp, flat.T @ dasked, dr, mixed.T @ dh,
-        h.T @ df, _ones(len(df), df.dtype) @ df, f.T @ dg, du1, db1, du2, db2,
+        h.T @ df, _ones(len(df), df.dtype) @ df, f.T @ dg,
+        du1[:, :-1], du1[:, -1], du2[:, :-1], du2[:, -1],
     )
 
 
+#: Windows whose gradient is taken at once. The arrays of more leave the processor's caches and are mapped anew each time.
+PIECE_WINDOWS = 256
+
+
+def in_pieces(m: Attention, tree: Tree, *windows: np.ndarray) -> tuple[float, Attention]:
+    """``loss_and_gradient``, added up over pieces of the windows."""
+    over = int(windows[-1].sum())
+    loss, slope = 0.0, None
+    for at in range(0, len(windows[0]), PIECE_WINDOWS):
+        more, part = loss_and_gradient(m, tree, *(x[at : at + PIECE_WINDOWS] for x in windows), over)
+        loss += more
+        if slope is None:
+            slope = part
+        else:
+            for a, b in zip(slope.arrays(), part.arrays()):
+                a += b
+    return loss, slope
+
+
 class Adam:
     """Adam over all weights of a model, which it changes in place."""
 
@@ -300,7 +328,7 @@ class Adam:
         self.first, self.second, self.slope, self.move = (np.zeros(n, dtype) for _ in range(4))
 
     def step(self, *windows: np.ndarray) -> float:
-        loss, slope = loss_and_gradient(self.model, self.tree, *windows)
+        loss, slope = in_pieces(self.model, self.tree, *windows)
         self.steps += 1
         fix1, fix2 = 1 - 0.9**self.steps, 1 - 0.99**self.steps
         g, move = self.slope, self.move

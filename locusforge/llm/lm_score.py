@@ -114,10 +114,11 @@ def _spelled(words: list[bytes], description: str, together: int = 256) -> tuple
     shown = [" " + w.decode("utf-8", "replace") for w in words]
     groups = [shown[i : i + together] for i in range(0, len(shown), together)]
     flat, lengths = [], []
-    for group, e in zip(groups, tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)):
+    joined = ["".join(g) for g in groups]
+    for group, text, e in zip(groups, joined, tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
         ids = np.array(e.ids, np.int64)
         starts = np.flatnonzero(begins[ids])
-        if len(starts) == len(group) and len(ids) and starts[0] == 0 and not any(w.isspace() or not w[1:].isprintable() for w in group):
+        if len(starts) == len(group) and len(ids) and starts[0] == 0 and text.isprintable():  # the only space that is printable is ASCII's
             flat.append(ids)
             lengths.append(np.diff(np.append(starts, len(ids))))
         else:

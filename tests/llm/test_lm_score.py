@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from locusforge.llm import lm_score as L
-from locusforge.llm.attention import Adam, log_probabilities, loss_and_gradient, make_tree, new_attention
+from locusforge.llm.attention import PIECE_WINDOWS, Adam, copy_of, in_pieces, log_probabilities, loss_and_gradient, make_tree, new_attention
 from locusforge.llm.lm_score import averaged, make_ranks, score, score_sequences, windows
 
 OPTIONS = {"tokenizer_path": P.path("byte_bpe_multi_50k.tiktoken"), "pattern": P.PATTERN}
@@ -42,6 +43,41 @@ def test_trees_hold_every_rank_once_in_few_classes():
         assert sizes.sum() == tree.seen and (not len(sizes) or max(len(sizes), sizes.max()) <= 2 * math.sqrt(tree.seen) + 1)
 
 
+def test_pieces_of_a_batch_add_up_in_less_memory(monkeypatch):
+    rng = np.random.default_rng(2)
+    counts = np.sort(rng.zipf(1.3, 900) % 5000 + 1)[::-1]
+    tree = make_tree(counts)
+    m = new_attention(tree, counts.astype(float), seed=3, dtype=np.float64)
+    batch = [rng.integers(0, 900, (2 * PIECE_WINDOWS + 70, 32)) for _ in range(3)]
+    batch += [rng.random(batch[0].shape) < rng.random((len(batch[0]), 1))]  # pieces that differ in how many count
+    batch[1][:, 1:] = batch[0][:, :-1]
+    (loss, slope), (want, of_all) = in_pieces(m, tree, *batch), loss_and_gradient(m, tree, *batch)
+    assert math.isclose(loss, want) and np.allclose(slope.flat(), of_all.flat(), atol=1e-12)
+
+    def peak() -> int:
+        adam = Adam(copy_of(m), tree)
+        tracemalloc.start()
+        adam.step(*batch)
+        held = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return held
+
+    small = peak()
+    monkeypatch.setattr("locusforge.llm.attention.PIECE_WINDOWS", len(batch[0]))
+    assert small < 0.7 * peak()
+    nothing = [*batch[:3], np.zeros(batch[0].shape, bool)]
+    assert in_pieces(m, tree, *nothing)[0] == 0 and not in_pieces(m, tree, *nothing)[1].u2.any()
+
+
+def test_words_spelled_together_are_spelled_as_alone():
+    described = L.description(*OPTIONS.values())
+    words = [w.encode() for w in ["plain", "na\u00efve", "\u00a0", "a\u2003b", "x\u200by", "\u65e5\u672c", "tab\u0001", "\u00e9", "...", "1234567"]]
+    for some in (words, words[:2], words[5:6] + words[7:]):
+        flat, lengths = L._spelled(some, described)
+        each = [L._spelled([w], described)[0].tolist() for w in some]
+        assert flat.tolist() == [i for x in each for i in x] and lengths.tolist() == [len(x) for x in each]
+
+
 def test_windows_count_every_token_once_and_match_a_plain_loop():
     ranks, by_rank = make_ranks(COUNTS)
     m = new_attention(ranks.tree, by_rank.astype(float), width=4, inner=4, window=8, seed=2)
