@@ -15,14 +15,14 @@ from __future__ import annotations
 import hashlib
 import uuid
 import zlib
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain, islice, repeat
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,8 +46,24 @@ _BLOCK = 4096
 END = b""
 
 
-def split_words(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").lower().split()
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words of all texts one after the other, and how many each has; nulls have none."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    words, sizes = split.flatten(), pc.list_value_length(split).to_numpy().astype(np.int64)
+    blank = pc.equal(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)  # beside white space at an end, and of empty texts
+    if blank.any():
+        sizes -= np.bincount(np.repeat(np.arange(len(sizes)), sizes)[blank], minlength=len(sizes))
+        words = words.filter(pa.array(~blank))
+    return words, sizes
+
+
+def _bytes_each(words: pa.Array) -> list[bytes]:
+    """Of strings without nulls; as ``to_pylist`` of binary, but several times faster."""
+    if not len(words):
+        return []
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].tolist()
+    raw = words.buffers()[2].to_pybytes()
+    return [raw[a:b] for a, b in zip(ends, ends[1:])]
 
 
 # ---------------------------------------------------------------- counts
@@ -57,25 +73,32 @@ def key_of(word: bytes) -> bytes:
     return word if len(word) <= KEY_BYTES else b" " + hashlib.sha256(word).hexdigest().encode()
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
+def _keyed(words: pa.Array) -> pa.Array:
+    """``key_of`` each."""
+    long = pc.greater(pc.binary_length(words), KEY_BYTES)
+    if not pc.any(long).as_py():
+        return words
+    return pc.replace_with_mask(words, long, pa.array([key_of(w) for w in _bytes_each(words.filter(long))], pa.binary()).cast(pa.string()))
 
-    def flush() -> pa.RecordBatch:
-        words = pa.array(list(counts.keys()), pa.binary()).cast(pa.string())
-        out = pa.RecordBatch.from_arrays([words, pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
-        counts.clear()
-        return out
 
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["word", "n"]
+    counts, fresh, ends = [], 0, 0  # tables to add up, their rows since that was done, and texts
     for batch in slices(batches, max_bytes=2 << 20):
-        for text in batch.column(0):
-            counts.update(split_words(text.as_py() or ""))
-        counts[END] += batch.num_rows
-        for word in [w for w in counts if len(w) > KEY_BYTES and w[:1] != b" "]:
-            counts[key_of(word)] += counts.pop(word)
-        if len(counts) > _COUNTED_WORDS:
-            yield flush()
-    if counts:
-        yield flush()
+        found = pc.value_counts(split_words(batch.column(0))[0])
+        counts.append(pa.table([_keyed(found.field(0)), found.field(1)], names=names))
+        fresh, ends = fresh + len(found), ends + batch.num_rows
+        if fresh > _COUNTED_WORDS:
+            counts, fresh = [_added(counts)], 0
+            if len(counts[0]) > _COUNTED_WORDS:
+                yield from counts[0].to_batches()
+                counts = []
+    if ends:
+        yield from _added([*counts, pa.table([pa.array([END.decode()]), pa.array([ends], pa.int64())], names=names)]).to_batches()
+
+
+def _added(counts: list[pa.Table]) -> pa.Table:
+    return pa.concat_tables(counts).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"]).combine_chunks()
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -219,10 +242,9 @@ def _spell_rows(shared):
         row = TaskContext.get().partitionId() << 40
         of_end = speller.base.get(END)
         for batch in slices(batches, max_bytes=2 << 20, max_rows=1024):
-            split = [split_words(text or "") for text in batch.column(2).to_pylist()]
-            sizes = np.array([len(words) for words in split], np.int64)
-            words = list(chain.from_iterable(split))
-            numbers = speller.numbers(words)
+            words, sizes = split_words(batch.column(2))
+            distinct = words.dictionary_encode()
+            numbers = speller.numbers(_bytes_each(distinct.dictionary))[distinct.indices.to_numpy()]
             owner = np.repeat(np.arange(len(sizes)), sizes)
             logs = speller.score[numbers]
             missing = np.flatnonzero(np.isnan(logs))
@@ -230,12 +252,12 @@ def _spell_rows(shared):
             # The end is counted like a word: here if it is frequent, else with the others.
             known = sizes - gaps + (of_end is not None)
             sums = np.bincount(owner, np.nan_to_num(logs), len(sizes)) + (of_end or 0.0)
-            rare = [key_of(words[i]) for i in missing.tolist()]
+            rare = _keyed(words.take(pa.array(missing)))
             if of_end is None:
-                for at in np.cumsum(gaps)[::-1].tolist():
-                    rare.insert(at, END)
+                order = np.argsort(np.concatenate([owner[missing], np.arange(len(sizes))]), kind="stable")
+                rare = pa.concat_arrays([rare, pa.array([END.decode()] * len(sizes))]).take(pa.array(order))
                 gaps = gaps + 1
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(gaps)]), pa.int32()), pa.array(rare, pa.binary()).cast(pa.string()))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(gaps)]), pa.int32()), rare)
             lengths = np.bincount(owner, speller.size[numbers], len(sizes)).astype(np.int64)
             flat = speller.sequence(numbers)
             ends = np.cumsum(lengths)

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
@@ -69,6 +70,22 @@ def test_pieces_of_a_batch_add_up_in_less_memory(monkeypatch):
     assert in_pieces(m, tree, *nothing)[0] == 0 and not in_pieces(m, tree, *nothing)[1].u2.any()
 
 
+def test_words_are_split_at_ascii_white_space_only():
+    texts = [" a  B\tc\x0bD\x0ce\r\n ", "", None, "  \n", "x\u00a0Y \u00c9\u0130", "\x1c\x1d a\x85b\u2003c", "Z" * 70 + " z\x00z", "A"]
+    want = [(t or "").encode().lower().split() for t in texts]
+    for column in (pa.array(texts), pa.array(["q q", *texts, "r"])[1:-1], pa.array(texts, pa.large_string())):
+        words, sizes = L.split_words(column)
+        assert L._bytes_each(words) == [w for x in want for w in x] and sizes.tolist() == [len(x) for x in want]
+        assert L._bytes_each(words[2:5]) == [w for x in want for w in x][2:5]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    counts = Counter()
+    for part in L._word_counts(iter([batch, batch.slice(0, 0), batch.slice(3)])):
+        for r in part.to_pylist():
+            counts[r["word"].encode()] += r["n"]
+    assert counts == Counter(L.key_of(w) for x in [*want, *want[3:]] for w in [*x, b""])
+    assert not list(L._word_counts(iter([])))
+
+
 def test_words_spelled_together_are_spelled_as_alone():
     described = L.description(*OPTIONS.values())
     words = [w.encode() for w in ["plain", "na\u00efve", "\u00a0", "a\u2003b", "x\u200by", "\u65e5\u672c", "tab\u0001", "\u00e9", "...", "1234567"]]
