@@ -213,6 +213,18 @@ def test_resampling_and_clusters(spark):
     assert sorted((r[0], r[1]) for r in rows_) == [(0, 0.75), (5, 0.25)]
 
 
+def test_resampling_side_by_side_agrees_and_leaves_no_scans_cached(spark, monkeypatch):
+    geno, g, rng = panel(spark, 100, 30, 6)
+    y = 3.0 * g[:, 0] + 0.6 * g[:, 4] + rng.normal(size=100)
+    cached = lambda: spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+    held = cached()
+    ask = lambda: multilocus.resample(geno, y, runs=4, mask=0.3, seed=3, threshold=1e-3).collect()
+    found = ask()
+    assert cached() <= held and found[0].marker_idx == 0 and found[0].rmip == 1.0
+    monkeypatch.setattr(multilocus, "RUNS_AT_ONCE", 1)
+    assert ask() == found
+
+
 def test_choices_by_linkage_and_criterion():
     g = np.array([[0, 0, 2], [0, 0, 1], [1, 1, 0], [1, 1, 1], [2, 2, 2]], float)
     assert multilocus.prune_linked(g, 0.8, ["1", "1", "2"]) == [0, 2]
