@@ -121,10 +121,14 @@ def _past(t: int, dtype) -> np.ndarray:
 
 
 @lru_cache(maxsize=8)
-def _ones(n: int, dtype) -> np.ndarray:
+def _all_ones(n: int, dtype) -> np.ndarray:
     return np.ones(n, dtype)
 
 
+def _ones(n: int, dtype) -> np.ndarray:
+    return _all_ones(1 << int(n).bit_length(), dtype)[:n]
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
     """Exponentials along the last axis, in place; returns their sums."""
     np.clip(z, -SCORE_BOUND, SCORE_BOUND, out=z)
@@ -158,6 +162,8 @@ def _inside(u2: np.ndarray, tree: Tree, g: np.ndarray, bounds: list, c: int, e:
 
 
 def _state(m: Attention, inputs: np.ndarray, before: np.ndarray):
+    """What the gradient needs of each place: the input, what it asks, its weights on the past (exponentials, and one over
+    their sums), what these mix, and the layers after it."""
     n, t = inputs.shape
     d = m.e.shape[1]
     x = m.e.take(inputs.ravel(), 0)
@@ -172,8 +178,9 @@ def _state(m: Attention, inputs: np.ndarray, before: np.ndarray):
     np.clip(w, -SCORE_BOUND, SCORE_BOUND, out=w)
     np.exp(w, out=w)
     w *= _past(t, w.dtype)
-    w /= (w @ _ones(t, w.dtype))[..., None]
+    part = np.divide(1, w @ _ones(t, w.dtype), dtype=w.dtype).reshape(n * t, 1)
     mixed = (w @ x).reshape(n * t, d)
+    mixed *= part  # narrower than the weights
     h = mixed @ m.m
     h += flat
     f = h @ m.w1
@@ -181,7 +188,11 @@ def _state(m: Attention, inputs: np.ndarray, before: np.ndarray):
     np.maximum(f, 0, out=f)
     g = f @ m.w2
     g += h
-    return x, xt, asked, w, mixed, h, f, g
+    return x, xt, asked, w, part, mixed, h, f, g
+
+
+#: Rows whose classes are weighed at once; their outputs stay in the processor's cache from one step to the next.
+CLASS_ROWS = 2048
 
 
 def log_probabilities(m: Attention, tree: Tree, inputs: np.ndarray, before: np.ndarray, targets: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -197,9 +208,13 @@ def log_probabilities(m: Attention, tree: Tree, inputs: np.ndarray, before: np.n
     g = _with_one(_state(m, inputs, before)[-1], at.take(order))
     y, own = y.take(order), own.take(order)
     u2 = _with_bias(m.u2, m.b2)
-    z = g @ _with_bias(m.u1, m.b1).T
-    logs = z[np.arange(len(y)), own]
-    logs -= np.log(_softmax(z))
+    u1 = _with_bias(m.u1, m.b1).T
+    logs = np.empty(len(y), g.dtype)
+    for low in range(0, len(y), CLASS_ROWS):
+        rows = slice(low, low + CLASS_ROWS)
+        z = g[rows] @ u1
+        logs[rows] = z[np.arange(len(z)), own[rows]]
+        logs[rows] -= np.log(_softmax(z))
     bounds = np.searchsorted(own, np.arange(tree.classes + 1)).tolist()
     for c, e, width in tree.runs:
         z, part = _inside(u2, tree, g, bounds, c, e, width)
@@ -213,34 +228,44 @@ def log_probabilities(m: Attention, tree: Tree, inputs: np.ndarray, before: np.n
     return out
 
 
+#: Rows of one key that are added one after the other, for all keys at once; more are a product.
+_SHORT_RUN = 12
+
+
 def _sum_rows(rows: np.ndarray, keys: np.ndarray, n: int) -> np.ndarray:
-    """Sums of ``rows`` by key."""
+    """Sums of ``rows`` by key. (``reduceat`` would go column by column.)"""
     if n <= 1 << 16:
         keys = keys.astype(np.uint16)  # which numpy sorts by radix
     order = np.argsort(keys, kind="stable")
-    own = keys.take(order)
+    own, rows = keys.take(order), rows[order]
     starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    sizes = np.diff(starts, append=len(own))
+    sums = rows[starts]
+    for i in range(1, _SHORT_RUN):
+        more = np.flatnonzero(sizes > i)
+        sums[more] += rows[starts[more] + i]
+    for k in np.flatnonzero(sizes > _SHORT_RUN).tolist():
+        sums[k] = _ones(sizes[k], rows.dtype) @ rows[starts[k] : starts[k] + sizes[k]]
     out = np.zeros((n, rows.shape[1]), rows.dtype)
-    out[own[starts]] = np.add.reduceat(rows.take(order, 0), starts, 0)
+    out[own[starts]] = sums
     return out
 
 
-def _sum_inputs(dx: np.ndarray, inputs: np.ndarray, before: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of ``dx`` (windows, places, width) by input and by the one before, which is the input of the place before it."""
-    n, t, d = dx.shape
-    both = np.empty((n, t, 2 * d), dx.dtype)
-    both[..., :d] = dx
-    both[:, :-1, d:] = dx[:, 1:]
-    both[:, -1, d:] = 0
-    sums = _sum_rows(both.reshape(n * t, 2 * d), inputs.ravel(), size)
-    return sums[:, :d].copy(), sums[:, d:] + _sum_rows(dx[:, 0], before[:, 0], size)
+def _sum_inputs(slopes: np.ndarray, inputs: np.ndarray, before: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of ``slopes`` by input and by the one before, which is the input of the place before it. A row of zeros stands
+    before each window, for the input before its first, and at the end."""
+    n, t = inputs.shape
+    d = slopes.shape[1]
+    both = np.lib.stride_tricks.as_strided(slopes, (n * (t + 1), 2 * d), slopes.strides, writeable=False)  # each row and the next
+    sums = _sum_rows(both, np.concatenate([before[:, :1], inputs], 1).ravel(), size)
+    return sums[:, :d], sums[:, d:]
 
 
-def loss_and_gradient(m: Attention, tree: Tree, inputs: np.ndarray, before: np.ndarray, targets: np.ndarray, wanted: np.ndarray, over: int | None = None) -> tuple[float, Attention]:
-    """Mean negative log probability over ``wanted``, and its gradient; as a part of a mean ``over`` so many, if given.
-    ``before`` is each place's input before, within a window."""
+def _gradient(m: Attention, tree: Tree, inputs: np.ndarray, before: np.ndarray, targets: np.ndarray, wanted: np.ndarray, over: int, into: Attention, slopes: np.ndarray) -> float:
+    """Adds the gradient of the negative log probability over ``wanted``, divided by ``over``, to ``into``, but for the inputs'
+    vectors: their ``slopes`` are set by place. Returns the loss."""
     n, t = inputs.shape
-    x, xt, asked, w, mixed, h, f, g = _state(m, inputs, before)
+    x, xt, asked, w, share, mixed, h, f, g = _state(m, inputs, before)
     d = x.shape[2]
     flat = x.reshape(n * t, d)
     at = np.flatnonzero(wanted)
@@ -249,16 +274,22 @@ def loss_and_gradient(m: Attention, tree: Tree, inputs: np.ndarray, before: np.n
     order = np.argsort(own, kind="stable")
     at, y, own = at.take(order), y.take(order), own.take(order)
     gs = _with_one(g, at)
-    scale = x.dtype.type(1 / max(1, len(y) if over is None else over))
+    scale = x.dtype.type(1 / max(1, over))
     rows = np.arange(len(y))
-    u2 = _with_bias(m.u2, m.b2)
-    z = gs @ _with_bias(m.u1, m.b1).T
-    sums = _softmax(z)
-    loss = -float(np.log(z[rows, own] / sums).sum())
-    z *= (scale / sums)[:, None]
-    z[rows, own] -= scale
-    du1, du2 = z.T @ gs, np.zeros_like(u2)  # with their biases
-    dgs = z @ m.u1
+    u1, u2 = _with_bias(m.u1, m.b1).T, _with_bias(m.u2, m.b2)
+    loss, dgs = 0.0, np.empty((len(y), d), x.dtype)
+    z_room = np.empty((min(len(y), CLASS_ROWS), tree.classes), x.dtype)
+    for low in range(0, len(y), CLASS_ROWS):
+        some = slice(low, low + CLASS_ROWS)
+        z = np.matmul(gs[some], u1, out=z_room[: len(y) - low])
+        sums = _softmax(z)
+        target = (rows[: len(z)], own[some])
+        loss -= float(np.log(z[target] / sums).sum())
+        z *= (scale / sums)[:, None]
+        z[target] -= scale
+        into.u1[...] += z.T @ gs[some, :-1]
+        into.b1[...] += _ones(len(z), z.dtype) @ z
+        np.matmul(z, m.u1, out=dgs[some])
     bounds = np.searchsorted(own, np.arange(tree.classes + 1)).tolist()
     for c, e, width in tree.runs:
         z, part = _inside(u2, tree, gs, bounds, c, e, width)
@@ -273,7 +304,9 @@ def loss_and_gradient(m: Attention, tree: Tree, inputs: np.ndarray, before: np.n
             low, high, a, b = bounds[k], bounds[k + 1], tree.first[k], tree.first[k + 1]
             if low < high:
                 own_z = z[low - part.start : high - part.start, : b - a]
-                du2[a:b] = own_z.T @ gs[low:high]
+                du = own_z.T @ gs[low:high]
+                into.u2[a:b] += du[:, :-1]
+                into.b2[a:b] += du[:, -1]
                 dgs[low:high] += own_z @ m.u2[a:b]
     dg = np.zeros_like(g)
     dg[at] = dgs
@@ -281,23 +314,34 @@ def loss_and_gradient(m: Attention, tree: Tree, inputs: np.ndarray, before: np.n
     df *= f > 0
     dh = df @ m.w1.T
     dh += dg
-    dmixed = (dh @ m.m.T).reshape(n, t, d)
+    dmixed = dh @ m.m.T
+    dmixed *= share
+    along = np.einsum("ij,ij->i", dmixed, mixed).reshape(n, t, 1)  # the slopes of a place's weights, weighed by these
+    dmixed = dmixed.reshape(n, t, d)
     dw = dmixed @ xt
-    dx = w.transpose(0, 2, 1) @ dmixed
-    dw -= np.einsum("nij,nij->ni", dw, w)[..., None]
+    dw -= along
     dw *= w
+    dx = w.transpose(0, 2, 1) @ dmixed
     dasked = (dw @ x).reshape(n * t, d)
     dx += dw.transpose(0, 2, 1) @ asked
     dxf = dx.reshape(n * t, d)
     dxf += dh
     dxf += dasked @ m.a.T
-    dr, dp = np.zeros_like(m.r), np.zeros_like(m.p)
-    dr[:t, :t], dp[:t] = dw.sum(0), dx.sum(0)
-    return loss * float(scale), Attention(
-        *_sum_inputs(dx, inputs, before, len(m.e)), dp, flat.T @ dasked, dr, mixed.T @ dh,
-        h.T @ df, _ones(len(df), df.dtype) @ df, f.T @ dg,
-        du1[:, :-1], du1[:, -1], du2[:, :-1], du2[:, -1],
-    )
+    slopes[: n * (t + 1)].reshape(n, t + 1, d)[:, 1:] = dx
+    into.r[:t, :t] += dw.sum(0)
+    into.p[:t] += dx.sum(0)
+    into.a[...] += flat.T @ dasked
+    into.m[...] += mixed.T @ dh
+    into.w1[...] += h.T @ df
+    into.c1[...] += _ones(len(df), df.dtype) @ df
+    into.w2[...] += f.T @ dg
+    return loss * float(scale)
+
+
+def loss_and_gradient(m: Attention, tree: Tree, *windows: np.ndarray) -> tuple[float, Attention]:
+    """Mean negative log probability over the last of ``windows``, and its gradient: inputs, the inputs before them within a
+    window, targets, and which targets count."""
+    return _added_up(m, tree, windows, len(windows[0]))
 
 
 #: Windows whose gradient is taken at once. The arrays of more leave the processor's caches and are mapped anew each time.
@@ -306,48 +350,54 @@ PIECE_WINDOWS = 256
 
 def in_pieces(m: Attention, tree: Tree, *windows: np.ndarray) -> tuple[float, Attention]:
     """``loss_and_gradient``, added up over pieces of the windows."""
-    over = int(windows[-1].sum())
-    loss, slope = 0.0, None
-    for at in range(0, len(windows[0]), PIECE_WINDOWS):
-        more, part = loss_and_gradient(m, tree, *(x[at : at + PIECE_WINDOWS] for x in windows), over)
-        loss += more
-        if slope is None:
-            slope = part
-        else:
-            for a, b in zip(slope.arrays(), part.arrays()):
-                a += b
+    return _added_up(m, tree, windows, PIECE_WINDOWS)
+
+
+def _added_up(m: Attention, tree: Tree, windows: tuple, together: int) -> tuple[float, Attention]:
+    inputs, before, *_, wanted = windows
+    (n, t), d, over = inputs.shape, m.e.shape[1], int(wanted.sum())
+    slope = Attention(m.e, m.s, *(np.zeros_like(a) for a in m.arrays()[2:]))
+    slopes, loss = np.zeros((n * (t + 1) + 1, d), m.e.dtype), 0.0
+    for at in range(0, n, max(1, together)):
+        loss += _gradient(m, tree, *(x[at : at + together] for x in windows), over, slope, slopes[at * (t + 1) :])
+    slope.e, slope.s = _sum_inputs(slopes, inputs, before, len(m.e))
     return loss, slope
 
 
+#: Weights that Adam moves at once, so that what it holds of them stays in the cache between its steps.
+ADAM_CELLS = 1 << 14
+
+
 class Adam:
     """Adam over all weights of a model, which it changes in place."""
 
     def __init__(self, model: Attention, tree: Tree, rate: float = 3e-3):
         self.model, self.tree, self.rate, self.steps = model, tree, rate, 0
-        n, dtype = sum(a.size for a in model.arrays()), model.e.dtype
-        self.first, self.second, self.slope, self.move = (np.zeros(n, dtype) for _ in range(4))
+        self.first, self.second = ([np.zeros(a.size, a.dtype) for a in model.arrays()] for _ in range(2))
 
     def step(self, *windows: np.ndarray) -> float:
         loss, slope = in_pieces(self.model, self.tree, *windows)
         self.steps += 1
         fix1, fix2 = 1 - 0.9**self.steps, 1 - 0.99**self.steps
-        g, move = self.slope, self.move
-        np.concatenate([a.ravel() for a in slope.arrays()], out=g)
-        np.subtract(g, self.first, out=move)
-        move *= 0.1
-        self.first += move
-        np.multiply(g, g, out=move)
-        move -= self.second
-        move *= 0.01
-        self.second += move
-        np.sqrt(self.second, out=move)
-        move += 1e-8 * np.sqrt(fix2)
-        np.divide(self.first, move, out=move)
-        move *= self.rate * np.sqrt(fix2) / fix1
-        at = 0
-        for a in self.model.arrays():
-            a -= move[at : at + a.size].reshape(a.shape)
-            at += a.size
+        least, rate = float(1e-8 * np.sqrt(fix2)), float(self.rate * np.sqrt(fix2) / fix1)
+        room = np.empty(ADAM_CELLS, self.model.e.dtype)
+        for weights, slopes, first, second in zip(self.model.arrays(), slope.arrays(), self.first, self.second):
+            weights, slopes = weights.reshape(-1), slopes.reshape(-1)
+            for at in range(0, len(weights), ADAM_CELLS):
+                here = slice(at, at + ADAM_CELLS)
+                g, a, b = slopes[here], first[here], second[here]
+                move = np.subtract(g, a, out=room[: len(g)])
+                move *= 0.1
+                a += move
+                np.multiply(g, g, out=move)
+                move -= b
+                move *= 0.01
+                b += move
+                np.sqrt(b, out=move)
+                move += least
+                np.divide(a, move, out=move)
+                move *= rate
+                weights[here] -= move
         return loss
 
 

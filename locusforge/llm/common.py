@@ -112,6 +112,18 @@ def _trim():
         return lambda _: 0
 
 
+@lru_cache(maxsize=1)
+def hold_freed() -> None:
+    """Let this process keep up to 32 MB that it freed until ``give_back``: arrays of some 100 KB that come and go are else
+    mapped anew each time, and every page of them faults."""
+    try:
+        set_option = ctypes.CDLL("libc.so.6").mallopt
+    except (OSError, AttributeError):  # another C library
+        return
+    set_option(-1, 32 << 20)  # M_TRIM_THRESHOLD
+    set_option(-3, 16 << 20)  # M_MMAP_THRESHOLD
+
+
 def give_back() -> None:
     """Hand memory that was freed back to the system: workers live on after their task."""
     pa.default_memory_pool().release_unused()

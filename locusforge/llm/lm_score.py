@@ -13,12 +13,12 @@ averaged by the windows they saw.
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from locusforge.llm.attention import Adam, Attention, Tree, copy_of, log_probabilities, make_tree, new_attention
 from locusforge.llm.byte_bpe import _bytes_of, _loaded, description
-from locusforge.llm.common import quoted, slices, stash
+from locusforge.llm.common import hold_freed, quoted, slices, stash
 
 #: Words sent to all executors at most; none has more than ``KEY_BYTES`` and a digest's few.
 FREQUENT_WORDS = 1 << 18
@@ -40,7 +40,6 @@ FIRST_WINDOWS = 12_000
 FIRST_BATCH, BATCH_WINDOWS = 64, 512
 #: Step length of the partitions' fits.
 RATE = 3e-3
-_PASSING_WORDS = 100_000
 _COUNTED_WORDS = 200_000
 _BLOCK = 4096
 END = b""
@@ -122,6 +121,161 @@ def frequent_words(counts: DataFrame, most: int = FREQUENT_WORDS) -> pa.Table:
 # ---------------------------------------------------------------- spelling
 
 
+#: What the quick spelling knows how to take apart.
+PLAIN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Longer words, and those with more than ASCII's visible characters and the letters U+00C0 to U+00FF, or with an apostrophe, are
+#: spelled by the tokenizer.
+PLAIN_BYTES = 32
+_NONE, _SLOT_BITS = np.iinfo(np.int32).max, 18
+
+
+@dataclass
+class Merges:
+    """Pairs of ids that merge, and into which; the lowest goes first. Pairs go by ``left * size + right``, each in the slot that
+    its hash gives, or where another had that, among the ``others``, in order. ``of_bytes``: id of each byte; ``of_pairs``: what
+    two bytes merge into."""
+
+    size: int
+    keys: np.ndarray
+    into: np.ndarray
+    others: np.ndarray
+    others_into: np.ndarray
+    crowded: np.ndarray
+    of_bytes: np.ndarray
+    of_pairs: np.ndarray
+
+    @staticmethod
+    def slot(keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOT_BITS)).view(np.int64)
+
+    @classmethod
+    def make(cls, size: int, keys: np.ndarray, into: np.ndarray, of_bytes: np.ndarray) -> Merges:
+        slots = cls.slot(keys)
+        _, one = np.unique(slots, return_index=True)
+        rest = np.setdiff1d(np.arange(len(keys)), one)
+        rest = rest[np.argsort(keys[rest])]
+        table, out, crowded = np.full(1 << _SLOT_BITS, -1, np.int64), np.full(1 << _SLOT_BITS, _NONE, np.int32), np.zeros(1 << _SLOT_BITS, bool)
+        table[slots[one]], out[slots[one]], crowded[slots[rest]] = keys[one], into[one], True
+        found = cls(size, table, out, keys[rest], into[rest], crowded, of_bytes, np.zeros((0, 0), np.int32))
+        found.of_pairs = found.of(np.repeat(of_bytes, 256), np.tile(of_bytes, 256)).reshape(256, 256)
+        return found
+
+    def of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        wanted = left.astype(np.int64) * self.size + right
+        slots = self.slot(wanted)
+        met = self.keys[slots] == wanted
+        out = np.where(met, self.into[slots], _NONE)
+        more = np.flatnonzero(self.crowded[slots] & ~met)
+        if len(more):
+            at = self.others.searchsorted(wanted[more])
+            out[more] = np.where(self.others.take(at, mode="clip") == wanted[more], self.others_into.take(at, mode="clip"), _NONE)
+        return out
+
+
+@lru_cache(maxsize=2)
+def _merges(description: str) -> Merges | None:
+    """None where the pattern is another, or merging does not lead to every token in the order of ids."""
+    made = json.loads(description)
+    model = made["model"]
+    vocab, size = model["vocab"], max(model["vocab"].values(), default=-1) + 1
+    pairs = [(vocab[a], vocab[b], vocab[a + b]) for a, b in (m if isinstance(m, list) else m.split(" ") for m in model["merges"])]
+    tokens = _bytes_of(description)
+    of_bytes = np.full(256, -1, np.int32)
+    for i, token in enumerate(tokens):
+        if len(token) == 1:
+            of_bytes[token[0]] = i
+    whole = made["pre_tokenizer"]["pretokenizers"][0]["pattern"].get("Regex") == PLAIN_PATTERN and not made.get("normalizer") and not made.get("added_tokens")
+    into = np.array([c for *_, c in pairs], np.int32)
+    if not whole or (of_bytes < 0).any() or len(pairs) != sum(len(t) > 1 for t in tokens) or (np.diff(into) <= 0).any():
+        return None
+    keys = np.array([a * size + b for a, b, _ in pairs], np.int64)
+    return Merges.make(size, keys, into, of_bytes)
+
+
+_CLASS = np.full(256, 3, np.uint8)  # of bytes: letters, digits, others; the space is none
+_CLASS[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"]], _CLASS[[*b"0123456789"]], _CLASS[32] = 1, 2, 0
+_CLASS[0x80:0xC0], _CLASS[0xC3] = 1, 1  # the letters U+00C0 to U+00FF
+_ODD = np.ones(256, bool)
+_ODD[33:127], _ODD[0x80:0xC0], _ODD[0xC3], _ODD[ord("'")] = False, False, False, True
+
+
+def _letters(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of strings without nulls, one after the other, and where each begins, with the end of all."""
+    if not len(words):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    bounds = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    raw = np.frombuffer(words.buffers()[2], np.uint8) if words.buffers()[2] is not None else np.zeros(0, np.uint8)
+    return raw[bounds[0] : bounds[-1]], bounds - bounds[0]
+
+
+def _merged(raw: np.ndarray, bounds: np.ndarray, merges: Merges) -> tuple[np.ndarray, np.ndarray]:
+    """As ``_spelled`` for plain words, none empty: all their pieces are merged side by side, in each turn the lowest pairs of
+    every piece."""
+    sizes = np.diff(bounds)
+    begin = bounds[:-1] + np.arange(len(sizes))
+    shown = np.full(len(raw) + len(sizes), 32, np.uint8)
+    shown[np.arange(len(raw)) + np.repeat(np.arange(1, len(sizes) + 1), sizes)] = raw
+    head = np.zeros(len(shown), bool)
+    head[begin] = True
+    kind = _CLASS[shown]
+    head[1:] |= (kind[1:] != kind[:-1]) & (shown[:-1] != 32)
+    ids, place, made = merges.of_bytes[shown], np.arange(len(shown)), np.full(len(shown), -1, np.int32)
+    pair = np.full(len(shown), _NONE, np.int32)
+    pair[:-1] = merges.of_pairs[shown[:-1], shown[1:]]
+    pair[:-1][head[1:]] = _NONE
+    while len(ids):
+        heads = np.flatnonzero(head)
+        least = np.repeat(np.minimum.reduceat(pair, heads), np.diff(heads, append=len(ids)))
+        goes = least < _NONE
+        if 4 * np.count_nonzero(goes) < 3 * len(ids):  # pieces that have no more to merge are put down
+            made[place[~goes]] = ids[~goes]
+            ids, pair, head, place, least = ids[goes], pair[goes], head[goes], place[goes], least[goes]
+            goes = goes[goes]
+        hit = np.flatnonzero((pair == least) & goes)
+        if not len(hit):
+            made[place] = ids
+            break
+        new = np.concatenate([[True], np.diff(hit) > 1])
+        if not new.all():  # of hits that overlap, each second one from the left
+            turn = np.arange(len(hit))
+            hit = hit[(turn - np.maximum.accumulate(np.where(new, turn, 0))) % 2 == 0]
+        ids[hit] = pair[hit]
+        keep = np.ones(len(ids), bool)
+        keep[hit + 1] = False
+        ids, pair, head, place = ids[keep], pair[keep], head[keep], place[keep]
+        own = hit - np.arange(len(hit))
+        own = np.concatenate([own, own[~head[own]] - 1])
+        pair[own] = _NONE
+        own = own[own + 1 < len(ids)]
+        own = own[~head[own + 1]]
+        pair[own] = merges.of(ids[own], ids[own + 1])
+    left = np.flatnonzero(made >= 0)
+    return made[left], np.diff(np.searchsorted(left, begin), append=len(left))
+
+
+def spell(words: pa.Array, description: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all words, one after the other, and how many each has. A word is spelled with a space before it."""
+    raw, bounds = _letters(words)
+    sizes, merges = np.diff(bounds), _merges(description)
+    odd = (sizes > PLAIN_BYTES) | (sizes == 0)
+    strange = _ODD[raw]
+    strange[1:] |= (raw[:-1] == 0xC3) & ((raw[1:] == 0x97) | (raw[1:] == 0xB7))  # the signs of times and division
+    odd[np.searchsorted(bounds, np.flatnonzero(strange), "right") - 1] = True
+    if merges is None:
+        odd[:] = True
+    if not odd.any():
+        return _merged(raw, bounds, merges)
+    others, more = _spelled(_bytes_each(words.filter(pa.array(odd))), description)
+    if odd.all():
+        return others, more
+    plain, fewer = _merged(*_letters(words.filter(pa.array(~odd))), merges)
+    lengths = np.empty(len(words), np.int64)
+    lengths[odd], lengths[~odd] = more, fewer
+    ids, where = np.empty(len(others) + len(plain), np.int64), np.repeat(odd, lengths)
+    ids[where], ids[~where] = others, plain
+    return ids, lengths
+
+
 @lru_cache(maxsize=2)
 def _begins_word(description: str) -> np.ndarray:
     return np.array([token[:1] == b" " for token in _bytes_of(description)])
@@ -157,25 +311,36 @@ def _number_type(size: int):
     return np.uint16 if size + 4 < 1 << 16 else np.uint32
 
 
+@dataclass
+class Base:
+    """Counts of the frequent words, joined by line ends, and what all counts add up to."""
+
+    words: bytes
+    counts: np.ndarray
+    tokens: int
+    distinct: int
+
+    def scores(self) -> np.ndarray:
+        return np.log10((self.counts + 0.5) / (self.tokens + 0.5 * (self.distinct + 1)))
+
+
 class Speller:
-    """What words add to a text: their ids, and the base score of frequent words (others: NaN). Words have numbers, and what is
-    known of them lies in arrays by number. Frequent words are held for good, of the others a bounded number."""
+    """Ids and base scores of words. What the frequent ones have is held, in arrays by number; others are spelled as they come."""
 
-    def __init__(self, description: str, base: dict[bytes, float] | None = None):
-        self.description, self.base = description, base or {}
+    def __init__(self, description: str, base: Base):
+        self.description = description
         self.kind = _number_type(_loaded(description).get_vocab_size())
-        self.number: dict[bytes, int] = {}
-        self.first, self.size, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        self.text = np.zeros(0, self.kind)
-        self.held = (0, 0)
-        self.learn([w for w in self.base if w and w[:1] != b" "])
-        self.held = (len(self.number), len(self.text))
+        self.words = pa.array(base.words.split(b"\n") if len(base.counts) else [], pa.binary()).cast(pa.string())
+        self.score = base.scores()
+        ids, self.size = spell(self.words, description)
+        self.text = ids.astype(self.kind)
+        self.first = np.cumsum(self.size) - self.size
 
     _last: tuple | None = None
 
     @classmethod
     def shared(cls, name: str, make: Callable[[], Speller]) -> Speller:
-        """The one of that name if this process made it last: tasks of a worker share what it has learned."""
+        """The one of that name if this process made it last: tasks of a worker share it."""
         if cls._last is None or cls._last[0] != name:
             cls._last = None
             cls._last = (name, make())
@@ -185,50 +350,25 @@ class Speller:
     def forget(cls) -> None:
         cls._last = None
         _loaded.cache_clear()
-
-    def learn(self, words: list[bytes]) -> None:
-        """Words that have no number yet."""
-        ids, lengths = _spelled(words, self.description)
-        self.number.update(zip(words, range(len(self.first), len(self.first) + len(words))))
-        self.first = np.concatenate([self.first, np.cumsum(lengths) - lengths + len(self.text)])
-        self.size = np.concatenate([self.size, lengths])
-        self.score = np.concatenate([self.score, [self.base.get(key_of(w), np.nan) for w in words]])
-        self.text = np.concatenate([self.text, ids.astype(self.kind)])
-
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        """Numbers of words, whether met before or not; they hold until the next call."""
-        held, text = self.held
-        if len(self.number) - held > _PASSING_WORDS:
-            for w in list(islice(reversed(self.number), len(self.number) - held)):
-                del self.number[w]
-            self.first, self.size, self.score, self.text = self.first[:held], self.size[:held], self.score[:held], self.text[:text]
-        found = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
-        new = np.flatnonzero(found < 0).tolist()
-        if new:
-            self.learn(list(dict.fromkeys(words[i] for i in new)))
-            found[new] = [self.number[words[i]] for i in new]
-        return found
-
-    def sequence(self, numbers: np.ndarray) -> np.ndarray:
-        """Ids of the words one after the other."""
-        size = self.size[numbers]
-        return self.text[np.repeat(self.first[numbers] - np.cumsum(size) + size, size) + np.arange(size.sum())]
-
-
-@dataclass
-class Base:
-    """Counts of the frequent words, joined by line ends, and what all counts add up to."""
-
-    words: bytes
-    counts: np.ndarray
-    tokens: int
-    distinct: int
-
-    def scores(self) -> dict[bytes, float]:
-        if not len(self.counts):
-            return {}
-        logs = np.log10((self.counts + 0.5) / (self.tokens + 0.5 * (self.distinct + 1)))
-        return dict(zip(self.words.split(b"\n"), logs.tolist()))
+        _merges.cache_clear()
+
+    def score_of(self, word: str) -> float | None:
+        at = pc.index_in(word, value_set=self.words).as_py() if len(self.words) else None
+        return None if at is None else float(self.score[at])
+
+    def look(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of different words: the base score (NaN if not frequent), and the ids of all in one array with first place and size."""
+        keyed = _keyed(words)
+        found = pc.fill_null(pc.index_in(keyed, value_set=self.words), -1).to_numpy().astype(np.int64)
+        known = found >= 0
+        score = np.full(len(words), np.nan)
+        score[known] = self.score[found[known]]
+        held = known & (pc.less_equal(pc.binary_length(words), KEY_BYTES).to_numpy(zero_copy_only=False))  # a key has no letters of its word
+        first, size = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        first[held], size[held] = self.first[found[held]], self.size[found[held]]
+        ids, sizes = spell(words.filter(pa.array(~held)), self.description)
+        first[~held], size[~held] = np.cumsum(sizes) - sizes + len(self.text), sizes
+        return score, np.concatenate([self.text, ids.astype(self.kind)]), first, size
 
 
 def _spell_rows(shared):
@@ -238,15 +378,16 @@ def _spell_rows(shared):
         from pyspark import TaskContext
 
         name, description, base = shared.value
-        speller = Speller.shared(name, lambda: Speller(description, base.scores()))
+        speller = Speller.shared(name, lambda: Speller(description, base))
         row = TaskContext.get().partitionId() << 40
-        of_end = speller.base.get(END)
+        of_end = speller.score_of(END.decode())
         for batch in slices(batches, max_bytes=2 << 20, max_rows=1024):
             words, sizes = split_words(batch.column(2))
             distinct = words.dictionary_encode()
-            numbers = speller.numbers(_bytes_each(distinct.dictionary))[distinct.indices.to_numpy()]
+            score, text, first, size = speller.look(distinct.dictionary)
+            numbers = distinct.indices.to_numpy()
             owner = np.repeat(np.arange(len(sizes)), sizes)
-            logs = speller.score[numbers]
+            logs = score[numbers]
             missing = np.flatnonzero(np.isnan(logs))
             gaps = np.bincount(owner[missing], minlength=len(sizes))
             # The end is counted like a word: here if it is frequent, else with the others.
@@ -258,8 +399,9 @@ def _spell_rows(shared):
                 rare = pa.concat_arrays([rare, pa.array([END.decode()] * len(sizes))]).take(pa.array(order))
                 gaps = gaps + 1
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(gaps)]), pa.int32()), rare)
-            lengths = np.bincount(owner, speller.size[numbers], len(sizes)).astype(np.int64)
-            flat = speller.sequence(numbers)
+            size = size[numbers]
+            lengths = np.bincount(owner, size, len(sizes)).astype(np.int64)
+            flat = text[np.repeat(first[numbers] - np.cumsum(size) + size, size) + np.arange(size.sum())]
             ends = np.cumsum(lengths)
             ids = [flat[end - n : end].tobytes() for end, n in zip(ends.tolist(), lengths.tolist())]
             yield pa.RecordBatch.from_arrays(
@@ -416,6 +558,7 @@ def _partition_fit(shared, kind, rate: float):
         from pyspark import TaskContext
 
         Speller.forget()
+        hold_freed()
         ranks, start = shared.value
         adam, seen = Adam(copy_of(start), ranks.tree, rate), 0
         for batch in slices(batches, max_bytes=2 << 20):
@@ -485,6 +628,7 @@ def fit(spelled: DataFrame, size: int, *, first_windows: int = FIRST_WINDOWS, pa
 def _score_rows(shared, kind):
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         Speller.forget()
+        hold_freed()
         ranks, model = shared.value
         for batch in slices(batches, max_bytes=2 << 20):
             scores = score_sequences(model, ranks, *_sequences(batch.column(batch.num_columns - 1), kind))

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from locusforge.llm import lm_score as L
-from locusforge.llm.attention import PIECE_WINDOWS, Adam, copy_of, in_pieces, log_probabilities, loss_and_gradient, make_tree, new_attention
+from locusforge.llm.attention import PIECE_WINDOWS, Adam, _sum_inputs, copy_of, in_pieces, log_probabilities, loss_and_gradient, make_tree, new_attention
 from locusforge.llm.lm_score import averaged, make_ranks, score, score_sequences, windows
 
 OPTIONS = {"tokenizer_path": P.path("byte_bpe_multi_50k.tiktoken"), "pattern": P.PATTERN}
@@ -95,6 +95,37 @@ def test_words_spelled_together_are_spelled_as_alone():
         assert flat.tolist() == [i for x in each for i in x] and lengths.tolist() == [len(x) for x in each]
 
 
+def test_merges_of_many_words_spell_as_the_tokenizer(monkeypatch):
+    described = L.description(*OPTIONS.values())
+    rng = random.Random(6)
+    words = ["".join(rng.choices("aaabnth01#$.'_-\u00e9\u00fc\u00df\u00d7\u00f7\u00ff\u65e5\u0100", k=rng.randrange(1, 40))) for _ in range(3000)]
+    words += ["".join(chr(rng.randrange(33, 127)) for _ in range(rng.randrange(1, 33))) for _ in range(3000)]
+    words += [c * n for c in "a~e0\u00e9" for n in range(1, 40)] + ["can't", "'s", "x's", "\x01", "\x7f", "a\u00a0b"]
+    want = L._spelled([w.encode() for w in words], described)
+    column = pa.array(["?", *words])[1:]
+    for got in (L.spell(column, described), [np.concatenate(x) for x in zip(*(L.spell(column.slice(i, 500), described) for i in range(0, len(words), 500)))]):
+        assert np.array_equal(got[0], want[0]) and np.array_equal(got[1], want[1])
+    assert not len(L.spell(column[:0], described)[0])
+    monkeypatch.setattr(L, "_spelled", lambda *_: pytest.fail("plain words need no tokenizer"))
+    L.spell(pa.array(["plain", "na\u00efve", "x1,y", "...", "blethtion###"]), described)
+    other = L.description(OPTIONS["tokenizer_path"], r"\S+|\s+")
+    assert L._merges(other) is None
+
+
+def test_slopes_add_up_by_input_and_by_the_one_before():
+    rng = np.random.default_rng(3)
+    for n, t, size in ((40, 8, 5), (1, 1, 3), (30, 32, 70_000)):
+        inputs, before = rng.integers(0, size, (n, t)), rng.integers(0, size, (n, t))
+        before[:, 1:] = inputs[:, :-1]
+        dx = rng.normal(size=(n, t, 4))
+        slopes = np.zeros((n * (t + 1) + 1, 4))
+        slopes[:-1].reshape(n, t + 1, 4)[:, 1:] = dx
+        want = np.zeros((2, size, 4))
+        np.add.at(want[0], inputs, dx)
+        np.add.at(want[1], before, dx)
+        assert np.allclose(_sum_inputs(slopes, inputs, before, size), want)
+
+
 def test_windows_count_every_token_once_and_match_a_plain_loop():
     ranks, by_rank = make_ranks(COUNTS)
     m = new_attention(ranks.tree, by_rank.astype(float), width=4, inner=4, window=8, seed=2)
