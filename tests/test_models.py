@@ -225,6 +225,20 @@ def test_resampling_side_by_side_agrees_and_leaves_no_scans_cached(spark, monkey
     assert ask() == found
 
 
+def test_resampling_packs_small_panels_and_leaves_large_ones(spark, monkeypatch):
+    geno, g, rng = panel(spark, 100, 30, 6)
+    cached = lambda: spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+    held, parts = cached(), geno.calls.rdd.getNumPartitions()
+    assert parts > 1
+    with multilocus._packed(geno) as own:
+        assert own.calls.rdd.getNumPartitions() == own.markers.rdd.getNumPartitions() == 1
+        assert np.array_equal(own.matrix(), geno.matrix()) and sorted(own.markers.collect()) == sorted(geno.markers.collect())
+    assert cached() == held
+    monkeypatch.setattr(multilocus, "CELLS", 100)
+    with multilocus._packed(geno) as own:
+        assert own is geno
+
+
 def test_choices_by_linkage_and_criterion():
     g = np.array([[0, 0, 2], [0, 0, 1], [1, 1, 0], [1, 1, 1], [2, 2, 2]], float)
     assert multilocus.prune_linked(g, 0.8, ["1", "1", "2"]) == [0, 2]
