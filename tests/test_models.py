@@ -296,3 +296,29 @@ def test_random_panel(spark):
     g = random_genotypes(spark, 10, 50, missing=0.2, seed=1)
     m = g.matrix()
     assert m.shape == (10, 50) and 0.05 < (m < 0).mean() < 0.4
+
+
+def few_calls(spark, n=400, k=12, seed=21):
+    """A panel whose rows are mostly 0, in both forms: rows of entries and rows of all samples."""
+    rng = np.random.default_rng(seed)
+    g = np.where(rng.random((n, k)) < 0.06, rng.integers(1, 3, (n, k)), 0).astype(np.int8)
+    g[5, 0], g[7, 1] = -9, -9
+    g[:, 3] = rng.integers(0, 3, n)
+    markers = pd.DataFrame({"MARKER": [f"m{i:02d}" for i in range(k)], "CHROM": "1", "POS": np.arange(1, k + 1)})
+    whole = Genotypes.from_matrix(spark, g, samples=[f"s{i}" for i in range(n)], markers=markers)
+    long = spark.createDataFrame([(f"s{i}", f"m{j:02d}", None if g[i, j] < 0 else int(g[i, j])) for i in range(n) for j in range(k) if g[i, j]], "sample_id string, marker string, dosage int")
+    return from_long(long, whole.samples, whole.markers), whole, g, rng
+
+
+def test_rows_of_few_calls_take_the_room_of_their_calls(spark):
+    few, whole, g, rng = few_calls(spark)
+    size = {r.marker_idx: len(r.g) for r in few.calls.collect()}
+    assert all(size[j] == (400 if j == 3 else 5 * np.count_nonzero(g[:, j])) for j in range(12))
+    y, c = rng.normal(size=(400, 2)), rng.normal(size=(400, 1))
+    for fill in (1.0, "major", "mean"):
+        a, b = (glm.scan(x, y, c, traits=("a", "b"), fill=fill).toPandas().sort_values(["marker_idx", "trait"]) for x in (few, whole))
+        assert np.allclose(a[["effect", "se", "t", "p"]], b[["effect", "se", "t", "p"]], rtol=1e-9)
+    for at in (rng.permutation(400)[:300], [3, 3, 7]):
+        assert (few.take_samples(at).matrix() == g[at]).all()
+    assert (few.matrix() == g).all() and (few.columns([3, 1]) == g[:, [3, 1]]).all() and (few.sparse_columns([3, 1], 0).dense() == np.maximum(g[:, [3, 1]], 0)).all()
+    assert np.allclose(structure.vanraden(few), structure.vanraden(whole))
