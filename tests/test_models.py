@@ -322,3 +322,48 @@ def test_rows_of_few_calls_take_the_room_of_their_calls(spark):
         assert (few.take_samples(at).matrix() == g[at]).all()
     assert (few.matrix() == g).all() and (few.columns([3, 1]) == g[:, [3, 1]]).all() and (few.sparse_columns([3, 1], 0).dense() == np.maximum(g[:, [3, 1]], 0)).all()
     assert np.allclose(structure.vanraden(few), structure.vanraden(whole))
+
+
+def test_loops_over_rows_of_few_calls_agree_with_whole_rows(spark):
+    few, whole, g, rng = few_calls(spark)
+    y = 3.0 * g[:, 2] + 2.0 * g[:, 4] + rng.normal(size=400)
+    for model in (multilocus.farmcpu, multilocus.blink):
+        a, b = (model(x, y, p_threshold=1e-3) for x in (few, whole))
+        assert a.selected == b.selected and 2 in a.selected
+        a, b = rows(a.results), rows(b.results)
+        assert np.allclose(a[["effect", "se", "t", "p"]], b[["effect", "se", "t", "p"]], rtol=1e-8)
+    found = [multilocus.resample(x, y, runs=3, seed=4, threshold=1e-4).collect() for x in (few, whole)]
+    assert found[0] == found[1] and found[0]
+
+
+def test_chosen_markers_are_held_without_the_samples_at_which_all_are_0(spark):
+    few, _, g, rng = few_calls(spark)
+    index = [2, 4, 9]
+    x = multilocus._columns(few, index)
+    assert len(x.at) == np.count_nonzero(g[:, index].any(1)) < 400 and (x.dense() == g[:, index]).all()
+    assert np.allclose(x.correlations(), np.corrcoef(g[:, index].T.astype(float)))
+    y, base = rng.normal(size=400), np.column_stack([np.ones(400), rng.normal(size=400)])
+    wide = np.column_stack([base, g[:, index]])
+    for a, b in zip(multilocus.covariate_statistics(y, glm.Wide(base, x)), multilocus.covariate_statistics(y, wide)):
+        assert np.allclose(a, b)
+    assert np.isclose(multilocus.bic_statistics(y, glm.Wide(base, x))[0], multilocus.bic_statistics(y, wide)[0])
+    twice = glm.Wide(base, x.take([0, 1, 0]))
+    assert twice.rank() == 4 and multilocus.covariate_statistics(y, twice)[0].tolist() == [1.0] * 5
+
+
+def test_blocks_of_few_calls_agree_with_whole_rows_and_open_none(spark, monkeypatch):
+    few, whole, g, rng = few_calls(spark)
+    twin = g.copy()
+    twin[:, 6], twin[:, 7], twin[:, 8] = g[:, 5], np.where(rng.random(400) < 0.01, 1, g[:, 5]), 0
+    twin[twin < 0] = 0
+    twin[:, 3] = g[:, 2]
+    whole = Genotypes.from_matrix(spark, twin, samples=whole.samples, markers=pd.DataFrame({"MARKER": [f"m{i:02d}" for i in range(12)], "CHROM": ["1"] * 9 + ["2"] * 3, "POS": np.arange(1, 13)}))
+    long = spark.createDataFrame([(f"s{i}", f"m{j:02d}", int(twin[i, j])) for i in range(400) for j in range(12) if twin[i, j]], "sample_id string, marker string, dosage int")
+    few = from_long(long, whole.samples, whole.markers)
+    a, b = (effective.linkage_blocks(x).orderBy("chrom", "start").collect() for x in (few, whole))
+    assert [r[:4] for r in a] == [r[:4] for r in b] and max(r.n_snps for r in a) >= 3 and np.allclose([r.me for r in a], [r.me for r in b])
+    raw = [bytes(r.g) for r in few.calls.orderBy("marker_idx").collect()]
+    monkeypatch.setattr(effective, "dense_row", None)
+    rules = effective.BlockRules()
+    found = effective.blocks_of_entries(raw, 400, np.arange(12), rules)
+    assert sum(n for _, _, n, _, _ in found) == 11
