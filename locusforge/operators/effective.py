@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locusforge.model import Columns, Genotypes, Sparse, dense_row, entries_of
@@ -16,6 +16,8 @@ from locusforge.model import Columns, Genotypes, Sparse, dense_row, entries_of
 #: Fixed values of the map from squared correlation to correlation of p-values, highest power first, without constant.
 P_CORRELATION = (0.7723, -1.5659, 1.2010, -0.2355, 0.2184, 0.6086)
 LEAST_VARIANCE = 1e-12
+#: Pairs of markers that a task holds.
+PAIRS = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -54,6 +56,26 @@ def correlations(g: np.ndarray) -> np.ndarray:
     return r
 
 
+def correlation_pairs(spark: SparkSession, g: np.ndarray, names: list[str], digits: int = 6) -> DataFrame:
+    """``a, b, correlation`` of each pair of markers (rows), the first before the second. Markers are sent to all; a task makes
+    the pairs of some rows, at most ``PAIRS`` of them at once."""
+    x = g - g.mean(1, keepdims=True)
+    length = np.sqrt((x * x).sum(1))
+    m = len(names)
+    shared = spark.sparkContext.broadcast((x / np.where(length > 0, length, 1.0)[:, None], pa.array(names, pa.string())))
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, names = shared.value
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                for at in range(i + 1, m, PAIRS):
+                    r = np.round(x[at : at + PAIRS] @ x[i], digits) + 0.0
+                    yield pa.RecordBatch.from_arrays([pa.array([names[i].as_py()] * len(r)), names.slice(at, len(r)), pa.array(r)], names=["a", "b", "correlation"])
+
+    parts = max(1, min(m, m * m // (16 * PAIRS)))
+    return spark.range(0, m, 1, parts).mapInArrow(over, "a string, b string, correlation double")
+
+
 def blocks(g: np.ndarray, pos: np.ndarray, rules: BlockRules) -> list[tuple[int, int]]:
     """(first, past last) of each block of markers in position order."""
     x = g - g.mean(1, keepdims=True)
