@@ -7,6 +7,7 @@ matrix products in a narrow pass. Several traits share a pass.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -200,6 +201,22 @@ def scan_with_terms(geno: Genotypes, y: np.ndarray, covariates: np.ndarray, *, m
 # ---- native, over (sample, marker, dosage) rows that may leave out zeros
 
 
+def _exact_parts(y: Column, most: float, n: int) -> tuple[Column, Column]:
+    """``y`` as two numbers on grids so coarse that doubles add up n of each, times calls of up to 2, without rounding: a sum
+    then does not hang on the order of its rows, and markers with the same calls have the same p to the last bit. What is left
+    out is under 2^-60 of the largest ``y`` for a million samples."""
+    if not 0 < most < 2.0**900:
+        return y, F.lit(0.0)
+    room = math.ceil(math.log2(max(2, n))) + 2
+    first = math.frexp(most)[1] + room - 52
+    second = first - 1 + room - 52
+    if second < -1000:
+        return y, F.lit(0.0)
+    on = lambda c, k: F.rint(c * F.lit(2.0**-k)) * F.lit(2.0**k)
+    high = on(y, first)
+    return high, on(y - high, second)
+
+
 def native_scan(long: DataFrame, samples: DataFrame, *, covariates: Sequence[str] = (), sample: str = "sample_id", marker: str = "marker", dosage: str = "dosage", y: str = "y") -> DataFrame:
     """``marker, n_alleles, effect, se, t, df, p`` by one aggregation; rows with dosage 0 may be absent.
 
@@ -209,18 +226,19 @@ def native_scan(long: DataFrame, samples: DataFrame, *, covariates: Sequence[str
     names = list(covariates)
     terms = [F.lit(1.0), *[F.col(c).cast("double") for c in names]]
     p = len(terms)
-    sums = samples.agg(F.count(F.lit(1)), F.sum(F.col(y) * F.col(y)), *[F.sum(F.col(y) * t) for t in terms], *[F.sum(terms[i] * terms[j]) for i in range(p) for j in range(p)]).first()
-    n, yy, xy = sums[0], float(sums[1] or 0), np.array(sums[2 : 2 + p], float)
-    gram = np.array(sums[2 + p :], float).reshape(p, p)
+    sums = samples.agg(F.count(F.lit(1)), F.sum(F.col(y) * F.col(y)), *[F.sum(F.col(y) * t) for t in terms], *[F.sum(terms[i] * terms[j]) for i in range(p) for j in range(p)], F.max(F.abs(y))).first()
+    n, yy, xy, most = sums[0], float(sums[1] or 0), np.array(sums[2 : 2 + p], float), float(sums[-1] or 0)
+    gram = np.array(sums[2 + p : -1], float).reshape(p, p)
     df = n - p - 1
     if df <= 0:
         raise ValueError("no residual degrees of freedom")
     inverse = np.linalg.inv(gram) if np.linalg.matrix_rank(gram) == p else np.linalg.pinv(gram, rcond=1e-10)
     b = inverse @ xy
-    side = samples.select(F.col(sample), F.col(y), *names)
+    high, low = _exact_parts(F.col(y).cast("double"), most, n)
+    side = samples.select(F.col(sample), high.alias("_yh"), low.alias("_yl"), *names)
     side = F.broadcast(side) if n <= 2_000_000 else side
     g = F.col(dosage).cast("double")
-    by = long.join(side, sample).groupBy(marker).agg(F.sum(g).alias("_g0"), F.sum(g * g).alias("_gg"), F.sum(g * F.col(y)).alias("_gy"), *[F.sum(g * F.col(c)).alias(f"_g{i + 1}") for i, c in enumerate(names)])
+    by = long.join(side, sample).groupBy(marker).agg(F.sum(g).alias("_g0"), F.sum(g * g).alias("_gg"), (F.sum(g * F.col("_yh")) + F.sum(g * F.col("_yl"))).alias("_gy"), *[F.sum(g * F.col(c)).alias(f"_g{i + 1}") for i, c in enumerate(names)])
     s = [F.col(f"_g{i}") for i in range(p)]
     dot = lambda columns, numbers: sum((c * F.lit(float(v)) for c, v in zip(columns, numbers)), F.lit(0.0))
     behind = [dot(s, inverse[:, j]) for j in range(p)]

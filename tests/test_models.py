@@ -367,3 +367,26 @@ def test_blocks_of_few_calls_agree_with_whole_rows_and_open_none(spark, monkeypa
     rules = effective.BlockRules()
     found = effective.blocks_of_entries(raw, 400, np.arange(12), rules)
     assert sum(n for _, _, n, _, _ in found) == 11
+
+
+def test_pairs_of_markers_are_made_by_tasks(spark, monkeypatch):
+    g = np.random.default_rng(8).integers(0, 3, (40, 25)).astype(float)
+    monkeypatch.setattr(effective, "PAIRS", 7)
+    found = effective.correlation_pairs(spark, g, [f"m{i}" for i in range(40)])
+    assert found.rdd.getNumPartitions() > 1
+    c = effective.correlations(g)
+    assert {(r.a, r.b): r.correlation for r in found.collect()} == pytest.approx({(f"m{i}", f"m{j}"): c[i, j] for i in range(40) for j in range(i + 1, 40)}, abs=1e-6)
+
+
+def test_markers_with_the_same_calls_have_the_same_p_whatever_the_order(spark):
+    rng = np.random.default_rng(31)
+    y = np.round(rng.normal(size=300) * 5000, 2)
+    calls = [(f"s{i}", int(d)) for i, d in enumerate(rng.integers(0, 3, 300)) if d]
+    long = [(s, j, d) for j in range(40) for s, d in (calls[k] for k in rng.permutation(len(calls)))]
+    samples = spark.createDataFrame([(f"s{i}", float(v)) for i, v in enumerate(y)], "sample_id string, y double")
+    found = glm.native_scan(spark.createDataFrame(long, "sample_id string, marker int, dosage int").repartition(7), samples).collect()
+    assert len(found) == 40 and len({r.p for r in found}) == 1
+    g = np.zeros(300)
+    for s, d in calls:
+        g[int(s[1:])] = d
+    assert np.allclose([found[0].effect, found[0].se], ols(y, None, g)[:2], rtol=1e-9)
